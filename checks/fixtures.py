@@ -1,6 +1,7 @@
 """Inputs derived from the given tables, in SQL that Spark and DuckDB both run.
 
 Every fixture keeps all rows of its tables; expressions on the ids only vary the values.
+URL timestamps start in 2020, so that all of them are milliseconds by magnitude.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ FIXTURES = {
                case when p_partkey % 37 = 5 then null
                     when p_partkey % 11 = 3 then concat('https://img.test/', lpad(cast(p_partkey as string), 11, '0'), '-e1.jpg')
                     else concat('https://img.test/', lpad(cast(p_partkey as string), 11, '0'), '-e1.jpg?ts=',
-                                cast(946684800000 + (p_partkey * 37 % 2000) * 86400000 as string)) end as image_url,
+                                cast(1577836800000 + (p_partkey * 37 % 2000) * 86400000 as string)) end as image_url,
                case when p_partkey % 29 = 7 then null
                     when p_partkey % 23 = 1 then concat('baby ', p_name)
                     when p_partkey % 7 = 2 then concat(p_name, '/', p_type, '_', p_brand, ' ')
@@ -29,7 +30,7 @@ FIXTURES = {
                case when o_orderkey % 13 = 4 then null else cast(o_orderkey % 3 + 1 as int) end as section,
                case when o_orderkey % 17 = 6 then null
                     else concat('https://img.test/', lpad(cast(o_orderkey % 2500 as string), 11, '0'), '-p.jpg?ts=',
-                                cast(946684800000 + (o_orderkey * 53 % 2400) * 86400000 as string)) end as image_url
+                                cast(1577836800000 + (o_orderkey * 53 % 2400) * 86400000 as string)) end as image_url
         from {orders}""",
     "f_links": """
         select cast(l_orderkey as string) as bundle_id, cast(l_partkey as string) as product_id from {lineitem}""",
@@ -48,7 +49,7 @@ FIXTURES = {
                case when label % 5 = 4 then '' else concat('cls_', cast(label % 4 as string)) end as cls,
                cast(cast(floor(vec_id / 20) as int) % 4 as int) as section,
                concat('a', cast(cast(floor(vec_id / 20) as int) % 40 as string)) as bundle_article,
-               946684800000 + (cast(floor(vec_id / 20) as bigint) * 53 % 2400) * 86400000 as bundle_ts
+               1577836800000 + (cast(floor(vec_id / 20) as bigint) * 53 % 2400) * 86400000 as bundle_ts
         from {embeddings}""",
     "f_index": """
         select cast(vec_id as string) as product_id, embedding as v,
@@ -56,7 +57,7 @@ FIXTURES = {
                cast(vec_id % 4 as int) as gender,
                concat('a', cast(vec_id % 40 as string)) as article,
                case when vec_id % 11 = 3 then null
-                    else 946684800000 + (vec_id * 37 % 2400) * 86400000 end as product_ts
+                    else 1577836800000 + (vec_id * 37 % 2400) * 86400000 end as product_ts
         from {embeddings}""",
     "f_sections": """
         select cast(vec_id as string) as product_id, cast(vec_id % 3 + 1 as int) as section from {embeddings}
@@ -92,7 +93,7 @@ FIXTURES = {
                cast(event_id * 37 % 600 as int) as x1, cast(event_id * 53 % 900 as int) as y1,
                cast(event_id * 37 % 600 + 20 + event_id * 17 % 200 as int) as x2,
                cast(event_id * 53 % 900 + 20 + event_id * 29 % 300 as int) as y2,
-               cast(event_id * 7919 % 1000 as double) / 1000 as conf, event_type as cls,
+               cast(event_id * 7919 % 1000 as double) / 1024 as conf, event_type as cls,
                640 as width, 960 as height
         from {events}""",
     "f_images": """
@@ -121,4 +122,4 @@ def with_fixtures(body: str, *ctes: str) -> str:
         if re.search(rf"\b{name}\b", text)
     ]
     parts += ctes
-    return f"with {', '.join(parts)} {body}" if parts else body
+    return f"with recursive {', '.join(parts)} {body}" if parts else body

@@ -141,11 +141,12 @@ def _(x):
 @register(
     "J8_mark_hits",
     """select s.submission, s.bundle_id, s.product_id, s.rank, t.bundle_id is not null as hit from f_submissions s
-       left join (select distinct bundle_id, product_id from f_links where cast(bundle_id as int) % 3 = cast(product_id as int) % 3) t
+       left join (select distinct cast(l_orderkey as varchar) as bundle_id, cast(l_partkey as varchar) as product_id from lineitem where l_returnflag = 'R') t
        using (bundle_id, product_id)""",
 )
 def _(x):
-    truth = x.f_links.filter("cast(bundle_id as int) % 3 = cast(product_id as int) % 3")
+    returned = x.lineitem.filter("l_returnflag = 'R'")
+    truth = returned.selectExpr("cast(l_orderkey as string) as bundle_id", "cast(l_partkey as string) as product_id")
     return catalog.mark_hits(x.f_submissions.select("submission", "bundle_id", "product_id", "rank"), truth)
 
 

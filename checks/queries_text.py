@@ -367,7 +367,7 @@ MANIFEST = """manifest as (select case when o_orderkey % 9 = 1 then 'nan' else c
     case when o_orderkey % 4 = 0 then concat('HTTP://x/', o_orderkey) when o_orderkey % 4 = 1 then null
          else concat('/img/', o_orderkey, '.jpg') end as image_path from orders),
   files as (select cast(c_custkey as varchar) as asset_id,
-    concat('/files/', c_custkey, case when c_custkey % 2 = 0 then '.jpg' else '.png' end) as path from customer where c_custkey % 3 > 0),
+    concat('/files/', c_custkey, case when c_custkey % 2 = 0 then '.jpg' else '.png' end) as path from customer where c_acctbal >= 0),
   usable as (select nullif(m.asset_id, 'nan') as asset_id, row_no,
     coalesce(case when not starts_with(lower(image_path), 'http://') then image_path end, f.path) as path
     from manifest m left join files f on f.asset_id = nullif(m.asset_id, 'nan'))"""
@@ -379,11 +379,11 @@ def _manifest(x):
         """case when o_orderkey % 4 = 0 then concat('HTTP://x/', o_orderkey) when o_orderkey % 4 = 1 then null
                 else concat('/img/', o_orderkey, '.jpg') end as image_path""",
     )
-    # a customer may have up to two files; one in three has none
+    # a customer has up to two files, those in debt none
     files = x.customer.selectExpr(
         "cast(c_custkey as string) as asset_id",
-        """explode(filter(array(case when c_custkey % 3 > 0 then concat('/files/', c_custkey, '.png') end,
-                                case when c_custkey % 3 > 0 and c_custkey % 2 = 0 then concat('/files/', c_custkey, '.jpg') end),
+        """explode(filter(array(case when c_acctbal >= 0 then concat('/files/', c_custkey, '.png') end,
+                                case when c_acctbal >= 0 and c_custkey % 2 = 0 then concat('/files/', c_custkey, '.jpg') end),
                           f -> f is not null)) as path""",
     )
     return manifest, files

@@ -24,8 +24,10 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column, eps: float = NORM_FLOOR) -> Column:
     """Unit-length vector, the norm floored at ``eps``."""
-    length = F.greatest(norm(v), F.lit(eps))
-    return F.transform(as_double(v), lambda x: x / length)
+    # The length is an argument of zip_with, not part of its lambda: a lambda body is evaluated
+    # anew for every element.
+    length = F.array_repeat(F.greatest(norm(v), F.lit(eps)), F.size(v))
+    return F.zip_with(as_double(v), length, lambda x, n: x / n)
 
 
 def add(a: Column, b: Column, wa: float = 1.0, wb: float = 1.0) -> Column:

@@ -28,8 +28,8 @@ NO_VECTOR_SCORE = -1e9  # score of a product without a vector
 
 def listwise_loss(scores: Column, mask: Column) -> Column:
     """Struct of the multi-positive loss and the positive probability of one list."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
+    top = F.array_repeat(F.array_max(scores), F.size(scores))  # evaluated once, not per element
+    weights = F.zip_with(scores, top, lambda s, t: F.exp(s - t))
     total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
     positive = F.aggregate(
         F.zip_with(weights, mask, lambda w, m: F.when(m, w).otherwise(0.0)), F.lit(0.0), lambda acc, w: acc + w

@@ -76,7 +76,7 @@ def _(x):
 @register(
     "F4_category_cap_backfill",
     f"""{SCORED}, row_number() over (partition by bundle_id order by late, s desc, product_id) as rank from (
-          select *, score as s, row_number() over (partition by {ALONE} order by score desc, product_id) > 2 as late from cat) qualify rank <= 40""",
+          select * exclude (rank), score as s, row_number() over (partition by {ALONE} order by score desc, product_id) > 2 as late from cat) qualify rank <= 40""",
     *RANKED,
     WITH_CATEGORY,
 )
@@ -141,17 +141,21 @@ def linear_model():
 
 @register(
     "F8_learned_rerank",
-    best("learned", 60),
+    # next to -1e9 a double has no sixth decimal
+    best("learned", 60).replace("round(score, 6)", "round(score, 4)"),
     *RANKED,
     Z,
     mean_of("raw_means", "f_crops", "bundle_id", "greatest(conf, 0.1::double)"),
     "queries as (select bundle_id, list_transform(v, lambda e: e / greatest(sqrt(list_inner_product(v, v)), 1e-8)) as q from raw_means)",
-    f"""learned as (select z.bundle_id, z.product_id, round(coalesce(list_inner_product({WEIGHT_LIST}, {features('q', 'p', str(DIM))}) + 0.25::double, -1e9::double) + 0.2::double * z, 9) as score
-          from z join queries using (bundle_id) left join (select product_id, v::double[] as p from f_index where category <> '') using (product_id))""",
+    f"""m as (select bundle_id, product_id, list_inner_product({WEIGHT_LIST}, {features('q', 'p', str(DIM))}) + 0.25::double as m
+          from z join queries using (bundle_id) join (select product_id, v::double[] as p from f_index where category <> '') using (product_id))""",
+    f"""learned as (select z.bundle_id, z.product_id, round(coalesce(m.m, -1e9::double) + 0.2::double * z, 9) as score
+          from z left join m using (bundle_id, product_id))""",
 )
 def _(x):
     index = x.f_index.filter("category <> ''")
-    return listwise.learned_rerank(ranked(x), x.f_crops, index, linear_model()).select("bundle_id", "product_id", "score", "rank")
+    learned = listwise.learned_rerank(ranked(x), x.f_crops, index, linear_model())
+    return learned.select("bundle_id", "product_id", F.round("score", 4).alias("score"), "rank")
 
 
 @register("F9_zscore", f"select bundle_id, product_id, {r6('score', 'score')}, {r6('z', 'z')}, rank from z", *RANKED, Z)

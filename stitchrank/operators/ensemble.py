@@ -64,57 +64,92 @@ def _replacements(
     every run of unscored products only the last matters. What is left per bundle are its
     scored matches, the product just before each of them, and the last of the article.
     """
-    coded = products.select("product_id", "image_url").distinct()
-    coded = with_article(coded).filter(F.col("article").isNotNull()).select("article", "product_id").distinct()
-    places = global_position(coded, ["article", "product_id"], name="place")
-    wanted = with_article(bundles).select("bundle_id", F.col("article").alias("_article"))
-    wanted = wanted.join(base.select("bundle_id"), "bundle_id", "left_semi")
-
-    known = scores.select("bundle_id", "product_id", "score").join(
-        base.select("bundle_id", "product_id").distinct(), ["bundle_id", "product_id"], "full"
-    ).withColumn("score", F.coalesce("score", F.lit(0.0)))
-    scored = (
-        known.join(wanted, "bundle_id").join(places, "product_id").filter(F.col("article") == F.col("_article"))
+    coded = with_article(products.select("product_id", "image_url")).filter(F.col("article").isNotNull())
+    places = global_position(coded.select("article", "product_id").distinct(), ["article", "product_id"], name="place")
+    previous = places.select(
+        (F.col("place") + 1).alias("place"), F.col("article").alias("_a"), F.col("product_id").alias("_p")
     )
-    before = (
-        scored.select("bundle_id", "_article", (F.col("place") - 1).alias("place"))
-        .join(places, "place").filter(F.col("article") == F.col("_article"))
+    # The neighbour before a product belongs to its article or does not count.
+    placed = places.join(previous, "place", "left").withColumn("before", F.when(F.col("_a") == F.col("article"), F.col("_p")))
+    last = places.groupBy("article").agg(F.max(F.struct("place", "product_id")).alias("_last"))
+    wanted = with_article(bundles).select("bundle_id", "article").join(last, "article")
+
+    # Scored pairs and list entries of a bundle in one short array: as long as its lists together.
+    known = (
+        scores.select("bundle_id", "product_id", "score")
+        .join(base.select("bundle_id", "product_id", "rank"), ["bundle_id", "product_id"], "full")
+        .join(placed.select("product_id", "place", "article", "before"), "product_id", "left")
+        .groupBy("bundle_id")
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        "rank", "product_id", F.coalesce("score", F.lit(0.0)).alias("score"), "place", "article", "before"
+                    )
+                )
+            ).alias("_known")
+        )
+        .filter(F.exists("_known", lambda e: e["rank"].isNotNull()))
+        .join(wanted.select("bundle_id", F.col("article").alias("_article"), "_last"), "bundle_id", "left")
     )
-    last = places.groupBy("article").agg(F.max_by("product_id", "place").alias("product_id"), F.max("place").alias("place"))
-    closing = wanted.join(last, wanted["_article"] == last["article"])
-    keep = ["bundle_id", "product_id", "place"]
-    steps = scored.select(*keep).unionByName(before.select(*keep)).unionByName(closing.select(*keep)).distinct()
-    steps = steps.join(known, ["bundle_id", "product_id"], "left").groupBy("bundle_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("place", "product_id", F.coalesce("score", F.lit(0.0)).alias("score")))
-        ).alias("_steps")
+
+    def step(place: Column, product: Column, score: Column) -> Column:
+        return F.struct(place.alias("place"), product.alias("product_id"), score.alias("score"))
+
+    zero = F.lit(0.0)
+    known = known.select(
+        "bundle_id",
+        "_article",
+        "_last",
+        F.filter("_known", lambda e: e["rank"].isNotNull()).alias("_slots"),
+        F.filter("_known", lambda e: e["article"] == F.col("_article")).alias("_scored"),
+    ).withColumn("_taken", F.transform("_scored", lambda e: e["place"]))
+    unscored = F.concat(
+        F.transform(
+            F.filter("_scored", lambda e: e["before"].isNotNull()), lambda e: step(e["place"] - 1, e["before"], zero)
+        ),
+        F.when(F.col("_last").isNull(), F.array().cast("array<struct<place:bigint,product_id:string,score:double>>"))
+        .otherwise(F.array(step(F.col("_last.place"), F.col("_last.product_id"), zero))),
     )
-    slots = base.join(known, ["bundle_id", "product_id"]).groupBy("bundle_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "product_id", "score"))).alias("_slots")
+    lists = known.select(
+        "bundle_id",
+        F.transform(
+            "_slots",
+            lambda e: F.struct(
+                e["product_id"].alias("product_id"),
+                e["score"].alias("score"),
+                F.coalesce(e["article"] == F.col("_article"), F.lit(False)).alias("is_match"),
+            ),
+        ).alias("_start"),
+        F.array_sort(
+            F.array_distinct(
+                F.concat(
+                    F.transform("_scored", lambda e: step(e["place"], e["product_id"], e["score"])),
+                    F.filter(unscored, lambda s: ~F.array_contains("_taken", s["place"])),
+                )
+            )
+        ).alias("_steps"),
     )
-    pair = lambda x: F.struct(x["product_id"].alias("product_id"), x["score"].alias("score"))
 
-    def place_one(slots_now: Column, step: Column) -> Column:
-        weakest = F.array_min(F.transform(slots_now, lambda e, i: F.struct(e["score"].alias("score"), i.alias("i"))))
-        swapped = F.transform(slots_now, lambda e, i: F.when(i == weakest["i"], pair(step)).otherwise(e))
-        present = F.exists(slots_now, lambda e: e["product_id"] == step["product_id"])
+    def entry(x: Column, is_match: Column) -> Column:
+        return F.struct(
+            x["product_id"].alias("product_id"), x["score"].alias("score"), is_match.alias("is_match")
+        )
+
+    def place_one(now: Column, step: Column) -> Column:
+        weakest = F.array_min(F.transform(now, lambda e, i: F.struct(e["score"].alias("score"), i.alias("i"))))
+        swapped = F.concat(
+            F.slice(now, F.lit(1), weakest["i"]),
+            F.array(entry(step, F.lit(True))),
+            F.slice(now, weakest["i"] + 2, F.size(now)),
+        )
+        present = F.exists(now, lambda e: e["product_id"] == step["product_id"])
         free = ~present if max_score is None else ~present & (weakest["score"] <= max_score)
-        return F.when(free, swapped).otherwise(slots_now)
+        return F.when(free, swapped).otherwise(now)
 
-    folded = F.aggregate(
-        F.coalesce("_steps", F.slice("_none", 1, 0)), F.transform("_slots", pair), place_one
-    )
-    lists = slots.join(steps, "bundle_id", "left").withColumn(
-        "_none", F.array(F.struct(F.lit(0).cast("bigint").alias("place"), F.lit("").alias("product_id"), F.lit(0.0).alias("score")))
-    )
+    folded = F.aggregate("_steps", F.col("_start"), place_one)
     rows = lists.select("bundle_id", F.posexplode(folded).alias("_pos", "_slot"))
-    slot_rows = rows.select("bundle_id", (F.col("_pos") + 1).alias("rank"), "_slot.product_id", "_slot.score")
-    return (
-        slot_rows.join(wanted, "bundle_id", "left")
-        .join(places.select("product_id", "article"), "product_id", "left")
-        .withColumn("is_match", F.coalesce(F.col("article") == F.col("_article"), F.lit(False)))
-        .select("bundle_id", "product_id", "rank", "score", "is_match")
-    )
+    return rows.select("bundle_id", "_slot.*", (F.col("_pos") + 1).alias("rank"))
 
 
 def article_repair_votes(

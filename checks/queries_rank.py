@@ -142,7 +142,7 @@ def linear_model():
 @register(
     "F8_learned_rerank",
     # next to -1e9 a double has no sixth decimal
-    best("learned", 60).replace("round(score, 6)", "round(score, 4)"),
+    best("learned", 60).replace("round(score, 9)", "round(score, 4)"),
     *RANKED,
     Z,
     mean_of("raw_means", "f_crops", "bundle_id", "greatest(conf, 0.1::double)"),

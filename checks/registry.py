@@ -32,15 +32,22 @@ class Inputs:
         return f"{shared_dir(self.spark)}/check-{uuid.uuid4().hex}"
 
 
+# Scores are already rounded to nine decimals; rounding them to fewer would round twice, and
+# engines disagree on the halves that makes. Other doubles are compared to six decimals.
+DIGITS = {"score": 9, "category_score": 9}
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, so that both engines print the same value."""
+    """Doubles cut to the decimals both engines agree on."""
     doubles = {c for c, t in df.dtypes if t == "double"}
-    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(
+        *[(F.round(c, DIGITS.get(c, 6)) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in df.columns]
+    )
 
 
 def r6(expression: str, name: str) -> str:
     """SQL side of :func:`rounded`."""
-    return f"round({expression}, 6) + 0.0::double as {name}"
+    return f"round({expression}, {DIGITS.get(name, 6)}) + 0.0::double as {name}"
 
 
 def vector_rows(df: DataFrame, *keys: str, v: str = "v") -> DataFrame:

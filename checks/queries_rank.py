@@ -21,7 +21,7 @@ from checks.queries_retrieve import (
 )
 from checks.queries_text import ARTICLE
 from checks.queries_vectors import features, mean_of
-from checks.registry import r6, register
+from checks.registry import grid, r6, register
 from stitchrank.operators import catalog, ensemble, evaluate, listwise, rank, retrieve, splits
 from stitchrank.plans import prepare, recommend
 
@@ -88,7 +88,7 @@ def _(x):
     "F5_ts_rerank",
     best("moved", 60),
     *RANKED,
-    f"""moved as (select bundle_id, product_id, round(score + {adjustment()}, 9) as score from ranked
+    f"""moved as (select bundle_id, product_id, {grid('score + ' + adjustment())} as score from ranked
           join (select distinct bundle_id, bundle_ts from f_crops) using (bundle_id) join (select product_id, product_ts from f_index) using (product_id))""",
 )
 def _(x):
@@ -100,8 +100,10 @@ def _(x):
     "F6_hubness",
     best("moved", 15),
     *RANKED,
-    """moved as (select bundle_id, product_id, round(score - 0.5::double * greatest(0, count(*) over (partition by product_id)
-          / (select count(distinct bundle_id) from ranked)::double - 0.1::double), 9) as score from ranked)""",
+    "moved as (select bundle_id, product_id, "
+    + grid("""score - 0.5::double * greatest(0, count(*) over (partition by product_id)
+          / (select count(distinct bundle_id) from ranked)::double - 0.1::double)""")
+    + " as score from ranked)",
 )
 def _(x):
     return rank.top_n(rank.hubness(ranked(x), 0.1, 0.5), 15)
@@ -118,7 +120,7 @@ HALF = "list_transform({0}[1:32], lambda e: e / greatest(sqrt(list_inner_product
     f"third as (select product_id, {HALF.format('v')} as v from (select product_id, v::double[] as v from f_index where category <> ''))",
     """heavy as (select r.bundle_id, r.product_id, max(list_inner_product(c.v, p.v)) as h from ranked r join third p using (product_id)
          join second c using (bundle_id) group by 1, 2)""",
-    """mixed as (select bundle_id, product_id, round(coalesce(0.6::double * score + 0.4::double * h, score), 9) as score
+    f"""mixed as (select bundle_id, product_id, {grid('coalesce(0.6::double * score + 0.4::double * h, score)')} as score
          from ranked left join heavy using (bundle_id, product_id))""",
 )
 def _(x):
@@ -149,7 +151,7 @@ def linear_model():
     "queries as (select bundle_id, list_transform(v, lambda e: e / greatest(sqrt(list_inner_product(v, v)), 1e-8)) as q from raw_means)",
     f"""m as (select bundle_id, product_id, list_inner_product({WEIGHT_LIST}, {features('q', 'p', str(DIM))}) + 0.25::double as m
           from z join queries using (bundle_id) join (select product_id, v::double[] as p from f_index where category <> '') using (product_id))""",
-    f"""learned as (select z.bundle_id, z.product_id, round(coalesce(m.m, -1e9::double) + 0.2::double * z, 9) as score
+    f"""learned as (select z.bundle_id, z.product_id, {grid('coalesce(m.m, -1e9::double) + 0.2::double * z')} as score
           from z left join m using (bundle_id, product_id))""",
 )
 def _(x):
@@ -200,7 +202,7 @@ def _(x):
     "F13_blend",
     best("mixed", 60),
     *RANKED,
-    """mixed as (select bundle_id, product_id, round(cast(length(product_id) as double) + 0.2::double * score, 9) as score from ranked)""",
+    f"""mixed as (select bundle_id, product_id, {grid('cast(length(product_id) as double) + 0.2::double * score')} as score from ranked)""",
 )
 def _(x):
     learned = ranked(x).withColumn("base", F.col("score")).withColumn("score", F.length("product_id").cast("double"))
@@ -222,7 +224,7 @@ def _(x):
 @register(
     "H2_rrf",
     f"""{SCORED}, row_number() over (partition by bundle_id order by s desc, seen) as rank from (
-          select bundle_id, product_id, score as s, score, seen from (select bundle_id, product_id, round(sum(1.0::double / (60 + rank)), 9) as score,
+          select bundle_id, product_id, score as s, score, seen from (select bundle_id, product_id, {grid('sum(1.0::double / (60 + rank))')} as score,
             min(submission * 1000000 + rank) as seen from f_submissions group by 1, 2)) qualify rank <= 4""",
 )
 def _(x):
@@ -237,7 +239,7 @@ def _(x):
     return ensemble.incomplete_bundles(x.f_submissions.filter("submission = 1"), 4)
 
 
-RRF = "rrf as (select bundle_id, product_id, round(sum(weight / (60 + rank)), 9) as score from f_submissions join weights using (submission) group by 1, 2)"
+RRF = f"rrf as (select bundle_id, product_id, {grid('sum(weight / (60 + rank))')} as score from f_submissions join weights using (submission) group by 1, 2)"
 
 
 @register("H3_weighted_rrf", f"{SCORED} from rrf", WEIGHED, RRF)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.queries_vectors import mean_of
-from checks.registry import r6, register
+from checks.registry import grid, r6, register
 from stitchrank.operators import embeddings, evaluate, retrieve
 from stitchrank.plans import recommend
 from stitchrank.sources import tables
@@ -24,7 +24,7 @@ def hits(k: int, name: str = "hits", queries: str = "f_crops", index: str = "f_i
 
 def fused(name: str, score: str, source: str = "hits") -> str:
     """CTE of one row per (bundle, product)."""
-    return f"""{name} as (select bundle_id, product_id, round({score}, 9) as score, any_value(section) as section, any_value(gender) as gender,
+    return f"""{name} as (select bundle_id, product_id, {grid(score)} as score, any_value(section) as section, any_value(gender) as gender,
         any_value(category) as category, any_value(bundle_ts) as bundle_ts, any_value(product_ts) as product_ts from {source} group by 1, 2)"""
 
 
@@ -110,7 +110,7 @@ def _(x):
     hits(20),
     fused("all_hits", WEIGHTED),
     capped("capped", "all_hits"),
-    f"moved as (select * replace (round(score + {adjustment()}, 9) as score) from capped)",
+    f"moved as (select * replace ({grid('score + ' + adjustment())} as score) from capped)",
 )
 def _(x):
     return retrieve.retrieve_sum(*crops_index(x), per_crop=20, ts=NO_DATE)
@@ -301,8 +301,10 @@ def _(x):
            cross join popular f anti join short s on s.bundle_id = b.bundle_id and s.product_id = f.product_id)
        qualify row_number() over (partition by bundle_id order by padded, pos) <= 15""",
     *SEARCHED,
-    """hubbed as (select bundle_id, product_id, round(score - 0.1::double * greatest(0, count(*) over (partition by product_id)
-          / (select count(distinct bundle_id) from pooled)::double - 0.015::double), 9) as score from pooled)""",
+    "hubbed as (select bundle_id, product_id, "
+    + grid("""score - 0.1::double * greatest(0, count(*) over (partition by product_id)
+          / (select count(distinct bundle_id) from pooled)::double - 0.015::double)""")
+    + " as score from pooled)",
     """short as (select bundle_id, product_id, row_number() over (partition by bundle_id order by score desc, product_id) as rank from hubbed qualify rank <= 15)""",
     """popular as (select cast(l_partkey as varchar) as product_id, row_number() over (order by count(*) desc, cast(l_partkey as varchar)) as pos
           from lineitem group by l_partkey qualify pos <= 30)""",

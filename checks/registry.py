@@ -32,8 +32,9 @@ class Inputs:
         return f"{shared_dir(self.spark)}/check-{uuid.uuid4().hex}"
 
 
-# Scores are already rounded to nine decimals; rounding them to fewer would round twice, and
-# engines disagree on the halves that makes. Other doubles are compared to six decimals.
+# Similarities are already rounded to nine decimals and fused scores to a binary grid of about
+# that width; rounding them to fewer would round twice, and engines disagree on the halves that
+# makes. Other doubles are compared to six decimals.
 DIGITS = {"score": 9, "category_score": 9}
 
 
@@ -50,6 +51,11 @@ def r6(expression: str, name: str) -> str:
     return f"round({expression}, {DIGITS.get(name, 6)}) + 0.0::double as {name}"
 
 
+def grid(expression: str) -> str:
+    """SQL side of ``stable``."""
+    return f"(round_even(({expression}) * 1073741824.0::double, 0) / 1073741824.0::double)"
+
+
 def vector_rows(df: DataFrame, *keys: str, v: str = "v") -> DataFrame:
     """A vector as (keys, pos, x) rows."""
     return df.select(*keys, F.posexplode(v).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))

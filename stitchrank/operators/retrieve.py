@@ -24,7 +24,7 @@ from stitchrank.operators.rank import (
     top_n,
     ts_rerank,
 )
-from stitchrank.operators.scale import SCORE_DECIMALS, stable
+from stitchrank.operators.scale import SIM_DECIMALS, stable
 
 BROADCAST_BYTES = 128 << 20  # an index matrix up to this size goes to every executor
 INDEX_BLOCK = 100_000  # rows of one index block beyond that
@@ -38,7 +38,7 @@ def _block_scorer(k: int, by: str | None, query_cols: list[str], index_cols: lis
 
     Self-contained on purpose: workers need numpy and pyarrow only.
     """
-    decimals = SCORE_DECIMALS
+    decimals = SIM_DECIMALS
 
     def score(queries, index):
         import numpy as np

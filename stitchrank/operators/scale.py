@@ -8,14 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Scores are rounded to this many decimals before they are compared, so that equal
-# vectors tie whatever the summation order was and ids alone break the tie.
-SCORE_DECIMALS = 9
+# Inner products are rounded to this many decimals before they are compared, so that equal
+# vectors tie whatever the summation order was, and ids alone break the tie.
+SIM_DECIMALS = 9
+# Fused scores are put on a binary grid for the same reason. They are made of decimal
+# similarities, weights and bonuses, which never fall half-way between two binary grid points;
+# on a decimal grid they often would, and noise would decide.
+SCORE_GRID = float(1 << 30)
 
 
 def stable(score: Column) -> Column:
-    """A score without the noise of the summation order."""
-    return F.round(score, SCORE_DECIMALS)
+    """A fused score without the noise of the summation order."""
+    return F.rint(score * F.lit(SCORE_GRID)) / F.lit(SCORE_GRID)
 
 
 def shared_dir(spark: SparkSession) -> str:

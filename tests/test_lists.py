@@ -75,6 +75,10 @@ def test_rrf_counts_repeats_and_keeps_first_seen_order(spark):
     assert order(ensemble.rrf(tied.repartition(3))) == ["z", "a"]
 
 
+def on_grid(value):
+    return round(value * 2**30) / 2**30
+
+
 def repaired(base, matches, score, guard):
     """The repair one product after the other."""
     slots = list(base)
@@ -114,9 +118,9 @@ def test_article_repair_matches_the_sequential_rule(spark, seed):
         start = [x for s, bb, x, _ in subs if s == 3 and bb == bundle]
         matches = sorted(x for x, u in products if u.split("/")[1].split("-")[0] == url.split("/")[1].split("-")[0])
         assert by_votes[bundle] == repaired(start, matches, votes[bundle], 1)
-        slots = repaired(start, matches, {k: round(v, 9) for k, v in rrf[bundle].items()}, None)
+        slots = repaired(start, matches, {k: on_grid(v) for k, v in rrf[bundle].items()}, None)
         want = [x for x in slots if x in matches] + sorted(
-            (x for x in slots if x not in matches), key=lambda x: -round(rrf[bundle].get(x, 0), 9)
+            (x for x in slots if x not in matches), key=lambda x: -on_grid(rrf[bundle].get(x, 0))
         )
         assert by_rrf[bundle] == want
 

@@ -58,7 +58,7 @@ def test_pad_skips_what_is_there(spark):
 def test_hubness(spark):
     rows = [(f"b{i}", "hub", 1.0) for i in range(4)] + [("b0", "rare", 0.99)]
     got = {(r["bundle_id"], r["product_id"]): r["score"] for r in rank.hubness(spark.createDataFrame(rows, LIST), 0.5, 0.1).collect()}
-    assert got["b0", "hub"] == pytest.approx(0.95) and got["b0", "rare"] == 0.99
+    assert got["b0", "hub"] == pytest.approx(0.95) and got["b0", "rare"] == pytest.approx(0.99)
 
 
 def test_zscore_of_equal_scores_is_zero(spark):

@@ -23,6 +23,7 @@ from checks.queries_text import ARTICLE
 from checks.queries_vectors import features, mean_of
 from checks.registry import grid, r6, register
 from stitchrank.operators import catalog, ensemble, evaluate, listwise, rank, retrieve, splits
+from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import prepare, recommend
 
 # ------------------------------------------------------------------- filters and reranks
@@ -40,6 +41,11 @@ def ranked(x, n: int = 60):
     return retrieve.retrieve_sum(*crops_index(x), per_crop=20, final_k=n, gender_filter=False, max_per_category=0)
 
 
+def stored(x):
+    """The list written once, for operators that read it several times."""
+    return checkpointed(ranked(x))
+
+
 def described(x):
     return x.f_index.select("product_id", F.col("category").alias("description"))
 
@@ -106,7 +112,7 @@ def _(x):
     + " as score from ranked)",
 )
 def _(x):
-    return rank.top_n(rank.hubness(ranked(x), 0.1, 0.5), 15)
+    return rank.top_n(rank.hubness(stored(x), 0.1, 0.5), 15)
 
 
 HALF = "list_transform({0}[1:32], lambda e: e / greatest(sqrt(list_inner_product({0}[1:32], {0}[1:32])), 1e-8))"
@@ -127,7 +133,7 @@ def _(x):
     part = F.slice("v", 1, 32).alias("v")
     crops2 = x.f_crops.filter("section <> 2").select("bundle_id", "crop_id", part)
     index2 = x.f_index.filter("category <> ''").select("product_id", part)
-    return rank.top_n(rank.late_interaction(ranked(x), crops2, index2), 15)
+    return rank.top_n(rank.late_interaction(stored(x), crops2, index2), 15)
 
 
 Z = """z as (select *, case when stddev_pop(score) over (partition by bundle_id) > 1e-6
@@ -156,13 +162,13 @@ def linear_model():
 )
 def _(x):
     index = x.f_index.filter("category <> ''")
-    learned = listwise.learned_rerank(ranked(x), x.f_crops, index, linear_model())
+    learned = listwise.learned_rerank(stored(x), x.f_crops, index, linear_model())
     return learned.select("bundle_id", "product_id", F.round("score", 4).alias("score"), "rank")
 
 
 @register("F9_zscore", f"select bundle_id, product_id, {r6('score', 'score')}, {r6('z', 'z')}, rank from z", *RANKED, Z)
 def _(x):
-    return rank.zscore(ranked(x))
+    return rank.zscore(stored(x))
 
 
 @register("F10_top_n", best("fused", 15), hits(20), fused("fused", WEIGHTED))
@@ -418,10 +424,9 @@ def _(x):
 
 @register("N7_fit_linear")
 def _(x):
-    links = x.f_truth.withColumnRenamed("product_id", "product_id")
     queries = bundle_queries(x)
     dim = len(queries.first()["v"])
-    _, history, _ = prepare.train_reranker(queries, x.f_index, links, dim, pool=40, ratio=0.2, epochs=4, lr=0.01)
+    _, history, _ = prepare.train_reranker(queries, x.f_index, x.f_truth, dim, pool=40, ratio=0.2, epochs=4, lr=0.01)
     return x.spark.createDataFrame(history)
 
 

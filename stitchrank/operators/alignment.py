@@ -25,7 +25,7 @@ def link_times(links: DataFrame, bundles: DataFrame, products: DataFrame, tz: st
     both = F.col("bundle_ts").isNotNull() & F.col("product_ts").isNotNull()
     return merged.withColumns(
         {**same, "both_ts": both, "delta_hours": delta_hours(F.col("bundle_ts"), F.col("product_ts"))}
-    ).withColumnRenamed("_b", "bundle_keys").drop("_p")
+    ).drop("_b", "_p")
 
 
 def ts_alignment(links: DataFrame, bundles: DataFrame, products: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -38,14 +38,15 @@ def ts_alignment(links: DataFrame, bundles: DataFrame, products: DataFrame, tz:
     with_ts = F.count_if("both_ts")
     aggregates: list[Column] = [
         F.any_value("bundle_ts").alias("bundle_ts"),
-        F.any_value("bundle_keys").alias("_keys"),
         F.count("*").alias("n_products"),
         with_ts.alias("n_products_with_ts"),
         *[F.count_if(F.col("both_ts") & F.col(f"same_{p}")).alias(f"n_products_same_{p}") for p in PERIODS],
         F.avg(F.when(F.col("both_ts"), F.col("delta_hours"))).alias("avg_delta_hours_abs"),
         F.max(F.when(F.col("both_ts"), F.col("delta_hours"))).alias("max_delta_hours_abs"),
     ]
-    report = rows.groupBy("bundle_id").agg(*aggregates)
+    # The calendar fields are derived again from the timestamp: text in an aggregate buffer would
+    # turn the hash aggregate into a sort.
+    report = rows.groupBy("bundle_id").agg(*aggregates).withColumn("_keys", calendar_keys(F.col("bundle_ts"), tz))
     n = F.col("n_products_with_ts")
     out = [
         F.col("bundle_id"), F.col("bundle_ts"),

@@ -24,7 +24,8 @@ def submission_weights(quality: DataFrame) -> DataFrame:
 def rrf(subs: DataFrame, k: int = RRF_K, top: int = 15) -> DataFrame:
     """H2: reciprocal rank fusion for the bundles of the first submission.
 
-    A product repeated in a list counts again; equal scores keep the order of first sight.
+    Submissions are numbered by their order. A product repeated in a list counts again; equal
+    scores keep the order of first sight.
     """
     first = subs.agg(F.min("submission")).scalar()
     bundles = subs.filter(F.col("submission") == first).select("bundle_id")
@@ -33,7 +34,8 @@ def rrf(subs: DataFrame, k: int = RRF_K, top: int = 15) -> DataFrame:
         .groupBy("bundle_id", "product_id")
         .agg(
             stable(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank")))).alias("score"),
-            F.min(F.struct("submission", "rank")).alias("_seen"),
+            # (submission, rank) as one number, which a hash aggregate can hold in its buffer
+            F.min(F.col("submission").cast("bigint") * F.lit(1 << 32) + F.col("rank")).alias("_seen"),
         )
     )
     order = Window.partitionBy("bundle_id").orderBy(F.desc("score"), F.asc("_seen"))

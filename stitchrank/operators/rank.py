@@ -122,7 +122,8 @@ def hubness(ranked: DataFrame, max_ratio: float = 0.015, penalty: float = 0.1) -
     """lower the score of products present in too large a share of the bundles.
 
     Counts come from a pre-aggregated group-by joined back, not from a window, so that a hub
-    product never gathers its rows in one task.
+    product never gathers its rows in one task. ``ranked`` is read three times; checkpoint one
+    that is costly to compute.
     """
     bundles = ranked.agg(F.count_distinct("bundle_id")).scalar()
     uses = ranked.groupBy("product_id").agg(F.count("*").alias("_uses"))
@@ -142,7 +143,7 @@ def late_interaction(ranked: DataFrame, crops2: DataFrame, index2: DataFrame, we
 
     Candidate lists are short (the pool size); crops need not be. A bundle with many crops is
     cut into blocks of ``CROP_BLOCK``, its candidate vectors go to each block, and every group
-    returns one maximum per candidate instead of all pairs.
+    returns one maximum per candidate instead of all pairs. ``ranked`` is read twice.
     """
     blocks = crops2.groupBy("bundle_id").agg(
         F.ceil(F.count("*") / F.lit(CROP_BLOCK)).cast("int").alias("_blocks")

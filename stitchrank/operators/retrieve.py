@@ -186,11 +186,13 @@ def weight(conf: Column) -> Column:
 
 
 def _fuse(hits: DataFrame, score: Column) -> DataFrame:
-    """One row per (bundle, product); attributes of either side are constant per group."""
+    """One row per (bundle, product).
+
+    Attributes of either side depend on the two ids. They are group keys, not aggregates: a
+    text column in an aggregate buffer would force a sort before the map-side combine.
+    """
     keep = [c for c in ("section", "gender", "category", "bundle_ts", "product_ts") if c in hits.columns]
-    return hits.groupBy("bundle_id", "product_id").agg(
-        stable(score).alias("score"), *[F.any_value(c).alias(c) for c in keep]
-    )
+    return hits.groupBy("bundle_id", "product_id", *keep).agg(stable(score).alias("score"))
 
 
 def _post(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stitchrank.operators import catalog, evaluate, listwise, retrieve, splits
 from stitchrank.operators.embeddings import standardize
+from stitchrank.operators.scale import checkpointed
 from stitchrank.sources.sinks import manifest_rows, write_manifest, write_metrics
 
 
@@ -46,16 +47,17 @@ def sections(links: DataFrame, bundles: DataFrame, products: DataFrame, min_shar
 
 def candidates(
     queries: DataFrame, index: DataFrame, links: DataFrame, pool: int, ratio: float = 0.1, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """Candidate rows with ``positive`` and ``split``, and the truth inside the index."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training and validation rows with ``positive`` and ``split``, the truth inside the index,
+    and all candidates found. The candidates are checkpointed: the search runs once."""
     truth = catalog.truth(links).join(index.select("product_id"), "product_id", "left_semi")
     eligible = catalog.eligible_queries(queries, links, index)
     split = splits.split_ids(eligible.select("bundle_id"), ratio, seed)
     found = retrieve.topk(eligible.select("bundle_id", "v"), index.select("product_id", "v"), pool, key="bundle_id")
-    found = found.join(split, "bundle_id")
+    found = checkpointed(found.join(split, "bundle_id"))
     usable, _ = splits.listwise_records(found.filter(F.col("split") == "train"), truth)
     val = catalog.mark_hits(found.filter(F.col("split") == "val"), truth).withColumnRenamed("hit", "positive")
-    return usable.unionByName(val), truth
+    return usable.unionByName(val), truth, found
 
 
 def train_reranker(
@@ -63,13 +65,9 @@ def train_reranker(
     seed: int = 42, **fit: object,
 ) -> tuple[dict, list[dict], DataFrame]:
     """Candidates, split, coverage and the fitted linear scorer; no query is on both sides."""
-    rows, truth = candidates(queries, index, links, pool, ratio, seed)
-    rows = rows.persist()
-    try:
-        ceiling = evaluate.coverage(rows, truth, [pool], pool)
-        model, history = listwise.fit_linear(rows, queries, index, truth, dim, **fit)
-    finally:
-        rows.unpersist()
+    rows, truth, found = candidates(queries, index, links, pool, ratio, seed)
+    ceiling = evaluate.coverage(found, truth, [pool], pool, bundles=found)
+    model, history = listwise.fit_linear(rows, queries, index, truth, dim, **fit)
     return model, history, ceiling
 
 

@@ -10,6 +10,7 @@ from stitchrank.operators.ensemble import article_repair_rrf, article_repair_vot
 from stitchrank.operators.listwise import learned_rerank
 from stitchrank.operators.rank import hubness, late_interaction, pad, top_n
 from stitchrank.operators.retrieve import retrieve_boosted, retrieve_max, retrieve_sum, retrieve_top1
+from stitchrank.operators.scale import checkpointed
 
 
 def sectioned(
@@ -29,13 +30,16 @@ def sectioned(
 ) -> DataFrame:
     """Section-wise retrieval, optional learned, hubness and late-interaction reranks, cut, padding.
 
-    ``second`` is a pair of crop and index vectors under another encoder. One lazy plan: after
-    the hits are fused, every step is a window or join keyed by bundle.
+    ``second`` is a pair of crop and index vectors under another encoder. The reranks read their
+    list more than once, with different columns, so the pooled list is checkpointed before them:
+    it is short, and the search behind it must not run again.
     """
     pool = max(4 * n, model_pool if model is not None else 0)
     ranked = retrieve_boosted(crops, index, sections, categories, taxonomy, pool=pool, **retrieval)
+    if model is not None or hub is not None or second is not None:
+        ranked = checkpointed(ranked)
     if model is not None:
-        ranked = learned_rerank(ranked, crops, index, model)
+        ranked = checkpointed(learned_rerank(ranked, crops, index, model))
     if hub is not None:
         ranked = hubness(ranked, **hub)
     if second is not None:

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stitchrank.llm import binary, dedup, mixing, sharding
+from stitchrank.llm import binary, bwt, dedup, mixing, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": mixing.op1_mixing,
     "op3_exact_dedup": dedup.op3_exact_dedup,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_byte_dedup": bwt.op9_byte_dedup,
     "op10_binary_ids": binary.op10_binary_ids,
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": dedup.OP3_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,13 @@ MAGIC = b"PKIDS1\0\0"
 BLOCK = 4096
 # Ids after which a task begins another file.
 FILE_IDS = 32_000_000
-KNOWN = 200_000
+# Parts a worker remembers, twice; parts encoded in one call; characters of text cut at a time.
+KNOWN = 400_000
+TOGETHER = 400
+LOT_CHARS = 2_000_000
+# White space that is not one space between two other characters; marks that end a run of letters (no apostrophe).
+_ODD = re.compile(r"  |[^\S ] | [^\S ]")
+MARKS = ".,;:!?&%$*#|()"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -109,11 +116,12 @@ class Reader:
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizer that never joins a word with the space before the next.
+    """Ids of whole texts from a byte-level tokenizer that never joins a word with the space before the next.
 
     A text is cut before each single space between two other characters; the tokenizer's pattern
     always ends a piece there, so the ids of the parts are the ids of the whole. Parts seen lately
-    are remembered, and only new ones are encoded.
+    are remembered. New parts are encoded many at a time: each but a text's first begins with the only
+    space in it, and so do its ids, which shows where one part ends and the next begins.
     """
 
     def __init__(self, path: str):
@@ -121,42 +129,89 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        # The byte-level alphabet writes a space as this letter.
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     @staticmethod
     def parts(text: str) -> list[str]:
+        """Names of the parts: the first, which no space precedes, after a space, the others without theirs."""
         cut = text.split(" ")
-        if "" not in cut and not any(p[0].isspace() or p[-1].isspace() for p in cut):
-            return [cut[0], *[" " + p for p in cut[1:]]]
-        out = [cut[0]]
+        cut[0] = " " + cut[0]
+        if _ODD.search(text) is None and cut[0] != " " and cut[-1]:
+            return cut
+        out = cut[:1]
         for p in cut[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
+            if p and not p[0].isspace() and not out[-1][-1].isspace():
+                out.append(p)
             else:
                 out[-1] += " " + p
         return out
 
+    def _learn(self, names: list[str]) -> None:
+        """Encode new parts. Of a part that ends in a letter and marks, both are encoded apart."""
+        known, older = self.known, self.older
+        joined, alone, marked = [], [], []
+        for name in names:
+            stem = name.rstrip(MARKS)
+            if len(stem) < len(name) and stem.strip() and stem[-1].isalpha():
+                marked.append((name, stem, " " + name[len(stem) :]))
+            elif name[0] == " " or len(name.split()) > 1 or name[-1].isspace():
+                alone.append(name)
+            else:
+                joined.append(name)
+        if marked:
+            apart = {part for _, stem, mark in marked for part in (stem, mark)}.difference(known, names)
+            for part in [p for p in apart if p in older]:
+                known[part] = older[part]
+                apart.discard(part)
+            self._learn(list(apart))
+        for at in range(0, len(alone), TOGETHER):
+            some = alone[at : at + TOGETHER]
+            texts = [n[1:] if n[0] == " " else " " + n for n in some]
+            for name, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                known[name] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(joined), TOGETHER):
+            some = joined[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
+            data = ids.tobytes()
+            for name, a, b in zip(some, edges[:-1], edges[1:], strict=True):
+                known[name] = data[a:b]
+        for name, stem, mark in marked:
+            known[name] = known[stem] + known[mark]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [self.parts(t) if t else [] for t in texts]
         known, older = self.known, self.older
         new = []
-        for part in set().union(*cut):
-            if part not in known:
-                ids = older.get(part)
-                if ids is None:
-                    new.append(part)
-                else:
-                    known[part] = ids
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[part] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for name in set().union(*cut).difference(known):
+            ids = older.get(name)
+            if ids is None:
+                new.append(name)
+            else:
+                known[name] = ids
+        self._learn(new)
+        out = [b"".join(map(known.__getitem__, names)) for names in cut]
         if len(known) > KNOWN:
             self.older, self.known = known, {}
         return out
 
 
+# One encoder per Python worker, which serves many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def vocabulary_bits(path: str) -> int:
     """Bits of the largest id of a tokenizer file."""
     from tokenizers import Tokenizer
@@ -169,12 +224,21 @@ def encoded(docs: DataFrame, tokenizer: str, bits: int, end_id: int = END_ID) ->
     tail = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         for batch in batches:
-            ids = [np.frombuffer(e + tail, "<u4") for e in encoder.encode(batch.column("text").to_pylist())]
+            texts = batch.column("text").to_pylist()
+            sizes, packed, lot, held = [], [], [], 0
+            for i, text in enumerate(texts):
+                lot.append(text)
+                held += len(text or "")
+                if held >= LOT_CHARS or i == len(texts) - 1:
+                    for e in known.encode(lot):
+                        ids = np.frombuffer(e + tail, "<u4")
+                        sizes.append(len(ids))
+                        packed.append(pack(ids, bits))
+                    lot, held = [], 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([pack(i, bits) for i in ids], pa.binary())],
-                names=["doc_id", "n_tokens", "packed"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "packed"]
             )
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, packed binary")

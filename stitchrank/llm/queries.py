@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stitchrank.llm import binary, bwt, dedup, language_model, mixing, sharding, substrings
+from stitchrank.llm import binary, bwt, dedup, jaccard, language_model, mixing, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": mixing.op1_mixing,
     "op3_exact_dedup": dedup.op3_exact_dedup,
     "op5_language_model": language_model.op5_language_model,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_byte_dedup": bwt.op9_byte_dedup,

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from stitchrank.llm import mixing, sharding
+from stitchrank.llm import decontaminate, jaccard, mixing, quality, sharding
 from stitchrank.llm.common import table, written
 
 
+def accepted(spark, docs, sf_dir):
+    """Documents that the quality classifier, fitted on the labels of this input, does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select("row.*")
+
+
+def distinct(spark, docs, sf_dir):
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminated(spark, docs, sf_dir):
+    """Documents that contain no item of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark, docs, sf_dir):
     """Documents repeated or left out so that sources come near their target weights."""
     return mixing.mix(docs)
@@ -16,7 +32,9 @@ def sharded(spark, docs, sf_dir):
     return sharding.shard_documents(docs)
 
 
-STAGES = [("mix", mixed), ("shard", sharded)]
+STAGES = [
+    ("quality", accepted), ("near_duplicates", distinct), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded),
+]
 
 # The classifier is not SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None

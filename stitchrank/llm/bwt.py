@@ -11,7 +11,7 @@ from stitchrank.llm import repeats
 from stitchrank.llm.common import table
 
 LENGTH = 50
-ANCHOR = 28
+ANCHOR = 20
 SHARDS = 8
 # Bytes of contents whose shards are merged at once.
 LOT_BYTES = 1_000_000
@@ -77,8 +77,23 @@ def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]
     return rows, block
 
 
-def first_strings(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Resolver: of every window, the first content that has it, by the intervals of the merged transforms."""
+def first_strings(contents: list[bytes], names: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Resolver: of every window, the first content that has it, by the intervals of the merged transforms.
+
+    A content that is alone under its name shares no window with another, and needs no merging.
+    """
+    sizes = np.array([len(c) for c in contents])
+    count = sizes - length + 1
+    src = np.repeat(np.arange(len(contents)), count)
+    _, inverse, held = np.unique(names, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(held[inverse] > 1)
+    if len(some):
+        src[(held[inverse] > 1)[src]] = some[_merged([contents[i] for i in some], length)]
+    return count, src, np.zeros(len(src), np.int64)
+
+
+def _merged(contents: list[bytes], length: int) -> np.ndarray:
+    """Index of the first content with each window of ``contents``."""
     sizes = np.array([len(c) for c in contents])
     flat = np.frombuffer(b"\0".join([*contents, b""]), np.uint8)
     ends = np.cumsum(sizes + 1) - 1
@@ -108,7 +123,7 @@ def first_strings(contents: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     first[places] = np.repeat(least, np.diff(np.append(starts, len(block))))
     count = sizes - length + 1
     window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends - sizes, count)
-    return count, first[window], np.zeros(len(window), np.int64)
+    return first[window]
 
 
 def byte_dedup(docs: DataFrame, length: int = LENGTH, text: bool = False) -> DataFrame:

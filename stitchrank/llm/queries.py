@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stitchrank.llm import binary, bwt, dedup, jaccard, language_model, mixing, sharding, substrings
+from stitchrank.llm import binary, bwt, decontaminate, dedup, jaccard, language_model, mixing, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_exact_dedup": dedup.op3_exact_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_language_model": language_model.op5_language_model,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_substring_dedup": substrings.op7_substring_dedup,

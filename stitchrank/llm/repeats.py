@@ -16,6 +16,7 @@ whole window. All results are exact; names only route.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,10 +34,9 @@ BLOCK_NAMES = 1_500_000
 BLOCK_BYTES = 12_000_000
 # Windows of a very long text that are looked at in one go.
 STRETCH = 1 << 20
-# A name held by over one in HOT_PART rows is split by whole windows. At most HOT_PART times the
-# mean number of names in a row can be that frequent.
-HOT_PART = 1000
-HOT_LEAST = 64
+# A name held by more rows than a part has on average, and by this many, is split by whole windows.
+# At most (parts) times (mean names of a row) names can be that frequent.
+HOT_LEAST = 1000
 FILTER_BITS = 1 << 26
 
 
@@ -310,15 +310,16 @@ def _send_runs(n: int, windows: Windows, hot: np.ndarray):
     return send
 
 
-# contents in the order of their first (doc, start) -> for all windows of all contents, in order: the index of
-# the content, and the offset in it, where the window occurs first; besides, the windows of each content.
-Resolver = Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+# (contents in the order of their first (doc, start), the name each was sent under, window length) -> the number of
+# windows of each content; and for all windows of all contents, in order, the index of the content, and the
+# offset in it, where the window occurs first. Contents under different names share no window.
+Resolver = Callable[[list[bytes], np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _removed(windows: Windows, resolve: Resolver, contents: list[bytes], which: np.ndarray, rid: np.ndarray, doc: np.ndarray, start: np.ndarray):
+def _removed(windows: Windows, resolve: Resolver, contents: list[bytes], which: np.ndarray, key: np.ndarray, rid: np.ndarray, doc: np.ndarray, start: np.ndarray):
     """(rid, start, end) of the symbols that the given occurrences of contents lose. Occurrences are in (doc, start) order."""
     _, first = np.unique(which, return_index=True)
-    count, src, offset = resolve(contents, windows.length)
+    count, src, offset = resolve(contents, key[first], windows.length)
     base = np.cumsum(count) - count
     size = count[which]
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # window of the occurrence
@@ -346,13 +347,6 @@ def _meet_runs(windows: Windows, resolve: Resolver, most: int):
         held: dict[str, list] = {c: [] for c in fields}
         blobs, spans = [], []
 
-        def emit():
-            rid, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-            rows = [(r, np.stack((s, e), 1).astype("<i8").tobytes()) for r, s, e in _grouped(rid, start, end)]
-            spans.clear()
-            rids, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(data, pa.binary())], names=["rid", "spans"])
-
         for batch in batches:
             for row in batch.to_pylist():
                 if row["known"]:
@@ -374,13 +368,16 @@ def _meet_runs(windows: Windows, resolve: Resolver, most: int):
                 at = at[np.lexsort((start[at], doc[at]))]
                 places: dict[bytes, int] = {}
                 which = [places.setdefault(blob[e - n : e], len(places)) for e, n in zip(ends[at].tolist(), size[at].tolist(), strict=True)]
-                found = _removed(windows, resolve, list(places), np.array(which), rid[at], doc[at], start[at])
+                found = _removed(windows, resolve, list(places), np.array(which), key[at], rid[at], doc[at], start[at])
                 if found:
                     spans.append(found)
-                if len(spans) > 500:
-                    yield emit()
         if spans:
-            yield emit()
+            # One row for each text and part.
+            rid, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+            grouped = _grouped(rid, start, end)
+            while rows := list(itertools.islice(grouped, 20_000)):
+                data = [np.stack((a, b), 1).astype("<i8").tobytes() for _, a, b in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int64()), pa.array(data, pa.binary())], names=["rid", "spans"])
 
     return meet
 
@@ -399,13 +396,13 @@ def repeated_spans(docs: DataFrame, windows: Windows, resolve: Resolver, most: i
     spark = docs.sparkSession
     n = partitions(spark)
     known = WordHashes()
-    rows = docs.count()
+    hot_from = max(HOT_LEAST, docs.count() // n)
 
     def make(text):
         symbols, _ = windows.symbols(text, known)
         return windows.occurrences(symbols)
 
-    marks = shared_names(docs, make, windows.within, max(HOT_LEAST, rows // HOT_PART))
+    marks = shared_names(docs, make, windows.within, hot_from)
     hot = [np.empty(0, np.uint64), *[_wide(r["names"]) for r in marks.where("rid is null").toLocalIterator()]]
     by_row = marks.where("rid is not null").groupBy("rid").agg(F.collect_list("names").alias("marks"))
     candidates, _ = maybe(docs, key_filter(marks.where("rid is not null").select("rid")))

@@ -83,7 +83,7 @@ class SuffixAutomaton:
                 yield end, place[state]
 
 
-def first_windows(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_windows(contents: list[bytes], names: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Resolver: the first occurrence of every window, by matching statistics against a shard's automaton."""
     words = [c.split() for c in contents]
     automaton = SuffixAutomaton()

@@ -19,61 +19,75 @@ LOT_BYTES = 1_000_000
 
 @dataclass
 class Shard:
-    """The transform of a list of strings, each closed by an end symbol 0 of its own."""
+    """The transform of a list of strings, each closed by an end symbol 0 of its own, in suffix order.
 
-    symbols: np.ndarray  # the symbol before each suffix, in suffix order
-    back: np.ndarray  # the row of the suffix that begins with that symbol
-    row: np.ndarray  # the row of each place
-    strings: int
+    Symbols are taken one and two at a time: ``ones`` and ``twos`` hold what stands before each suffix, and the
+    ``back`` arrays the row of the suffix that begins there, or -1 where the string begins.
+    """
+
+    ones: np.ndarray
+    twos: np.ndarray
+    back_one: np.ndarray
+    back_two: np.ndarray
+    places: np.ndarray  # the place of each row's suffix in the text
 
 
 def transform(text: np.ndarray, ends: np.ndarray) -> Shard:
-    """Of symbols above 0 with a 0 at each of ``ends``. Suffixes are sorted once, by doubling, with ends apart."""
-    n = len(text)
-    close = np.repeat(ends, np.diff(ends, prepend=-1))
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    have, top = 1, int(rank.max()) + 1
+    """Of symbols above 0 with a 0 at each of ``ends``. Suffixes are sorted once, by doubling from eight symbols."""
+    n, strings = len(text), len(ends)
+    sizes = np.diff(ends, prepend=-1)
+    close = np.repeat(ends, sizes)
+    at = np.arange(n)
+    wide = text.dtype.itemsize > 1
+    key = text.astype(np.uint64)
+    for step in range(1, 4 if wide else 8):
+        key = (key << np.uint64(16 if wide else 8)) | text[np.minimum(at + step, close)]
+    have, first = (4 if wide else 8), True
     while True:
-        key = rank * top + rank[np.minimum(np.arange(n) + have, close)]
         order = np.argsort(key)
-        sorted_ = key[order]
-        new = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+        key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = new
-        have, top = have * 2, int(new[-1]) + 1
-        if top == n:
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        if first:
+            # Ends are apart from the start, in the order of their strings, and before all else.
+            rank += strings
+            rank[ends] = np.arange(strings)
+        elif rank[order[-1]] == n - 1:
             break
-    before = np.arange(n) - 1
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    symbols = text[order - 1].copy()
-    symbols[rank[begins]] = 0
-    before[begins] = begins
-    return Shard(symbols, rank[before[order]].astype(np.int32), rank.astype(np.int32), len(ends))
+        key = rank * (int(rank.max()) + 1) + rank[np.minimum(at + have, close)]
+        have, first = have if first else 2 * have, False
+    begins = np.repeat(ends - sizes + 1, sizes)
+    before = text[at - 1].astype(np.uint32 if wide else np.uint16)
+    back = [np.where(order - step >= begins[order], rank[order - step], -1).astype(np.int32) for step in (1, 2)]
+    twos = (text[at - 2].astype(before.dtype) << (16 if wide else 8)) | before
+    return Shard(text[order - 1], twos[order], back[0], back[1], order)
 
 
 def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge transforms: (rows of all shards in merged order, block of each), equal in the first ``depth`` symbols.
+    """Merge transforms: (rows of all suffixes of at least ``depth`` symbols, block of each), equal in the first ``depth``.
 
-    The interleave starts as one shard after the other. Each round sorts it stably by the symbol before
-    each row, which puts it in the order of one symbol more; rows of one shard keep their order
+    The interleave starts as one shard after the other. Each round sorts it stably by the symbols before
+    each row, which puts it in the order of so many symbols more; rows of one shard keep their order
     throughout. Neighbours stay in a block while their symbols and the blocks they came from are
-    equal, so the blocks are the intervals of the common prefix. No suffix is compared again.
+    equal, so the blocks are the intervals of the common prefix. No suffix is compared again. Rows at
+    the beginning of a string lead no further and leave, so that those left have ``depth`` symbols.
     """
-    at = np.cumsum([0, *[len(s.symbols) for s in shards]])
-    symbols = np.concatenate([s.symbols for s in shards])
-    back = np.concatenate([s.back + o for s, o in zip(shards, at, strict=False)]).astype(np.int32)
-    close = np.concatenate([np.arange(s.strings) + o for s, o in zip(shards, at, strict=False)]).astype(np.int32)
+    at = np.cumsum([0, *[len(s.ones) for s in shards]])
+
+    def joined(name):
+        return np.concatenate([np.where(getattr(s, name) < 0, -1, getattr(s, name) + o) for s, o in zip(shards, at, strict=False)]).astype(np.int32)
+
     rows, block = np.arange(at[-1], dtype=np.int32), np.zeros(at[-1], np.int32)
-    for _ in range(depth):
-        last = symbols[rows]
-        order = np.argsort(last, kind="stable")[len(close) :]
-        last, from_ = last[order], block[order]
-        rows = np.concatenate((close, back[rows[order]]))
-        block[: len(close)] = np.arange(len(close))
-        block[len(close)] = len(close)
-        np.cumsum((last[1:] != last[:-1]) | (from_[1:] != from_[:-1]), out=block[len(close) + 1 :])
-        block[len(close) + 1 :] += len(close)
+    for name, back, rounds in (("twos", joined("back_two"), depth // 2), ("ones", joined("back_one"), depth % 2)):
+        symbols = np.concatenate([getattr(s, name) for s in shards])
+        for _ in range(rounds):
+            to, last = back[rows], symbols[rows]
+            on = to >= 0
+            to, last, block = to[on], last[on], block[on]
+            order = np.argsort(last, kind="stable")
+            last, block, rows = last[order], block[order], to[order]
+            edge = (last[1:] != last[:-1]) | (block[1:] != block[:-1])
+            block = np.concatenate(([0], np.cumsum(edge, dtype=np.int32))).astype(np.int32)[: len(rows)]
     return rows, block
 
 
@@ -110,9 +124,7 @@ def _merged(contents: list[bytes], length: int) -> np.ndarray:
         if len(part):
             stop = ends[part[-1]] + 1
             shards.append(transform(text[done:stop], ends[part] - done))
-            inverse = np.empty(stop - done, np.int64)
-            inverse[shards[-1].row] = np.arange(done, stop)
-            place.append(inverse)
+            place.append(shards[-1].places + done)
             done = stop
     rows, block = interleave(shards, length)
     places = np.concatenate(place)[rows]

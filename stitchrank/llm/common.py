@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import xxhash
@@ -119,13 +118,3 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
     return h if size == w else np.minimum(h[: len(h) - (w - size)], h[w - size :])
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    return edges[::2], edges[1::2]
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)

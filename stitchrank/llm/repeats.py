@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchrank.llm.common import NULL_ID, WordHashes, mix, partitions, rolling, row_key, runs, sliding_min, word_hashes, written
+from stitchrank.llm.common import NULL_ID, WordHashes, mix, partitions, rolling, row_key, sliding_min, word_hashes, written
 
 LOW = np.uint64((1 << 40) - 1)
 BLOCK_NAMES = 1_500_000
@@ -117,8 +117,9 @@ def _send_names(n: int, make: Callable[[str | None], np.ndarray], within: bool):
     """Task that sends the names of its rows, each once per block, to the parts of the names."""
 
     def flush(names: list, rids: list, block: int) -> Iterator[dict]:
-        sizes = np.array([len(x) for x in names])
-        h, r = np.concatenate(names), np.repeat(np.arange(len(names), dtype=np.int32), sizes)
+        # Rows of one rid are one row.
+        ids, number = np.unique(np.array(rids, np.int64), return_inverse=True)
+        h, r = np.concatenate(names), np.repeat(number.astype(np.int32), [len(x) for x in names])
         order = np.argsort(h)
         h, r = h[order], r[order]
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -126,7 +127,6 @@ def _send_names(n: int, make: Callable[[str | None], np.ndarray], within: bool):
             return
         counts = np.diff(np.append(starts, len(h)))
         shared = counts > 1 if within else np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)
-        ids = np.array(rids, np.int64)
         # Names that the block itself shares: its rows know already.
         mine = np.repeat(shared, counts)
         if mine.any():
@@ -167,28 +167,16 @@ def _send_names(n: int, make: Callable[[str | None], np.ndarray], within: bool):
     return send
 
 
-def _meet_names(hot: int):
-    """Task that finds the shared among the names of its part; gives (rid, names), and hot names under no rid."""
+def _meet_names(n: int, hot: int, within: bool):
+    """Task that finds the shared among the names of its part and sends them to the parts of their rids, one row for each part."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, owners, held, out = [], [], [], []
-
-        def emit():
-            rids, blobs = zip(*out, strict=True)
-            batch = pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(blobs, pa.binary())], names=["rid", "names"])
-            out.clear()
-            return batch
-
+        names, owners, held, known = [], [], [], []
         for batch in batches:
-            for _, rids, counts, data, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for _, rids, counts, data, local in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 rids, counts, found = np.frombuffer(rids, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), _wide(data)
-                if known:
-                    at = 0
-                    for rid, size in zip(rids.tolist(), counts.tolist(), strict=True):
-                        out.append((rid, _narrow(found[at : at + size])))
-                        at += size
-                    if len(out) > 20_000:
-                        yield emit()
+                if local:
+                    known.append((np.repeat(rids, counts), found))
                     continue
                 several, sizes, more = int(counts[0]), counts[1 : 1 + len(rids)], counts[1 + len(rids) :]
                 names.append(found)
@@ -203,25 +191,49 @@ def _meet_names(hot: int):
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             total = np.add.reduceat(c, starts)
             size = np.diff(np.append(starts, len(h)))
+            several = np.maximum.reduceat(c, starts) > 1
+            shared = several | (size > 1 if within else np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts))
             if (total >= hot).any():
-                out.append((None, _narrow(h[starts[total >= hot]])))
+                yield pa.RecordBatch.from_pylist([{"part": 0, "names": _narrow(h[starts[total >= hot]])}], schema=_FOUND)
             # Rows known to their block have no owner here; a name of one block's several rows is theirs alone.
-            shared = np.repeat(size > 1, size) & (c == 1)
-            out.extend((rid, _narrow(found)) for rid, found in _grouped(r[shared], h[shared]))
-        if out:
-            yield emit()
+            shared = np.repeat(shared, size) & (c == 1)
+            known.append((r[shared], h[shared]))
+        if known:
+            rid, found = (np.concatenate(x) for x in zip(*known, strict=True))
+            for part, own, mine in _grouped(_part(mix(rid.view(np.uint64)), n), rid, found):
+                yield pa.RecordBatch.from_pylist([{"part": part, "rids": own.tobytes(), "names": _narrow(mine)}], schema=_FOUND)
 
     return meet
 
 
+_FOUND = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("names", pa.binary())])
+
+
+def _gather_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (rid, names) for each text; hot names come under no rid."""
+    rids, names, out = [], [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["rids"] is None:
+                out.append((None, row["names"]))
+            else:
+                rids.append(np.frombuffer(row["rids"], "<i8"))
+                names.append(_wide(row["names"]))
+    grouped = itertools.chain(out, ((r, _narrow(x)) for r, x in _grouped(np.concatenate(rids), np.concatenate(names)))) if rids else iter(out)
+    while rows := list(itertools.islice(grouped, 5000)):
+        keys, data = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["rid", "names"])
+
+
 def shared_names(rows: DataFrame, make: Callable[[str | None], np.ndarray], within: bool, hot: int) -> DataFrame:
-    """(rid, names) of the names that occur in several rows of (rid, text), as written blobs; hot names have no rid.
+    """(rid, names): for each row of (rid, text) a blob of those of its names that occur in several rows; hot names have no rid.
 
     ``make`` gives the 64-bit names of a text. With ``within``, two places in one row count as several.
     """
     n = partitions(rows.sparkSession)
     sent = rows.select("rid", "text").mapInArrow(_send_names(n, make, within), _NAMES_SQL)
-    return written(sent.repartitionById(n, F.col("part")).mapInArrow(_meet_names(hot), "rid long, names binary"))
+    met = sent.repartitionById(n, F.col("part")).mapInArrow(_meet_names(n, hot, within), "part int, rids binary, names binary")
+    return written(met.repartitionById(n, F.col("part")).mapInArrow(_gather_names, "rid long, names binary"))
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
@@ -247,65 +259,72 @@ def maybe(docs: DataFrame, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
     return flagged.where("_hit").drop("_hit"), flagged.where("not _hit").drop("_hit")
 
 
-_RUNS = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("content", pa.binary()), ("known", pa.bool_())])
-_RUNS_SQL = "part int, rids binary, docs binary, starts binary, sizes binary, keys binary, content binary, known boolean"
+_RUNS = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("content", pa.binary()), ("known", pa.bool_())])
+_RUNS_SQL = "part int, rids binary, docs binary, rows binary, starts binary, sizes binary, keys binary, content binary, known boolean"
 
 
 def _send_runs(n: int, windows: Windows, hot: np.ndarray):
     """Task that sends the runs of shared names; of equal contents in a block only the first occurrence."""
 
-    def flush(entries: list, block: int) -> Iterator[dict]:
-        contents, keys, codes, rids, docs, starts, counts = (list(x) for x in zip(*entries, strict=True))
-        code, doc, start = np.array(codes, np.uint64), np.array(docs, np.int64), np.array(starts, np.int64)
-        rid, count, key = np.array(rids, np.int64), np.array(counts, np.int64), np.array(keys, np.uint64)
+    def flush(contents: list, texts: list, parts: list, block: int) -> Iterator[dict]:
+        row, start, count, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        rids, docs = np.array([t[0] for t in texts], np.int64), np.array([t[1] for t in texts], np.int64)
+        code = np.fromiter(map(xxhash.xxh64_intdigest, contents), np.uint64, len(contents))
+        size = np.fromiter(map(len, contents), np.int64, len(contents))
+        key = np.where(key == 0, code, key)  # a window by itself goes by its content
+        doc = docs[row]
         order = np.lexsort((start, doc, code))
-        code_o, doc_o = code[order], doc[order]
-        head = np.concatenate(([True], code_o[1:] != code_o[:-1]))
-        first = np.flatnonzero(head)
-        owner = np.repeat(doc_o[first], np.diff(np.append(first, len(order))))
-        open_ = head if windows.within else doc_o == owner
-        closed = order[~open_]
+        first = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+        owner = order[np.repeat(first, np.diff(np.append(first, len(order))))]
+        # Rows of one rid come several times with the same places; they stay together.
+        open_ = doc[order] == doc[owner]
+        if windows.within:
+            open_ &= start[order] == start[owner]
+        closed, rest = order[~open_], order[open_]
+
+        def line(part: int, at: np.ndarray, **more) -> dict:
+            own, number = np.unique(row[at], return_inverse=True)
+            return {"part": part, "rids": rids[own].tobytes(), "docs": docs[own].tobytes(), "rows": number.astype("<u4").tobytes(), "starts": start[at].astype("<u4").tobytes()} | more
+
         if len(closed):
-            yield {"part": block % n, "rids": rid[closed].tobytes(), "starts": start[closed].tobytes(), "sizes": (count[closed] + windows.length - 1).tobytes(), "known": True}
-        rest = order[open_]
-        part = _part(key[rest], n)
-        for p, at in _grouped(part, rest):
-            yield {
-                "part": p, "rids": rid[at].tobytes(), "docs": doc[at].tobytes(), "starts": start[at].tobytes(),
-                "sizes": np.array([len(contents[i]) for i in at], "<i8").tobytes(), "keys": key[at].tobytes(),
-                "content": b"".join([contents[i] for i in at]), "known": False,
-            }
+            yield line(block % n, closed, sizes=(count[closed] + windows.length - 1).astype("<u4").tobytes(), known=True)
+        for p, at in _grouped(_part(key[rest], n), rest):
+            at = np.sort(at)
+            yield line(
+                p, at, sizes=size[at].astype("<u4").tobytes(), keys=(key[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                content=b"".join([contents[i] for i in at.tolist()]), known=False,
+            )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, entries, held, block = WordHashes(), [], 0, hash(id(batches)) % n
+        known, block = WordHashes(), hash(id(batches)) % n
+        contents, texts, parts, held = [], [], [], 0
+
+        def add(raw, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> int:
+            found = [windows.cut(raw, s, e) for s, e in zip(starts.tolist(), (ends + windows.length - 1).tolist(), strict=True)]
+            contents.extend(found)
+            parts.append((np.full(len(starts), len(texts) - 1), starts, ends - starts, keys))
+            return sum(map(len, found))
+
         for batch in batches:
             for rid, doc, text, marks in zip(*[batch.column(c).to_pylist() for c in ("rid", "doc", "text", "marks")], strict=True):
                 symbols, raw = windows.symbols(text, known)
-                wanted = np.unique(np.concatenate([_wide(m) for m in marks]))
+                wanted = np.unique(_wide(marks))
+                texts.append((rid, doc))
                 for at, _, least in windows.names(symbols):
                     starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
                     ends = np.append(starts[1:], len(least))
                     names = mix(least[starts])
                     keep = np.isin(names & LOW, wanted)
-                    split = np.isin(names & LOW, hot) & keep
-                    for s, e, name in zip((starts[keep & ~split] + at).tolist(), (ends[keep & ~split] + at).tolist(), names[keep & ~split].tolist(), strict=True):
-                        content = windows.cut(raw, s, e + windows.length - 1)
-                        held += len(content)
-                        entries.append((content, name, xxhash.xxh64_intdigest(content), rid, doc, s, e - s))
-                    for s, e in zip((starts[split] + at).tolist(), (ends[split] + at).tolist(), strict=True):
-                        for w in range(s, e):
-                            content = windows.cut(raw, w, w + windows.length)
-                            code = xxhash.xxh64_intdigest(content)
-                            held += len(content)
-                            entries.append((content, code, code, rid, doc, w, 1))
-                        if held >= BLOCK_BYTES:
-                            yield pa.RecordBatch.from_pylist(list(flush(entries, block)), schema=_RUNS)
-                            entries, held, block = [], 0, block + 1
+                    split = np.isin(names & LOW, hot) & keep if len(hot) else np.zeros(len(keep), bool)
+                    keep &= ~split
+                    held += add(raw, starts[keep] + at, ends[keep] + at, names[keep] | np.uint64(1))
+                    for s, e in zip(starts[split] + at, ends[split] + at, strict=True):
+                        held += add(raw, np.arange(s, e), np.arange(s, e) + 1, np.zeros(e - s, np.uint64))
                 if held >= BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pylist(list(flush(entries, block)), schema=_RUNS)
-                    entries, held, block = [], 0, block + 1
-        if entries:
-            yield pa.RecordBatch.from_pylist(list(flush(entries, block)), schema=_RUNS)
+                    yield pa.RecordBatch.from_pylist(list(flush(contents, texts, parts, block)), schema=_RUNS)
+                    contents, texts, parts, held, block = [], [], [], 0, block + 1
+        if contents:
+            yield pa.RecordBatch.from_pylist(list(flush(contents, texts, parts, block)), schema=_RUNS)
 
     return send
 
@@ -339,22 +358,27 @@ def _removed(windows: Windows, resolve: Resolver, contents: list[bytes], which:
     return rid[owner[a]], start[owner[a]] + at[a], start[owner[a]] + at[b] + windows.length
 
 
-def _meet_runs(windows: Windows, resolve: Resolver, most: int):
-    """Task that lets ``resolve`` decide on the contents of its part, in lots of about ``most`` bytes."""
+def _meet_runs(n: int, windows: Windows, resolve: Resolver, most: int):
+    """Task that lets ``resolve`` decide on the contents of its part, in lots of about ``most`` bytes.
+
+    It sends the spans that texts lose to the parts of their rids, one row for each part.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = {"rids": "<i8", "docs": "<i8", "starts": "<i8", "sizes": "<i8", "keys": "<u8"}
+        fields = ("rid", "doc", "start", "size", "key")
         held: dict[str, list] = {c: [] for c in fields}
         blobs, spans = [], []
-
         for batch in batches:
             for row in batch.to_pylist():
+                number = np.frombuffer(row["rows"], "<u4")
+                rid, start = np.frombuffer(row["rids"], "<i8")[number], np.frombuffer(row["starts"], "<u4").astype(np.int64)
+                size = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
                 if row["known"]:
-                    start = np.frombuffer(row["starts"], "<i8")
-                    spans.append((np.frombuffer(row["rids"], "<i8"), start, start + np.frombuffer(row["sizes"], "<i8")))
+                    spans.append((rid, start, start + size))
                     continue
-                for c, t in fields.items():
-                    held[c].append(np.frombuffer(row[c], t))
+                doc, key = np.frombuffer(row["docs"], "<i8")[number], np.frombuffer(row["keys"], "<u4")
+                for c, values in zip(fields, (rid, doc, start, size, key), strict=True):
+                    held[c].append(values)
                 blobs.append(row["content"])
         if blobs:
             rid, doc, start, size, key = (np.concatenate(held[c]) for c in fields)
@@ -363,7 +387,7 @@ def _meet_runs(windows: Windows, resolve: Resolver, most: int):
             blobs.clear()
             held.clear()
             lots = len(blob) // most + 1
-            lot = (mix(key) % np.uint64(lots)).astype(np.int64)
+            lot = (mix(key.astype(np.uint64)) % np.uint64(lots)).astype(np.int64)
             for _, at in _grouped(lot, np.arange(len(lot))):
                 at = at[np.lexsort((start[at], doc[at]))]
                 places: dict[bytes, int] = {}
@@ -372,16 +396,33 @@ def _meet_runs(windows: Windows, resolve: Resolver, most: int):
                 if found:
                     spans.append(found)
         if spans:
-            # One row for each text and part.
             rid, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-            grouped = _grouped(rid, start, end)
-            while rows := list(itertools.islice(grouped, 20_000)):
-                data = [np.stack((a, b), 1).astype("<i8").tobytes() for _, a, b in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int64()), pa.array(data, pa.binary())], names=["rid", "spans"])
+            for part, *columns in _grouped(_part(mix(rid.view(np.uint64)), n), rid, start, end):
+                data = [columns[0].tobytes(), *[c.astype("<u4").tobytes() for c in columns[1:]]]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["part", "rids", "starts", "ends"])
 
     return meet
 
 
+def _gather_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (rid, spans) for each text; its spans are joined where they overlap or touch."""
+    held = [(np.frombuffer(r["rids"], "<i8"), np.frombuffer(r["starts"], "<u4").astype(np.int64), np.frombuffer(r["ends"], "<u4").astype(np.int64)) for b in batches for r in b.to_pylist()]
+    if not held:
+        return
+    rid, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.lexsort((start, rid))
+    rid, start, end = rid[order], start[order], end[order]
+    grouped = _grouped(rid, start, end)
+    while rows := list(itertools.islice(grouped, 5000)):
+        out = []
+        for _, a, b in rows:
+            reach = np.maximum.accumulate(b)
+            cut = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
+            out.append(np.stack((a[cut], np.append(reach[cut[1:] - 1], reach[-1])), 1).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int64()), pa.array(out, pa.binary())], names=["rid", "spans"])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, doc, text) of every row; ``doc`` orders rows, a null id after all others."""
     doc_id = F.col("doc_id").cast("long")
@@ -389,9 +430,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, windows: Windows, resolve: Resolver, most: int) -> DataFrame:
-    """(rid, spans): for every row of :func:`keyed` that loses symbols, blobs of (start, end) pairs.
+    """(rid, spans): for every row of :func:`keyed` that loses symbols, a blob of (start, end) pairs.
 
-    Spans of one row may overlap. Rows equal in id and text share a rid and their spans.
+    Spans are apart and in order. Rows equal in id and text share a rid and their spans.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -404,10 +445,11 @@ def repeated_spans(docs: DataFrame, windows: Windows, resolve: Resolver, most: i
 
     marks = shared_names(docs, make, windows.within, hot_from)
     hot = [np.empty(0, np.uint64), *[_wide(r["names"]) for r in marks.where("rid is null").toLocalIterator()]]
-    by_row = marks.where("rid is not null").groupBy("rid").agg(F.collect_list("names").alias("marks"))
+    by_row = marks.where("rid is not null").withColumnRenamed("names", "marks")
     candidates, _ = maybe(docs, key_filter(marks.where("rid is not null").select("rid")))
     sent = candidates.join(by_row, "rid").select("rid", "doc", "text", "marks").mapInArrow(_send_runs(n, windows, np.concatenate(hot)), _RUNS_SQL)
-    return written(sent.repartitionById(n, F.col("part")).mapInArrow(_meet_runs(windows, resolve, most), "rid long, spans binary"))
+    met = sent.repartitionById(n, F.col("part")).mapInArrow(_meet_runs(n, windows, resolve, most), "part int, rids binary, starts binary, ends binary")
+    return written(met.repartitionById(n, F.col("part")).mapInArrow(_gather_spans, "rid long, spans binary"))
 
 
 def finished(docs: DataFrame, spans: DataFrame, words: bool, text: bool = False) -> DataFrame:
@@ -415,10 +457,9 @@ def finished(docs: DataFrame, spans: DataFrame, words: bool, text: bool = False)
 
     Words that are left are joined by one space. Bytes that are left may be no whole UTF-8; ``text`` is binary.
     """
-    by_row = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     touched, rest = maybe(docs, key_filter(spans.select("rid")))
-    rows = touched.join(by_row, "rid", "left").select("doc_id", "text", "spans")
-    rest = rest.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
+    rows = touched.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    rest = rest.select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,18 +468,13 @@ def finished(docs: DataFrame, spans: DataFrame, words: bool, text: bool = False)
                 raw = (content or "").encode("utf-8", "surrogatepass")
                 raw = raw.split() if words else raw
                 n = len(raw)
-                gone = np.zeros(n + 1, np.int32)
-                for data in found or ():
-                    pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
-                    np.add.at(gone, pairs[:, 0], 1)
-                    np.add.at(gone, pairs[:, 1], -1)
-                mask = np.cumsum(gone[:-1]) > 0
-                starts, _ = runs(mask)
-                if words:
-                    left = b" ".join(raw) if not len(starts) else b" ".join([raw[i] for i in np.flatnonzero(~mask)])
-                else:
-                    left = raw if not len(starts) else np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                out.append((n, int(mask.sum()), len(starts), hashlib.sha256(left).hexdigest(), left if text else None))
+                pairs = np.frombuffer(found or b"", "<i8").reshape(-1, 2).tolist()
+                left, at = [], 0
+                for start, end in [*pairs, (n, n)]:
+                    left += raw[at:start] if words else [raw[at:start]]
+                    at = end
+                left = (b" " if words else b"").join(left)
+                out.append((n, sum(e - s for s, e in pairs), len(pairs), hashlib.sha256(left).hexdigest(), left if text else None))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]],

@@ -369,10 +369,9 @@ def _ids(condition: str, name: str) -> str:
 
 @register(
     "A5_ts_alignment_ids",
-    f"""select bundle_id, 0 as part, 1 as n_parts, {_ids('not both_ts', 'product_ids_missing_ts')}, {', '.join(
-        f"{_ids(f'same_{p}', f'product_ids_same_{p}')}, {_ids(f'both_ts and not same_{p}', f'product_ids_diff_{p}')}"
-        for p in alignment.PERIODS)}
-        from timed group by bundle_id""",
+    f"""select bundle_id, product_id, unnest(case when not both_ts then ['missing_ts'] else [{', '.join(
+        f"case when same_{p} then 'same_{p}' else 'diff_{p}' end" for p in alignment.PERIODS)}] end) as list_name
+        from timed""",
     *ALIGNED,
 )
 def _(x):

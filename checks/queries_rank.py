@@ -362,7 +362,7 @@ def _(x):
     *metrics("near", "f_truth", (1, 20, 50)),
 )
 def _(x):
-    found = retrieve.topk(bundle_queries(x), x.f_index.select("product_id", "v"), 50, key="bundle_id")
+    found = retrieve.topk(bundle_queries(x), x.f_index.select("product_id", "v"), 50)
     return evaluate.coverage(found, x.f_truth, [0, 20, 200], 50)
 
 
@@ -398,7 +398,7 @@ POOL = (
 
 
 def pool(x):
-    found = retrieve.topk(bundle_queries(x), x.f_index.select("product_id", "v"), 40, key="bundle_id")
+    found = retrieve.topk(bundle_queries(x), x.f_index.select("product_id", "v"), 40)
     return splits.listwise_records(found, x.f_truth)
 
 
@@ -437,6 +437,6 @@ def _(x):
     *POOL,
 )
 def _(x):
-    found = retrieve.topk(bundle_queries(x), x.f_index.select("product_id", "v"), 40, key="bundle_id")
+    found = retrieve.topk(bundle_queries(x), x.f_index.select("product_id", "v"), 40)
     pairs = listwise.with_vectors(found.select("bundle_id", "product_id"), bundle_queries(x), x.f_index)
     return listwise.score_pairs(pairs, linear_model())

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stitchrank.functions.urltime import calendar_keys, delta_hours, url_ts
 
 PERIODS = ("date", "month", "quarter")
-IDS_PER_PART = 10_000  # ids joined into one text value
 
 
 def link_times(links: DataFrame, bundles: DataFrame, products: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -65,28 +64,23 @@ def ts_alignment(links: DataFrame, bundles: DataFrame, products: DataFrame, tz:
     return report.select(*out, "avg_delta_hours_abs", "max_delta_hours_abs")
 
 
-def ts_alignment_ids(
-    links: DataFrame, bundles: DataFrame, products: DataFrame, tz: str = "UTC", ids_per_part: int = IDS_PER_PART
-) -> DataFrame:
-    """A5: the seven pipe-joined, sorted id lists of a bundle.
+def ts_alignment_ids(links: DataFrame, bundles: DataFrame, products: DataFrame, tz: str = "UTC") -> DataFrame:
+    """A5: the members of the seven id lists of a bundle, one row ``(bundle_id, list_name, product_id)`` each.
 
-    A bundle has one row, ``part = 0``; one with more than ``ids_per_part`` products has
-    several, its products spread over them by hash, so that no value grows without bound.
+    A bundle with any number of products has the same shape. Lists are ordered by ``product_id`` where they are
+    written; :func:`joined_ids` makes texts of lists that are known to be short.
     """
-    rows = link_times(links, bundles, products, tz)
-    parts = rows.groupBy("bundle_id").agg(F.ceil(F.count("*") / F.lit(ids_per_part)).cast("int").alias("n_parts"))
-    split = rows.join(parts, "bundle_id").withColumn(
-        "part", F.pmod(F.xxhash64("product_id"), F.col("n_parts")).cast("int")
+    lists = F.when(~F.col("both_ts"), F.array(F.lit("missing_ts"))).otherwise(
+        F.array(*[F.when(F.col(f"same_{p}"), f"same_{p}").otherwise(f"diff_{p}") for p in PERIODS])
     )
+    rows = link_times(links, bundles, products, tz)
+    return rows.select("bundle_id", F.explode(lists).alias("list_name"), "product_id")
 
-    def ids(condition: Column) -> Column:
-        return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("product_id")))), "|")
 
-    lists = [ids(~F.col("both_ts")).alias("product_ids_missing_ts")]
-    for p in PERIODS:
-        lists.append(ids(F.col("both_ts") & F.col(f"same_{p}")).alias(f"product_ids_same_{p}"))
-        lists.append(ids(F.col("both_ts") & ~F.col(f"same_{p}")).alias(f"product_ids_diff_{p}"))
-    return split.groupBy("bundle_id", "part", "n_parts").agg(*lists)
+def joined_ids(members: DataFrame) -> DataFrame:
+    """A5: a list of :func:`ts_alignment_ids` as one pipe-joined, sorted text; for lists of bounded length."""
+    ids = F.array_join(F.array_sort(F.collect_list("product_id")), "|").alias("product_ids")
+    return members.groupBy("bundle_id", "list_name").agg(ids)
 
 
 def ts_alignment_totals(report: DataFrame) -> DataFrame:

@@ -7,12 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stitchrank.fixed_values import BOX_FEATURES
+from stitchrank.fixed_values import BOX_FEATURES, PRODUCT_VIEWS
 from stitchrank.operators.scale import checkpointed
 
 PADDING = 0.15
 DEFAULT_CLASS = "clothing"
-PRODUCT_VIEWS = ["identity", "hflip", "center_crop_85", "top_crop", "bottom_crop"]
 NMS_BAND = 256  # boxes of one image folded in one go
 
 
@@ -126,10 +125,11 @@ def nms(
         kept = checkpointed(kept)
         rest = usable.join(crowded.select("bundle_id"), "bundle_id", "left_semi")
         while True:
-            # A kept box overlaps itself fully, so this also drops the ones already taken.
+            # A taken box goes by its id: an empty one does not overlap itself.
+            taken = F.array_contains(F.transform("kept", lambda k: k["box_id"]), F.col("box_id"))
             rest = checkpointed(
                 rest.join(kept, "bundle_id")
-                .filter((F.size("kept") < max_boxes) & clear(F.col("kept"), F.struct(*columns)))
+                .filter((F.size("kept") < max_boxes) & ~taken & clear(F.col("kept"), F.struct(*columns)))
                 .select(*usable.columns)
             )
             if rest.isEmpty():

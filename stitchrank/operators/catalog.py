@@ -87,11 +87,21 @@ def with_article(df: DataFrame, url: str = "image_url") -> DataFrame:
     return df.withColumn("article", F.when(code != "", code))
 
 
+ARTICLE_BLOCK = 10_000  # bundles of one article joined in one part
+
+
 def article_matches(bundles: DataFrame, products: DataFrame) -> DataFrame:
-    """Bundles and products showing the same article."""
+    """Bundles and products showing the same article.
+
+    An article with more than ``ARTICLE_BLOCK`` bundles is joined in as many salted parts, its products
+    going to each. ``bundles`` is read twice.
+    """
     left = with_article(bundles).select("bundle_id", "article").filter(F.col("article").isNotNull())
     right = with_article(products).select("product_id", "article").filter(F.col("article").isNotNull())
-    return left.join(right, "article").select("bundle_id", "product_id", "article")
+    parts = left.groupBy("article").agg(F.ceil(F.count("*") / F.lit(ARTICLE_BLOCK)).cast("int").alias("_parts"))
+    left = left.join(parts, "article").withColumn("_part", F.pmod(F.xxhash64("bundle_id"), F.col("_parts")).cast("int"))
+    right = right.join(parts, "article").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return left.join(right, ["article", "_part"]).select("bundle_id", "product_id", "article")
 
 
 def manifest_links(manifest: DataFrame) -> DataFrame:

@@ -28,18 +28,19 @@ def rrf(subs: DataFrame, k: int = RRF_K, top: int = 15) -> DataFrame:
     scores keep the order of first sight.
     """
     first = subs.agg(F.min("submission")).scalar()
-    bundles = subs.filter(F.col("submission") == first).select("bundle_id")
     fused = (
-        subs.join(bundles, "bundle_id", "left_semi")
-        .groupBy("bundle_id", "product_id")
+        subs.groupBy("bundle_id", "product_id")
         .agg(
             stable(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank")))).alias("score"),
             # (submission, rank) as one number, which a hash aggregate can hold in its buffer
             F.min(F.col("submission").cast("bigint") * F.lit(1 << 32) + F.col("rank")).alias("_seen"),
+            F.max(F.col("submission") == first).alias("_first"),
         )
     )
-    order = Window.partitionBy("bundle_id").orderBy(F.desc("score"), F.asc("_seen"))
-    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("_seen")
+    bundle = Window.partitionBy("bundle_id")
+    listed = fused.withColumn("_first", F.max("_first").over(bundle)).filter("_first")
+    ranked = listed.withColumn("rank", F.row_number().over(bundle.orderBy(F.desc("score"), F.asc("_seen"))))
+    return ranked.filter(F.col("rank") <= top).drop("_seen", "_first")
 
 
 def incomplete_bundles(ranked: DataFrame, k: int = 15) -> DataFrame:
@@ -76,11 +77,13 @@ def _replacements(
     last = places.groupBy("article").agg(F.max(F.struct("place", "product_id")).alias("_last"))
     wanted = with_article(bundles).select("bundle_id", "article").join(last, "article")
 
-    # Scored pairs and list entries of a bundle in one short array: as long as its lists together.
+    # Only list entries and scored matches of the bundle's article are gathered: one short array per bundle.
     known = (
         scores.select("bundle_id", "product_id", "score")
         .join(base.select("bundle_id", "product_id", "rank"), ["bundle_id", "product_id"], "full")
         .join(placed.select("product_id", "place", "article", "before"), "product_id", "left")
+        .join(wanted.select("bundle_id", F.col("article").alias("_wanted")), "bundle_id", "left")
+        .filter(F.col("rank").isNotNull() | (F.col("article") == F.col("_wanted")))
         .groupBy("bundle_id")
         .agg(
             F.array_sort(

@@ -118,7 +118,7 @@ def validate_regions(crops: DataFrame, index: DataFrame, truth: DataFrame, k: in
     """M5: Recall@k of the mean region vector, and the histogram of positives per bundle."""
     queries = mean_regions(crops)
     known = _indexed(truth, index)
-    ranked = topk(queries.select("bundle_id", "v"), index.select("product_id", "v"), k, key="bundle_id")
+    ranked = topk(queries.select("bundle_id", "v"), index.select("product_id", "v"), k)
     metrics = hit_recall(ranked, known, [k], scope="predicted").filter(F.col("metric") != "hit")
     seen = known.join(queries.select("bundle_id"), "bundle_id", "left_semi")
     return metrics, positives_histogram(seen)

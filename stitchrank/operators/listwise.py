@@ -13,13 +13,13 @@ import json
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stitchrank.functions.vectors import dot, feature_dim, pair_features
 from stitchrank.operators.embeddings import fit_width, weighted_bundle_vector
-from stitchrank.operators.rank import top_n, zscore
+from stitchrank.operators.rank import zscore
 from stitchrank.operators.scale import stable
 
 MODEL_BYTES = 256 << 20
@@ -144,8 +144,8 @@ def learned_rerank(
     rows = rows.join(queries.select("bundle_id", F.lit(True).alias("_known")), "bundle_id", "left")
     learned = F.coalesce("_model", F.lit(NO_VECTOR_SCORE)) + F.lit(alpha) * F.col("_z")
     mixed = rows.withColumn("score", F.when(F.col("_known"), stable(learned)).otherwise(F.col("score")))
-    # Lists are as short as the candidate pool; the cut only renumbers them.
-    return top_n(mixed.drop("_z", "_model", "_known"), 1 << 30)
+    order = Window.partitionBy("bundle_id").orderBy(F.desc("score"), F.asc("product_id"))
+    return mixed.drop("_z", "_model", "_known").withColumn("rank", F.row_number().over(order))
 
 
 def fit_linear(

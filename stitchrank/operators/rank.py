@@ -121,45 +121,51 @@ def ts_rerank(
 def hubness(ranked: DataFrame, max_ratio: float = 0.015, penalty: float = 0.1) -> DataFrame:
     """lower the score of products present in too large a share of the bundles.
 
-    Counts come from a pre-aggregated group-by joined back, not from a window, so that a hub
-    product never gathers its rows in one task. ``ranked`` is read three times; checkpoint one
-    that is costly to compute.
+    Counts come from a pre-aggregated group-by. Only hubs are joined back, and there are at most
+    (mean length of a list / ``max_ratio``) of them, so they are broadcast and the lists are not shuffled.
+    ``ranked`` is read three times; checkpoint one that is costly to compute.
     """
     bundles = ranked.agg(F.count_distinct("bundle_id")).scalar()
     uses = ranked.groupBy("product_id").agg(F.count("*").alias("_uses"))
-    excess = F.col("_uses") / bundles - F.lit(max_ratio)
+    hubs = uses.select("product_id", (F.col("_uses") / bundles - F.lit(max_ratio)).alias("_excess")).filter("_excess > 0")
+    hubs = F.broadcast(hubs) if max_ratio > 0 else hubs
     return (
-        ranked.join(uses, "product_id")
-        .withColumn("score", stable(F.col("score") - F.when(excess > 0, F.lit(penalty) * excess).otherwise(0.0)))
-        .drop("_uses")
+        ranked.join(hubs, "product_id", "left")
+        .withColumn("score", stable(F.col("score") - F.coalesce(F.lit(penalty) * F.col("_excess"), F.lit(0.0))))
+        .drop("_excess")
     )
 
 
 CROP_BLOCK = 4_096  # crops of one bundle scored in one group
+CANDIDATE_BLOCK = 4_096  # candidates of one bundle scored in one group
 
 
 def late_interaction(ranked: DataFrame, crops2: DataFrame, index2: DataFrame, weight: float = 0.4) -> DataFrame:
     """blend in the best cosine of any crop under a second embedding.
 
-    Candidate lists are short (the pool size); crops need not be. A bundle with many crops is
-    cut into blocks of ``CROP_BLOCK``, its candidate vectors go to each block, and every group
-    returns one maximum per candidate instead of all pairs. ``ranked`` is read twice.
+    A bundle with many crops or candidates is cut into blocks of both, each pair of blocks is one bounded
+    group, and it returns one maximum per candidate instead of all pairs. Crops and products without a
+    vector count as missing. ``ranked`` is read three times.
     """
+    crops2, index2 = crops2.filter(F.col("v").isNotNull()), index2.filter(F.col("v").isNotNull())
+    pools = ranked.groupBy("bundle_id").agg(F.ceil(F.count("*") / F.lit(CANDIDATE_BLOCK)).cast("int").alias("_pools"))
     blocks = crops2.groupBy("bundle_id").agg(
         F.ceil(F.count("*") / F.lit(CROP_BLOCK)).cast("int").alias("_blocks")
-    )
+    ).join(pools, "bundle_id")
     left = (
         crops2.select("bundle_id", "crop_id", l2_normalize(F.col("v")).alias("v"))
         .join(blocks, "bundle_id")
         .withColumn("_block", F.pmod(F.xxhash64("crop_id"), F.col("_blocks")).cast("int"))
-        .select("bundle_id", "_block", "v")
+        .withColumn("_pool", F.explode(F.sequence(F.lit(0), F.col("_pools") - 1)))
+        .select("bundle_id", "_block", "_pool", "v")
     )
     right = (
         ranked.select("bundle_id", "product_id")
         .join(index2.select("product_id", l2_normalize(F.col("v")).alias("v")), "product_id")
         .join(blocks, "bundle_id")
+        .withColumn("_pool", F.pmod(F.xxhash64("product_id"), F.col("_pools")).cast("int"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("bundle_id", "product_id", "_block", "v")
+        .select("bundle_id", "product_id", "_block", "_pool", "v")
     )
 
     def best_of_block(crops, candidates):
@@ -186,7 +192,7 @@ def late_interaction(ranked: DataFrame, crops2: DataFrame, index2: DataFrame, we
     schema = f"bundle_id {ranked.schema['bundle_id'].dataType.simpleString()}, " + (
         f"product_id {ranked.schema['product_id'].dataType.simpleString()}, heavy double"
     )
-    pair = ["bundle_id", "_block"]
+    pair = ["bundle_id", "_block", "_pool"]
     heavy = (
         left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(best_of_block, schema)
         .groupBy("bundle_id", "product_id").agg(F.max("heavy").alias("_heavy"))

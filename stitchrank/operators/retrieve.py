@@ -8,8 +8,10 @@ fusions need no join back to a catalogue.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,58 +26,77 @@ from stitchrank.operators.rank import (
     top_n,
     ts_rerank,
 )
-from stitchrank.operators.scale import SIM_DECIMALS, stable
+from stitchrank.operators.scale import SIM_DECIMALS, checkpointed, stable
 
-BROADCAST_BYTES = 128 << 20  # an index matrix up to this size goes to every executor
-INDEX_BLOCK = 100_000  # rows of one index block beyond that
-QUERY_BLOCK = 20_000  # rows of one query block beyond that
+BROADCAST_BYTES = 128 << 20  # an index with its attributes up to this size goes to every executor
+BLOCK_BYTES = 64 << 20  # size of one block of the index, or of the queries, beyond that
 MIN_CONF = 0.1  # crop confidences count as at least this
 FULL_IMAGE_CONF = 0.6  # confidence given to the extra full-image crop
 
 
-def _block_scorer(k: int, by: str | None, query_cols: list[str], index_cols: list[str], schema: pa.Schema):
-    """Build ``score(queries, index) -> top-k rows`` for two Arrow tables.
+def _scorer(k: int, by: str | None, query_cols: list[str], index_cols: list[str], schema: pa.Schema, dim: int | None):
+    """Build ``(prepare(index), score(queries, prepared) -> top-k rows)`` for Arrow tables.
 
     Self-contained on purpose: workers need numpy and pyarrow only.
     """
     decimals = SIM_DECIMALS
 
-    def score(queries, index):
+    def matrix(table):
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        def matrix(table):
-            lists = table.column("v").combine_chunks()
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            return flat.astype(np.float64).reshape(table.num_rows, -1)
-
-        def best(scores, n):
-            """Column numbers of the n best per row; ties go to the lower column."""
-            if n < scores.shape[1]:
-                kth = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-                above = scores > kth
-                level = scores == kth
-                room = n - above.sum(axis=1, keepdims=True)
-                cols = np.nonzero(above | (level & (level.cumsum(axis=1) <= room)))[1]
-                cols = cols.reshape(len(scores), n)
-            else:
-                cols = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-            found = np.take_along_axis(scores, cols, axis=1)
-            order = np.argsort(-found, axis=1, kind="stable")
-            return np.take_along_axis(cols, order, axis=1), np.take_along_axis(found, order, axis=1)
-
-        def sections(table):
-            if by is None:
-                return {None: np.arange(table.num_rows)}
-            values = np.asarray(table.column(by).to_pylist(), dtype=object)
-            return {s: np.flatnonzero(values == s) for s in set(values.tolist())}
+        lists = table.column("v").combine_chunks()
+        lengths = pc.unique(pc.list_value_length(lists)).to_pylist()
+        if lengths != [dim]:
+            raise ValueError(f"vectors of length {sorted(lengths)} against an index of length {dim}")
+        flat = lists.flatten()
+        if flat.null_count:
+            raise ValueError("a vector has NULL elements")
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+    def sections(table):
+        import numpy as np
+
+        if by is None:
+            return {None: np.arange(table.num_rows)}
+        coded = table.column(by).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        edges = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        return {v: order[edges[i] : edges[i + 1]] for i, v in enumerate(coded.dictionary.to_pylist())}
+
+    def prepare(index):
+        """The index in id order with its matrix and sections: once per task."""
+        import pyarrow.compute as pc
 
         index = index.take(pc.sort_indices(index, sort_keys=[("product_id", "ascending")]))
+        return (index, matrix(index), sections(index)) if index.num_rows else None
+
+    def best(scores, n):
+        """Column numbers of the n best per row; ties go to the lower column."""
+        import numpy as np
+
+        if n < scores.shape[1]:
+            kth = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+            above = scores > kth
+            level = scores == kth
+            room = n - above.sum(axis=1, keepdims=True)
+            cols = np.nonzero(above | (level & (level.cumsum(axis=1) <= room)))[1]
+            cols = cols.reshape(len(scores), n)
+        else:
+            cols = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+        found = np.take_along_axis(scores, cols, axis=1)
+        order = np.argsort(-found, axis=1, kind="stable")
+        return np.take_along_axis(cols, order, axis=1), np.take_along_axis(found, order, axis=1)
+
+    def score(queries, prepared):
+        import numpy as np
+        import pyarrow as pa
+
         query_rows, index_rows, scores, ranks = [], [], [], []
-        if queries.num_rows and index.num_rows:
-            q, p = matrix(queries), matrix(index)
-            members = sections(index)
+        if queries.num_rows and prepared is not None:
+            index, p, members = prepared
+            q = matrix(queries)
             for section, rows in sections(queries).items():
                 pool = members.get(section)
                 if pool is None or not len(pool):
@@ -99,32 +120,63 @@ def _block_scorer(k: int, by: str | None, query_cols: list[str], index_cols: lis
         table = pa.table(columns, names=schema.names)
         return table.cast(schema)
 
-    return score
+    return prepare, score
+
+
+@dataclass(frozen=True)
+class MeasuredIndex:
+    """An index with its size, and on the executors if it is small enough."""
+
+    rows: int
+    dim: int | None
+    row_bytes: int
+    shared: Broadcast | None
+
+    def release(self) -> None:
+        """Take the index off the executors, once no query reads it any more."""
+        if self.shared is not None:
+            self.shared.destroy()
+
+
+def measured(index: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> MeasuredIndex:
+    """One aggregate over the rows with a vector; their bytes are those of the vectors and of all attributes."""
+    index = index.filter(F.col("v").isNotNull())
+    rest = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in index.columns if c != "v"]
+    size = index.agg(
+        F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"),
+        F.coalesce(F.sum(F.size("v") * F.lit(8) + sum(rest, F.lit(0))), F.lit(0)).alias("bytes"),
+    ).first()
+    if size["n"] and size["low"] != size["high"]:
+        raise ValueError(f"vectors of different length in the index: {size['low']} to {size['high']}")
+    shared = index.sparkSession.sparkContext.broadcast(index.toArrow()) if size["bytes"] <= broadcast_bytes else None
+    return MeasuredIndex(size["n"], size["high"], -(-size["bytes"] // max(1, size["n"])), shared)
 
 
 def topk(
     queries: DataFrame,
     index: DataFrame,
     k: int,
-    key: str | Sequence[str] = "crop_id",
     by: str | None = None,
     keep_vector: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    index_block: int = INDEX_BLOCK,
-    query_block: int = QUERY_BLOCK,
+    index_block: int | None = None,
+    query_block: int | None = None,
+    size: MeasuredIndex | None = None,
 ) -> DataFrame:
-    """The ``k`` products of highest inner product per query, ties by ``product_id``.
+    """The ``k`` products of highest inner product for every query row, ties by ``product_id``.
 
-    ``by`` restricts a query to the index rows with the same value of that column.
+    Two rows get two lists, also if their ids are equal or NULL. ``by`` restricts a query to the
+    index rows with the same value of that column (NULL is a value). Rows without a vector have no list.
 
-    One aggregate measures the index. Up to ``broadcast_bytes`` its matrix is broadcast and
-    the queries stream past it without a shuffle. Beyond that both sides are cut into blocks
-    by id hash; each (query block, index block) pair is one bounded task that returns its own
-    top ``k``, and a ranking window (pre-limited before its shuffle) merges them.
+    One aggregate measures the index (or ``size`` holds it from :func:`measured`). Up to ``broadcast_bytes``
+    it is broadcast and the queries stream past it without a shuffle. Beyond that the query rows are numbered
+    and checkpointed, and both sides are cut into blocks by hash, of about ``BLOCK_BYTES``; each (query block,
+    index block) pair is one bounded task that returns its own top ``k``, and a ranking window
+    (pre-limited before its shuffle) merges them per row. A streaming frame needs the first plan;
+    larger indexes are served by :func:`stitchrank.streaming.lookup.start_lookup`.
     """
     if k <= 0:
         raise ValueError("k must be > 0")
-    keys = [key] if isinstance(key, str) else list(key)
     queries = queries.filter(F.col("v").isNotNull())
     index = index.filter(F.col("v").isNotNull())
     query_cols = [c for c in queries.columns if c != "v" or keep_vector]
@@ -132,48 +184,52 @@ def topk(
     clash = sorted(set(query_cols) & set(index_cols))
     if clash:
         raise ValueError(f"columns on both sides of topk: {clash}")
-    schema = T.StructType(
-        [queries.schema[c] for c in query_cols]
-        + [index.schema[c] for c in index_cols]
-        + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-    )
-    arrow_schema = to_arrow_schema(schema)
+    size = size or measured(index, broadcast_bytes)
 
-    size = index.agg(
-        F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")
-    ).first()
-    if size["n"] and size["low"] != size["high"]:
-        raise ValueError(f"vectors of different length in the index: {size['low']} to {size['high']}")
-    score = _block_scorer(k, by, query_cols, index_cols, arrow_schema)
+    def schema(numbered: list[T.StructField]) -> T.StructType:
+        return T.StructType(
+            [queries.schema[c] for c in query_cols] + numbered + [index.schema[c] for c in index_cols]
+            + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+        )
 
-    if size["n"] * (size["high"] or 0) * 8 <= broadcast_bytes:
-        shared = index.sparkSession.sparkContext.broadcast(index.toArrow())
+    if size.shared is not None:
+        shared, out = size.shared, schema([])
+        prepare, score = _scorer(k, by, query_cols, index_cols, to_arrow_schema(out), size.dim)
 
         def stream(batches):
             import pyarrow as pa
 
+            prepared = prepare(shared.value)
             for batch in batches:
                 if batch.num_rows:
-                    yield from score(pa.Table.from_batches([batch]), shared.value).to_batches()
+                    yield from score(pa.Table.from_batches([batch]), prepared).to_batches()
 
-        return queries.mapInArrow(stream, schema)
+        return queries.mapInArrow(stream, out)
 
+    if queries.isStreaming:
+        raise ValueError("the index is too large to stream past; start_lookup serves it by micro-batch")
+    # The number of a row is written down, so that all blocks and a task that is run again see the same.
+    queries = checkpointed(queries.withColumn("_row", F.monotonically_increasing_id()))
+    index_block = index_block or max(1, BLOCK_BYTES // max(1, size.row_bytes))
+    query_block = query_block or max(1, BLOCK_BYTES // max(1, 8 * (size.dim or 1) + 256))
     query_blocks = -(-queries.count() // query_block) or 1
-    index_blocks = -(-size["n"] // index_block) or 1
+    index_blocks = -(-size.rows // index_block) or 1
     pair = [*([by] if by else []), "_qb", "_ib"]
-    left = queries.withColumn("_qb", _block(keys, query_blocks)).withColumn(
+    left = queries.withColumn("_qb", _block(["_row"], query_blocks)).withColumn(
         "_ib", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1)))
     )
     right = index.withColumn("_ib", _block(["product_id"], index_blocks)).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
+    out = schema([T.StructField("_row", T.LongType())])
+    prepare, score = _scorer(k, by, [*query_cols, "_row"], index_cols, to_arrow_schema(out), size.dim)
 
     def one_pair(left_table, right_table):
-        return score(left_table, right_table)
+        return score(left_table, prepare(right_table))
 
-    partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(one_pair, schema)
-    best_first = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("product_id"))
-    return partial.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(one_pair, out)
+    best_first = Window.partitionBy("_row").orderBy(F.desc("score"), F.asc("product_id"))
+    return partial.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).drop("_row")
 
 
 def _block(cols: Sequence[str], blocks: int) -> Column:
@@ -350,9 +406,11 @@ def retrieve_boosted(
     )
 
 
-def lookup_products(queries: DataFrame, index: DataFrame, products: DataFrame, k: int = 8, key: str = "crop_id") -> DataFrame:
+def lookup_products(
+    queries: DataFrame, index: DataFrame, products: DataFrame, k: int = 8, size: MeasuredIndex | None = None
+) -> DataFrame:
     """The ``k`` nearest products with description and printed score."""
-    hits = topk(queries, index.select("product_id", "v"), k, key=key)
+    hits = topk(queries, index.select("product_id", "v"), k, size=size)
     return (
         hits.join(products.select("product_id", "description"), "product_id", "left")
         .withColumn("description", F.coalesce("description", F.lit("")))
@@ -362,6 +420,6 @@ def lookup_products(queries: DataFrame, index: DataFrame, products: DataFrame, k
 
 def hard_negatives(queries: DataFrame, index: DataFrame, truth: DataFrame, top_k: int = 16, max_neg: int = 4) -> DataFrame:
     """The closest products of a bundle, among its nearest ``top_k``, that are no positives."""
-    hits = topk(queries, index.select("product_id", "v"), top_k, key="bundle_id")
+    hits = topk(queries, index.select("product_id", "v"), top_k)
     wrong = hits.join(truth.select("bundle_id", "product_id"), ["bundle_id", "product_id"], "left_anti")
     return top_n(wrong, max_neg)

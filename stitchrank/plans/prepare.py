@@ -53,7 +53,7 @@ def candidates(
     truth = catalog.truth(links).join(index.select("product_id"), "product_id", "left_semi")
     eligible = catalog.eligible_queries(queries, links, index)
     split = splits.split_ids(eligible.select("bundle_id"), ratio, seed)
-    found = retrieve.topk(eligible.select("bundle_id", "v"), index.select("product_id", "v"), pool, key="bundle_id")
+    found = retrieve.topk(eligible.select("bundle_id", "v"), index.select("product_id", "v"), pool)
     found = checkpointed(found.join(split, "bundle_id"))
     usable, _ = splits.listwise_records(found.filter(F.col("split") == "train"), truth)
     val = catalog.mark_hits(found.filter(F.col("split") == "val"), truth).withColumnRenamed("hit", "positive")

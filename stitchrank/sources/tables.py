@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,22 +76,22 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ranked_csv(spark: SparkSession, path: str, submission: int) -> DataFrame:
-    """one foreign submission file whose row order is the rank.
+    """a foreign submission whose row order is the rank; a file, or a folder of files in order of their names.
 
-    Row order is only defined inside one file, and a file of up to 15 rows per bundle is small;
-    it is read as one partition. Data of our own carries ``rank`` and needs none of this.
+    A row's place is its file, the block of the file it was read from, and its turn in that block, so
+    files are read in parallel and split. Data of our own carries ``rank`` and needs none of this.
     """
-    rows = read_links(spark, path).coalesce(1).withColumn("_row", F.monotonically_increasing_id())
-    order = F.row_number().over(_by_bundle())
+    raw = read_table(spark, path, ["bundle_asset_id", "product_asset_id"])
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    rows = raw.select(
+        F.col("bundle_asset_id").cast("string").alias("bundle_id"),
+        F.col("product_asset_id").cast("string").alias("product_id"),
+        F.struct(*[p.alias(n) for p, n in zip(place, ("file", "block", "row"), strict=True)]).alias("_place"),
+    )
+    order = F.row_number().over(Window.partitionBy("bundle_id").orderBy("_place"))
     return rows.select(F.lit(submission).alias("submission"), "bundle_id", "product_id", order.alias("rank"))
 
 
-def _by_bundle():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bundle_id").orderBy("_row")
-
-
 def read_manifest(
     spark: SparkSession, path: str, strict: bool = False, schema: T.StructType | str | None = None
 ) -> DataFrame:
@@ -217,5 +217,5 @@ def cached_topk(
     try:
         return spark.read.parquet(folder)
     except AnalysisException:
-        topk(queries, index, k, key=key).write.mode("overwrite").parquet(folder)
+        topk(queries, index, k).write.mode("overwrite").parquet(folder)
         return spark.read.parquet(folder)

@@ -38,6 +38,18 @@ def test_nms_goes_on_past_a_crowded_band(spark):
     assert set(got) == {"crowd", "few"}
 
 
+@pytest.mark.parametrize("iou", [0.2, 1.5])
+def test_nms_bands_agree_on_empty_boxes(spark, iou):
+    rng = random.Random(6)
+    rows = [("a", i, 5, 5, 5, 5, 0.5) for i in range(5)]
+    for i in range(5, 40):
+        x, y = rng.randrange(60), rng.randrange(60)
+        rows.append(("a", i, x, y, x + rng.choice((0, 20)), y + 30, round(rng.random(), 2)))
+    frame = spark.createDataFrame(rows, BOX)
+    found = [[r["box_id"] for r in boxes.nms(frame, iou=iou, max_boxes=9, min_score=0.1, band=b).orderBy("rank").collect()] for b in (2, 7, 256)]
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == 9
+
+
 def test_sanitize_rounds_half_even_and_clips(spark):
     rows = [("a", 1, 0.5, -3.0, 10.5, 20.0, 0.9, 0), ("a", 2, 5.0, 5.0, 5.4, 9.0, 0.8, 9), ("a", 3, 0.0, 0.0, 200.0, 200.0, 0.7, 9)]
     frame = spark.createDataFrame(rows, "bundle_id string, box_id int, x1 double, y1 double, x2 double, y2 double, conf double, cls_id int")

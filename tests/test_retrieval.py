@@ -63,6 +63,32 @@ def test_topk_rejects_bad_input(spark):
         retrieve.topk(queries.drop("s"), ragged, 3)
 
 
+@pytest.mark.parametrize("plan", [{}, {"broadcast_bytes": 0, "index_block": 13, "query_block": 9}])
+def test_topk_has_one_list_per_row(spark, plan):
+    queries, index, q, p = frames(spark, n_queries=12)
+    same = queries.select(F.when(F.col("crop_id") % 2 == 0, F.lit(5)).alias("crop_id"), F.col("crop_id").alias("place"), "v")
+    found = retrieve.topk(same, index.drop("s"), 4, **plan).orderBy("place", "rank").collect()
+    want = brute(q, p, 4)
+    assert [(r["place"], r["rank"], r["product_id"]) for r in found] == [(i, j + 1, x) for i in range(12) for j, x in enumerate(want[i])]
+    assert {r["crop_id"] for r in found} == {5, None}
+
+
+@pytest.mark.parametrize("plan", [{}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("bad", [[1.0], [1.0, 2.0, None, 4.0]])
+def test_topk_checks_query_vectors(spark, plan, bad):
+    queries, index, *_ = frames(spark)
+    wrong = spark.createDataFrame([(1, bad)], "crop_id bigint, v array<float>")
+    with pytest.raises(Exception, match="length|NULL elements"):
+        retrieve.topk(queries.select("crop_id", "v").unionByName(wrong), index.drop("s"), 3, **plan).collect()
+
+
+def test_attributes_count_as_index_bytes(spark):
+    _, index, *_ = frames(spark)
+    wide = index.withColumn("note", F.repeat(F.lit("x"), 1000))
+    assert retrieve.measured(index, 10_000).shared is not None
+    assert retrieve.measured(wide, 10_000).shared is None
+
+
 def test_empty_index(spark):
     queries, index, *_ = frames(spark)
     assert retrieve.topk(queries.drop("s"), index.drop("s").filter("false"), 3).count() == 0

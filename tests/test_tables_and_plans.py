@@ -99,14 +99,24 @@ def test_alignment_lists_of_a_large_bundle_stay_whole(spark):
     bundles = spark.createDataFrame([("b", "h/a.jpg?ts=1735687800000")], "bundle_id string, image_url string")
     products = spark.createDataFrame([(f"p{i:02d}", f"h/a.jpg?ts={1735687800000 + i * 86400000}" if i else None) for i in range(30)], "product_id string, image_url string")
     links = products.select(F.lit("b").alias("bundle_id"), "product_id")
-    parts = alignment.ts_alignment_ids(links, bundles, products, ids_per_part=7).collect()
-    assert len(parts) == 5
-    both = [x for r in parts for c in ("product_ids_same_month", "product_ids_diff_month", "product_ids_missing_ts") for x in r[c].split("|") if x]
+    members = alignment.ts_alignment_ids(links, bundles, products)
+    lists = {r["list_name"]: r["product_ids"].split("|") for r in alignment.joined_ids(members).collect()}
+    both = lists.get("same_month", []) + lists["diff_month"] + lists["missing_ts"]
     assert sorted(both) == [f"p{i:02d}" for i in range(30)]
+    assert lists["missing_ts"] == ["p00"] and all(lists[x] == sorted(lists[x]) for x in lists)
     report = alignment.ts_alignment(links, bundles, products).first()
     assert report["n_products_with_ts"] == 29 and report["n_products_missing_ts"] == 1 and report["n_products_same_date"] == 0
 
 
+def test_ranked_csv_keeps_the_order_of_files(spark, tmp_path):
+    folder = tmp_path / "list.csv"
+    folder.mkdir()
+    for name, rows in (("part-0", ["b,p1", "b,p2"]), ("part-1", ["b,p3"] + [f"c,q{i}" for i in range(400)]), ("part-2", ["b,p4"])):
+        (folder / f"{name}.csv").write_text("bundle_asset_id,product_asset_id\n" + "\n".join(rows) + "\n")
+    rows = tables.read_ranked_csv(spark, str(folder), 3).filter("bundle_id = 'b'").orderBy("rank").collect()
+    assert [(r["submission"], r["product_id"], r["rank"]) for r in rows] == [(3, f"p{i}", i) for i in (1, 2, 3, 4)]
+
+
 def test_corpus_plan_writes_disjoint_manifests(spark, tmp_path):
     x = registry.Inputs(spark, SF)
     images = x.f_bundles.filter("section = 1").select(F.col("bundle_id").alias("asset_id"), F.lit("p").alias("path"))

@@ -18,7 +18,7 @@ from stitchrank.llm.repeats import FILTER_BITS, key_filter
 WINDOW = 8
 # Share of an item's words that consistent windows must cover.
 COVER = 0.5
-# A window says something if at least half of its words are no placeholders.
+# A window with fewer words that are no placeholders says too little as a template; it is taken word by word.
 LITERAL = 0.5
 
 # Measures that count as a unit behind a number.
@@ -50,8 +50,8 @@ class Kinds(dict):
         return value
 
 
-def template(words: list[bytes], kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, which are placeholders): numbers, capitalised words within a sentence, and units behind a number."""
+def template(words: list[bytes], kinds: Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, which are placeholders, plain words): numbers, capitalised words within a sentence, and units behind a number."""
     codes = np.fromiter(map(kinds.__getitem__, words), np.uint64, len(words))
     flags = codes & np.uint64(15)
     has = lambda bit: (flags & np.uint64(bit)) > 0
@@ -60,16 +60,17 @@ def template(words: list[bytes], kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
     name = has(IS_CAPITAL) & ~begins & ~number
     unit = has(IS_UNIT) & np.concatenate(([False], number[:-1]))[: len(words)] & ~number & ~name
     symbols = np.where(number, np.uint64(NUMBER), np.where(name, np.uint64(NAME), np.where(unit, np.uint64(UNIT), codes & ~np.uint64(15))))
-    return symbols, number | name | unit
+    return symbols, number | name | unit, codes & ~np.uint64(15)
 
 
-def windows(symbols: np.ndarray, slots: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each window of ``size`` symbols; 0 for one that is mostly placeholders."""
+def windows(symbols: np.ndarray, slots: np.ndarray, plain: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window of ``size`` symbols, or of the plain words where placeholders prevail."""
     if len(symbols) < size or not size:
         return np.empty(0, np.uint64)
-    hashes = mix(rolling(symbols, size) + np.uint64(size * BASE & (1 << 64) - 1))
     held = np.cumsum(np.concatenate(([0], slots)))
-    return np.where(held[size:] - held[:-size] <= size * (1 - LITERAL), hashes, np.uint64(0))
+    few = held[size:] - held[:-size] <= size * (1 - LITERAL)
+    salt = np.uint64(size * BASE & (1 << 64) - 1)
+    return np.where(few, mix(rolling(symbols, size) + salt), mix(rolling(plain, size) ^ salt))
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -94,11 +95,11 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = _words(text)
-                symbols, slots = template(words, kinds)
+                symbols, slots, plain = template(words, kinds)
                 wide = min(size, len(words))
-                hashes = _signed(windows(symbols, slots, wide))
+                hashes = _signed(windows(symbols, slots, plain, wide))
                 places = defaultdict(list)
-                for at in np.flatnonzero(hashes).tolist():
+                for at in range(len(hashes)):
                     places[int(hashes[at]), _slot_values(words, slots, at, wide)].append(at)
                 rows += [(h, item, len(words), wide, p, v) for (h, v), p in places.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -137,7 +138,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: f
     Windows of templates meet by hash. Only windows that pass a filter of a fixed size leave their task; the
     join decides. An item is contained if windows with consistent slots cover ``cover`` of its words, so
     a question asked again with other numbers, names or units is found, and a text with the same phrase about
-    unlike things is not. Null and empty texts, and items without a window, match nothing; rows equal in id
+    unlike things is not. Null and empty texts and items match nothing; rows equal in id
     and text are reported once. A null doc_id is reported as null.
     """
     spark = docs.sparkSession
@@ -152,12 +153,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: f
             rows = []
             for doc, rid, text in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = _words(text)
-                symbols, slots = template(words, kinds)
+                symbols, slots, plain = template(words, kinds)
                 found = set()
                 for wide in sizes:
-                    hashes = windows(symbols, slots, wide)
+                    hashes = windows(symbols, slots, plain, wide)
                     bit = _signed(hashes) % FILTER_BITS
-                    hit = ((bitmap[bit >> 6] >> (bit & 63)) & 1).astype(bool) & (hashes != 0)
+                    hit = ((bitmap[bit >> 6] >> (bit & 63)) & 1).astype(bool)
                     found.update((int(_signed(hashes)[at]), _slot_values(words, slots, at, wide)) for at in np.flatnonzero(hit))
                 rows += [(doc, rid, h, v) for h, v in found]
             columns = list(zip(*rows, strict=True)) or [()] * 4

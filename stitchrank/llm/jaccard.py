@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchrank.llm.common import BASE, NULL_ID, WordHashes, mix, rolling, table, word_hashes, written
+from stitchrank.llm.common import BASE, NULL_ID, WordHashes, mix, partitions, rolling, table, word_hashes, written
 from stitchrank.llm.repeats import _wide, key_filter, maybe, shared_names
 
 # Bits of a set's sketch: bit i is the parity of its members of hash i.
@@ -47,6 +47,7 @@ class Scheme:
         self.deletions = min(self._choices(), key=lambda d: self._cost(d, sets))
         self.exact = max(0, self.errors + 1 - 2 * self.deletions)
         self.segments = self.exact + self.deletions
+        self.salt = mix((np.arange(self.segments, dtype=np.uint64) << np.uint64(32)) + np.uint64(low))
 
     def _choices(self) -> list[int]:
         top = (self.errors + 2) // 2
@@ -61,18 +62,16 @@ class Scheme:
 
     def sign(self, members: np.ndarray) -> np.ndarray:
         spread = mix(members ^ np.uint64(self.low))
-        segment = ((spread >> np.uint64(32)) * np.uint64(self.segments)) >> np.uint64(32)
+        segment = (((spread >> np.uint64(32)) * np.uint64(self.segments)) >> np.uint64(32)).astype(np.uint16 if self.segments < 1 << 16 else np.int64)
         order = np.argsort(segment, kind="stable")
-        segment, spread = segment[order].astype(np.int64), mix(spread[order])
-        total = np.zeros(self.segments, np.uint64)
-        if len(order):
-            starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            total[segment[starts]] = np.add.reduceat(spread, starts)
-        salt = mix((np.arange(self.segments, dtype=np.uint64) << np.uint64(32)) + np.uint64(self.low))
-        keys = total + salt
+        # Of the other bits than those that choose the segment.
+        segment, spread = segment[order], (spread * np.uint64(BASE))[order]
+        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        keys = self.salt.copy()
+        keys[segment[starts]] += np.add.reduceat(spread, starts)
         if self.deletions:
             some = segment < self.deletions
-            keys = np.concatenate((keys, (total - np.uint64(0))[segment[some]] - spread[some] + salt[segment[some]]))
+            keys = np.concatenate((keys, keys[segment[some]] - spread[some]))
         return mix(keys)
 
 
@@ -100,7 +99,7 @@ class Schemes:
         if not len(members):
             return np.empty(0, np.uint64)
         at = self.band(len(members))
-        return np.unique(np.concatenate([self.bands[i].sign(members) for i in range(max(0, at - 1), at + 1)]))
+        return np.concatenate([self.bands[i].sign(members) for i in range(max(0, at - 1), at + 1)])
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -112,7 +111,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [_wide(x) for x in batch.column("names").to_pylist()]
         owner = np.repeat(batch.column("rid").to_numpy(), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(owner)], names=["sig", "tid"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)), pa.array(owner)], names=["sig", "tid"])
 
 
 def _close(sizes_a, sizes_b, bits_a, bits_b, threshold: int) -> np.ndarray:
@@ -126,6 +125,7 @@ def _close(sizes_a, sizes_b, bits_a, bits_b, threshold: int) -> np.ndarray:
 
 
 def _bits(column) -> np.ndarray:
+    """(rows, words) of a column of sketches."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
 
@@ -140,28 +140,44 @@ def _plausible(threshold: int):
 
 
 def _across(threshold: int, closest: bool):
-    """Pairs of one group's members that are in different components and may be linked.
+    """Task that pairs members (sig, lo, hi, tid, comp, n, bits) of one group which are in different components and may be linked.
 
-    With ``closest``, for every member and other component only the nearest member of that. Only sketches are compared.
+    With ``closest``, for every member and other component only the nearest member of that. Only sketches are
+    compared; a partition holds whole groups of at most 2 * BLOCK members, in order.
     """
 
-    def pairs(group: pa.Table) -> pa.Table:
-        tid, comp, n = (group.column(c).to_numpy() for c in ("tid", "comp", "n"))
-        bits = _bits(group.column("bits").combine_chunks())
-        order = np.lexsort((tid, comp))
-        tid, comp, n, bits = tid[order], comp[order], n[order], bits[order]
-        a, b = [], []
-        for i in range(len(tid) - 1):
-            j = np.searchsorted(comp, comp[i], side="right")  # each pair once: against the components behind
-            j += np.flatnonzero(_close(n[i], n[j:], bits[i], bits[j:], threshold))
-            if closest and len(j) > 1:
-                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-                near = np.lexsort((apart, comp[j]))
-                j = j[near[np.concatenate(([True], comp[j][near][1:] != comp[j][near][:-1]))]]
-            a.append(np.full(len(j), tid[i]))
-            b.append(tid[j])
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        group, tid, comp, n = (rows.column(c).to_numpy() for c in ("group", "tid", "comp", "n"))
+        bits = _bits(rows.column("bits"))
+        order = np.lexsort((tid, comp, group))
+        group, tid, comp, n, bits = group[order], tid[order], comp[order], n[order], bits[order]
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        ends = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
+        change = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (comp[1:] != comp[:-1]))))
+        behind = np.repeat(np.append(change[1:], len(group)), np.diff(np.append(change, len(group))))  # first member of a later component
+        first, second = [], []
+        for at in range(0, len(tid), 2 * BLOCK):
+            own = np.arange(at, min(at + 2 * BLOCK, len(tid)))
+            for lot in np.array_split(own, max(1, int((ends[own] - behind[own]).sum()) // 100_000)):
+                count = ends[lot] - behind[lot]
+                a = np.repeat(lot, count)
+                b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(behind[lot], count)
+                near = _close(n[a], n[b], bits[a], bits[b], threshold)
+                a, b = a[near], b[near]
+                if closest and len(a):
+                    apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
+                    by = np.lexsort((apart, comp[b], a))
+                    a, b = a[by], b[by]
+                    best = np.concatenate(([True], (a[1:] != a[:-1]) | (comp[b][1:] != comp[b][:-1])))
+                    a, b = a[best], b[best]
+                first.append(tid[a])
+                second.append(tid[b])
+        a, b = np.concatenate(first), np.concatenate(second)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return pairs
 
@@ -243,8 +259,13 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
         b = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, threshold), "a long, b long")
 
-    head = shared.groupBy("sig").agg(F.min("tid").alias("a"))
-    stars = shared.join(head, "sig").where("tid <> a").select("a", F.col("tid").alias("b")).distinct()
+    # Signatures with the same members propose the same pairs; one of them is enough.
+    code = F.xxhash64("tid", F.lit(7))
+    held = shared.groupBy("sig").agg(F.min("tid").alias("a"), F.count("*").alias("held"), F.sum(F.shiftright(code, 8)).alias("h1"), F.bit_xor(code).alias("h2"))
+    one = held.where("held > 1").groupBy("a", "held", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "a")
+    # The smallest member is compared with all others of a signature at once, so later it is none of them.
+    shared = written(shared.join(one, "sig").where("tid <> a"))
+    stars = shared.select("a", F.col("tid").alias("b")).distinct()
     side = [sets.select(F.col("tid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"k{x}")) for x in "ab"]
     near = stars.join(side[1], "b").join(side[0], "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_plausible(threshold), "a long, b long")
     links = written(verified(near))
@@ -256,8 +277,9 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
         blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
         members = placed.join(mixed.select("sig", blocks.alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = members.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "tid", "comp").join(sets, "tid")
-        pairs = members.groupBy("sig", "lo", "hi").applyInArrow(_across(threshold, not last), "a long, b long").distinct()
+        members = members.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "tid", "comp").join(sets, "tid")
+        members = members.select("group", "tid", "comp", "n", "bits").repartition(partitions(spark), "group")
+        pairs = members.mapInArrow(_across(threshold, not last), "a long, b long").distinct()
         new = written(verified(pairs))
         if new.isEmpty():
             if last:

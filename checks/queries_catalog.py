@@ -130,23 +130,22 @@ def _(x):
 @register(
     "J7_eligible_queries",
     """select bundle_id, section from f_bundles where bundle_id in (
-         select bundle_id from f_links where product_id in (select product_id from f_products where image_url is null))""",
+         select bundle_id from f_links where product_id in (select product_id from f_products))""",
 )
 def _(x):
     return catalog.eligible_queries(
-        x.f_bundles.select("bundle_id", "section"), x.f_links, x.f_products.filter("image_url is null")
+        x.f_bundles.select("bundle_id", "section"), x.f_links, x.f_products
     )
 
 
 @register(
     "J8_mark_hits",
     """select s.submission, s.bundle_id, s.product_id, s.rank, t.bundle_id is not null as hit from f_submissions s
-       left join (select distinct cast(l_orderkey as varchar) as bundle_id, cast(l_partkey as varchar) as product_id from lineitem where l_returnflag = 'R') t
+       left join (select distinct cast(l_orderkey as varchar) as bundle_id, cast(l_partkey as varchar) as product_id from lineitem) t
        using (bundle_id, product_id)""",
 )
 def _(x):
-    returned = x.lineitem.filter("l_returnflag = 'R'")
-    truth = returned.selectExpr("cast(l_orderkey as string) as bundle_id", "cast(l_partkey as string) as product_id")
+    truth = x.lineitem.selectExpr("cast(l_orderkey as string) as bundle_id", "cast(l_partkey as string) as product_id")
     return catalog.mark_hits(x.f_submissions.select("submission", "bundle_id", "product_id", "rank"), truth)
 
 
@@ -154,21 +153,21 @@ def _(x):
     "J9_training_pairs",
     """select p.bundle_id, p.product_id, b.box_id from (
          select bundle_id, product_id from (select distinct bundle_id, product_id from f_links)
-         qualify row_number() over (partition by bundle_id order by product_id) <= 3) p
+         qualify row_number() over (partition by bundle_id order by product_id) <= 8) p
        left join f_boxes b using (bundle_id)""",
 )
 def _(x):
-    return catalog.training_pairs(x.f_boxes, x.f_links, max_positives=3)
+    return catalog.training_pairs(x.f_boxes, x.f_links)
 
 
 @register(
     "J10_override_description",
     """select p.product_id, coalesce(nullif(upper(trim(coalesce(e.description, ''))), ''), upper(trim(coalesce(p.description, '')))) as category
        from f_products p left join (select cast(p_partkey as varchar) as product_id, case when p_size % 2 = 0 then p_brand else ' ' end as description
-                                    from part where p_size > 10) e using (product_id)""",
+                                    from part) e using (product_id)""",
 )
 def _(x):
-    enriched = x.part.filter("p_size > 10").selectExpr(
+    enriched = x.part.selectExpr(
         "cast(p_partkey as string) as product_id", "case when p_size % 2 = 0 then p_brand else ' ' end as description"
     )
     return catalog.override_description(x.f_products, enriched).select("product_id", "category")

@@ -115,22 +115,23 @@ def _(x):
     return rank.top_n(rank.hubness(stored(x), 0.1, 0.5), 15)
 
 
-HALF = "list_transform({0}[1:32], lambda e: e / greatest(sqrt(list_inner_product({0}[1:32], {0}[1:32])), 1e-8))"
+OTHER = "list_transform(list_reverse({0}), lambda e: e / greatest(sqrt(list_inner_product({0}, {0})), 1e-8))"
 
 
 @register(
     "F7_late_interaction",
     best("mixed", 15),
     *RANKED,
-    f"second as (select bundle_id, crop_id, {HALF.format('v')} as v from (select bundle_id, crop_id, v::double[] as v from f_crops where section <> 2))",
-    f"third as (select product_id, {HALF.format('v')} as v from (select product_id, v::double[] as v from f_index where category <> ''))",
+    f"second as (select bundle_id, crop_id, {OTHER.format('v')} as v from (select bundle_id, crop_id, v::double[] as v from f_crops where section <> 2))",
+    f"third as (select product_id, {OTHER.format('v')} as v from (select product_id, v::double[] as v from f_index where category <> ''))",
     """heavy as (select r.bundle_id, r.product_id, max(list_inner_product(c.v, p.v)) as h from ranked r join third p using (product_id)
          join second c using (bundle_id) group by 1, 2)""",
     f"""mixed as (select bundle_id, product_id, {grid('coalesce(0.6::double * score + 0.4::double * h, score)')} as score
          from ranked left join heavy using (bundle_id, product_id))""",
 )
 def _(x):
-    part = F.slice("v", 1, 32).alias("v")
+    # another encoder for every vector
+    part = F.reverse("v").alias("v")
     crops2 = x.f_crops.filter("section <> 2").select("bundle_id", "crop_id", part)
     index2 = x.f_index.filter("category <> ''").select("product_id", part)
     return rank.top_n(rank.late_interaction(stored(x), crops2, index2), 15)
@@ -177,7 +178,7 @@ def _(x):
 
 
 POPULAR = """popular as (select cast(l_partkey as varchar) as product_id, row_number() over (order by count(*) desc, cast(l_partkey as varchar)) as pos
-    from lineitem group by l_partkey qualify pos <= 16)"""
+    from lineitem group by l_partkey qualify pos <= 30)"""
 
 
 @register(
@@ -186,14 +187,14 @@ POPULAR = """popular as (select cast(l_partkey as varchar) as product_id, row_nu
          select bundle_id, product_id, rank as pos, false as padded from held
          union all select b.bundle_id, f.product_id, f.pos, true from (select distinct bundle_id from f_bundles) b
            cross join popular f anti join held h on h.bundle_id = b.bundle_id and h.product_id = f.product_id)
-       qualify row_number() over (partition by bundle_id order by padded, pos) <= 8""",
-    "held as (select distinct on (bundle_id, product_id) * from f_submissions where submission = 1 and rank <= 3 order by bundle_id, product_id, rank)",
+       qualify row_number() over (partition by bundle_id order by padded, pos) <= 15""",
+    "held as (select distinct on (bundle_id, product_id) * from f_submissions where submission = 1 and rank <= 15 order by bundle_id, product_id, rank)",
     POPULAR,
 )
 def _(x):
-    held = x.f_submissions.filter("submission = 1 and rank <= 3")
+    held = x.f_submissions.filter("submission = 1 and rank <= 15")
     held = catalog.keep_first(held, ["bundle_id", "product_id"], ["rank"])[0]
-    return rank.pad(held, x.f_bundles, catalog.most_popular(x.f_links, 16), 8)
+    return rank.pad(held, x.f_bundles, catalog.most_popular(x.f_links, 30), 15)
 
 
 @register(
@@ -231,18 +232,18 @@ def _(x):
     "H2_rrf",
     f"""{SCORED}, row_number() over (partition by bundle_id order by s desc, seen) as rank from (
           select bundle_id, product_id, score as s, score, seen from (select bundle_id, product_id, {grid('sum(1.0::double / (60 + rank))')} as score,
-            min(submission * 1000000 + rank) as seen from f_submissions group by 1, 2)) qualify rank <= 4""",
+            min(submission * 1000000 + rank) as seen from f_submissions group by 1, 2)) qualify rank <= 15""",
 )
 def _(x):
-    return ensemble.rrf(x.f_submissions, top=4).select("bundle_id", "product_id", "score", "rank")
+    return ensemble.rrf(x.f_submissions).select("bundle_id", "product_id", "score", "rank")
 
 
 @register(
     "H2_incomplete",
-    "select bundle_id, count(*) as n from f_submissions where submission = 1 group by 1 having count(*) <> 4",
+    "select bundle_id, least(count(distinct product_id), 15) as n from f_submissions group by 1 having n <> 4",
 )
 def _(x):
-    return ensemble.incomplete_bundles(x.f_submissions.filter("submission = 1"), 4)
+    return ensemble.incomplete_bundles(ensemble.rrf(x.f_submissions), 4)
 
 
 RRF = f"rrf as (select bundle_id, product_id, {grid('sum(weight / (60 + rank))')} as score from f_submissions join weights using (submission) group by 1, 2)"
@@ -308,7 +309,8 @@ def _(x):
 
 # ---------------------------------------------------------------------------- evaluation
 
-# truth of every bundle, lists for the bundles of two sections only
+WHOLE = "listed15 as (select * from ranked where rank <= 15)"
+# for M2: truth of every bundle, lists for the bundles of two sections only
 LISTED = "listed15 as (select * from ranked where rank <= 15 and bundle_id in (select bundle_id from f_crops where section < 2))"
 
 
@@ -317,9 +319,9 @@ def listed(x):
     return ranked(x, 15).join(few, "bundle_id", "left_semi")
 
 
-@register("M1_hit_recall", metric_rows((5, 10, 15)), *RANKED, LISTED, *metrics("listed15", "f_truth", (5, 10, 15)))
+@register("M1_hit_recall", metric_rows((5, 10, 15)), *RANKED, WHOLE, *metrics("listed15", "f_truth", (5, 10, 15)))
 def _(x):
-    return evaluate.hit_recall(listed(x), x.f_truth)
+    return evaluate.hit_recall(ranked(x, 15), x.f_truth)
 
 
 @register(
@@ -341,12 +343,12 @@ INDEXED = "indexed as (select t.* from f_truth t semi join (select product_id fr
     metric_rows((5, 15), "queries")
     + " union all select 'mrr', 15, round(avg(case when first_hit <= 15 then 1.0::double / first_hit else 0.0::double end), 6) + 0.0::double from per",
     *RANKED,
-    LISTED,
+    WHOLE,
     INDEXED,
     *metrics("listed15", "indexed", (5, 15)),
 )
 def _(x):
-    return evaluate.ranking_metrics(listed(x), x.f_truth, x.f_index.filter("category <> ''"), (5, 15))
+    return evaluate.ranking_metrics(ranked(x, 15), x.f_truth, x.f_index.filter("category <> ''"), (5, 15))
 
 
 @register(

@@ -66,6 +66,24 @@ def _(x):
     return retrieve.topk(x.f_crops.select("crop_id", "v"), x.f_index.select("product_id", "v"), 15)
 
 
+# every other query has no id, and all others share one: still one list per row
+KEYLESS = hits(5, queries="(select crop_id, case when crop_id % 2 = 0 then null else 1 end as shared, v from f_crops)")
+
+
+def keyless(x):
+    return x.f_crops.select("crop_id", F.expr("case when crop_id % 2 = 0 then null else 1 end as shared"), "v")
+
+
+@register("R1_topk_repeated_keys", f"select crop_id, shared, product_id, {r6('score', 'score')}, rank from hits", KEYLESS)
+def _(x):
+    return retrieve.topk(keyless(x), x.f_index.select("product_id", "v"), 5)
+
+
+@register("R1_topk_repeated_keys_blocks", f"select crop_id, shared, product_id, {r6('score', 'score')}, rank from hits", KEYLESS)
+def _(x):
+    return retrieve.topk(keyless(x), x.f_index.select("product_id", "v"), 5, broadcast_bytes=0, index_block=200, query_block=150)
+
+
 @register("R1_topk_blocks", f"select crop_id, product_id, {r6('score', 'score')}, rank from hits", hits(15))
 def _(x):
     # the plan for an index beyond the broadcast bound
@@ -95,25 +113,25 @@ WEIGHTED = "sum(score * greatest(conf, 0.1::double))"
 @register(
     "R3_retrieve_sum",
     best("capped", 15),
-    hits(20),
+    hits(50),
     fused("all_hits", WEIGHTED),
     "good as (select * from all_hits where score >= 0.3)",
     capped("capped", "good"),
 )
 def _(x):
-    return retrieve.retrieve_sum(*crops_index(x), per_crop=20, threshold=0.3)
+    return retrieve.retrieve_sum(*crops_index(x), threshold=0.3)
 
 
 @register(
     "R3_retrieve_sum_time",
     best("moved", 15),
-    hits(20),
+    hits(50),
     fused("all_hits", WEIGHTED),
     capped("capped", "all_hits"),
     f"moved as (select * replace ({grid('score + ' + adjustment())} as score) from capped)",
 )
 def _(x):
-    return retrieve.retrieve_sum(*crops_index(x), per_crop=20, ts=NO_DATE)
+    return retrieve.retrieve_sum(*crops_index(x), ts=NO_DATE)
 
 
 # class filter, category and article boost: the section-wise search
@@ -123,9 +141,9 @@ SEARCHED = (
     """searching as (select c.*, t.top_category, case when section in (1, 2, 3) then section else 1 end as search,
          cls in (select cls from f_taxonomy) as filtered from f_crops c join topcat t using (crop_id))""",
     "shelf as (select i.*, s.section as shelf, t.cls as category_cls from f_index i join (select distinct * from f_sections) s using (product_id) left join f_taxonomy t using (category))",
-    hits(24, queries="searching", index="shelf", on="q.search = i.shelf"),
-    """passed as (select * from hits where rank <= case when filtered then 24 else 8 end and (not filtered or category = '' or category_cls = cls)
-         qualify row_number() over (partition by crop_id order by rank) <= 8)""",
+    hits(60, queries="searching", index="shelf", on="q.search = i.shelf"),
+    """passed as (select * from hits where rank <= case when filtered then 60 else 20 end and (not filtered or category = '' or category_cls = cls)
+         qualify row_number() over (partition by crop_id order by rank) <= 20)""",
     """boosted as (select * replace (score * greatest(conf, 0.1::double) * case when top_category <> '' and category = top_category then 1.4::double else 1.0::double end
          * case when bundle_article = article then 1000.0::double else 1.0::double end as score) from passed)""",
     fused("all_hits", "greatest(0.0::double, max(score))", "boosted"),
@@ -137,7 +155,7 @@ SEARCHED = (
 
 @register("R4_retrieve_boosted", f"select bundle_id, product_id, {r6('score', 'score')}, rank from pooled", *SEARCHED)
 def _(x):
-    return retrieve.retrieve_boosted(x.f_crops, x.f_index, x.f_sections, x.f_categories, x.f_taxonomy, per_crop=8)
+    return retrieve.retrieve_boosted(x.f_crops, x.f_index, x.f_sections, x.f_categories, x.f_taxonomy)
 
 
 @register(
@@ -314,5 +332,5 @@ def _(x):
 
     bundles = union_ids(x.f_images.select("bundle_id"), x.f_crops.select("bundle_id")).withColumnRenamed("id", "bundle_id")
     return recommend.sectioned(
-        x.f_crops, x.f_index, x.f_sections, x.f_categories, x.f_taxonomy, bundles, most_popular(x.f_links, 30), hub={}, per_crop=8
+        x.f_crops, x.f_index, x.f_sections, x.f_categories, x.f_taxonomy, bundles, most_popular(x.f_links, 30), hub={}
     )

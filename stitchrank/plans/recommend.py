@@ -23,6 +23,7 @@ def sectioned(
     fallback: DataFrame | None = None,
     model: dict | None = None,
     model_pool: int = 200,
+    features: DataFrame | None = None,
     hub: dict | None = None,
     second: tuple[DataFrame, DataFrame] | None = None,
     n: int = 15,
@@ -30,7 +31,7 @@ def sectioned(
 ) -> DataFrame:
     """Section-wise retrieval, optional learned, hubness and late-interaction reranks, cut, padding.
 
-    ``second`` is a pair of crop and index vectors under another encoder. The reranks read their
+    ``features`` are the raw query features of a model that has some. ``second`` is a pair of crop and index vectors under another encoder. The reranks read their
     list more than once, with different columns, so the pooled list is checkpointed before them:
     it is short, and the search behind it must not run again.
     """
@@ -39,7 +40,7 @@ def sectioned(
     if model is not None or hub is not None or second is not None:
         ranked = checkpointed(ranked)
     if model is not None:
-        ranked = checkpointed(learned_rerank(ranked, crops, index, model))
+        ranked = checkpointed(learned_rerank(ranked, crops, index, model, features=features))
     if hub is not None:
         ranked = hubness(ranked, **hub)
     if second is not None:

@@ -141,6 +141,34 @@ def test_fit_linear_lowers_the_loss(spark):
     assert len(model["layers"]) == 1
 
 
+def test_query_features_go_from_training_to_rerank(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    queries = spark.createDataFrame([(f"b{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(12, 2)))], "bundle_id string, v array<double>")
+    index = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(5, 2)))], "product_id string, v array<double>")
+    cand = [(f"b{i}", f"p{j}", float(j), j == i % 5, "val" if i > 8 else "train") for i in range(12) for j in range(5)]
+    records = spark.createDataFrame(cand, "bundle_id string, product_id string, score double, positive boolean, split string")
+    raw = spark.createDataFrame([(f"b{i}", float(10 * i), 3.0) for i in range(12)], "bundle_id string, boxes double, flat double")
+    truth = records.filter("positive").select("bundle_id", "product_id")
+    model, history = listwise.fit_linear(records, queries, index, truth, 2, epochs=2, k=2, ks=(1, 5), query_features=raw)
+    assert model["extra_dim"] == 2 and model["scale"]["names"] == ["boxes", "flat"]
+    assert model["scale"]["mean"] == pytest.approx([40.0, 3.0]) and model["scale"]["std"] == pytest.approx([np.std(10.0 * np.arange(9)), 1.0])
+    assert history[0]["recall@5"] == history[0]["hit@5"] == 1.0 and 0 < history[0]["mrr"] <= 1 and history[0]["hit@1"] <= history[0]["hit@2"]
+    listwise.save_model(spark, model, str(tmp_path / "m"))
+    assert listwise.load_model(spark, str(tmp_path / "m"))["scale"] == model["scale"]
+    crops = queries.withColumn("conf", F.lit(1.0))
+    with pytest.raises(ValueError, match="query features"):
+        listwise.learned_rerank(records, crops, index, model)
+    assert listwise.learned_rerank(records, crops, index, model, features=raw.limit(3)).count() == 60
+
+
+def test_listwise_losses_of_long_lists(spark):
+    scores = np.linspace(500, 900, 300)
+    frame = spark.createDataFrame([("a", f"p{i}", float(x), i % 7 == 0) for i, x in enumerate(scores)], "bundle_id string, product_id string, score double, positive boolean")
+    got = listwise.listwise_losses(frame).first()
+    w = np.exp(scores - scores.max())
+    assert got["pos_prob"] == pytest.approx(w[::7].sum() / w.sum()) and got["loss"] == pytest.approx(-np.log(w[::7].sum() / w.sum()))
+
+
 def test_n5_truth_must_be_indexed(spark):
     cand = spark.createDataFrame([("a", "x", 1.0)], "bundle_id string, product_id string, score double")
     truth = spark.createDataFrame([("a", "x")], "bundle_id string, product_id string")

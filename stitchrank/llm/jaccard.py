@@ -37,6 +37,10 @@ class Scheme:
     is hashed into segments. If two linked sets agreed in no exact segment, each would hold an error; if in a segment
     with deletions neither agreed nor differed by one, it would hold two. With
     exact + 2 * deletion segments > errors that is too many, so linked sets share a signature.
+
+    Segments of one member or none are alike by chance. A band has ``slack`` exact segments more, and a set with
+    no more weak ones than that leaves them out: of a pair's equal segments only those weak in both are
+    lost, and enough others remain. A set with more weak segments signs all.
     """
 
     def __init__(self, low: int, high: int, threshold: int, sets: int):
@@ -46,6 +50,13 @@ class Scheme:
         self.errors = rest * (most + most * 100 // threshold) // (100 + threshold)
         self.deletions = min(self._choices(), key=lambda d: self._cost(d, sets))
         self.exact = max(0, self.errors + 1 - 2 * self.deletions)
+        self.slack = 0
+        if self.exact:
+            for _ in range(8):
+                mean = low / (self.exact + self.slack + self.deletions)
+                weak = (self.exact + self.slack) * math.exp(-mean) * (1 + mean)
+                self.slack = min(self.exact, math.ceil(weak + 2 * math.sqrt(weak)))
+        self.exact += self.slack
         self.segments = self.exact + self.deletions
         self.salt = mix((np.arange(self.segments, dtype=np.uint64) << np.uint64(32)) + np.uint64(low))
 
@@ -69,10 +80,15 @@ class Scheme:
         starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         keys = self.salt.copy()
         keys[segment[starts]] += np.add.reduceat(spread, starts)
+        held = np.zeros(self.segments, np.int64)
+        held[segment[starts]] = np.diff(np.append(starts, len(segment)))
+        weak = held < 2
+        weak[: self.deletions] = False
+        use = keys[~weak] if weak.sum() <= self.slack else keys
         if self.deletions:
             some = segment < self.deletions
-            keys = np.concatenate((keys, keys[segment[some]] - spread[some]))
-        return mix(keys)
+            use = np.concatenate((use, keys[segment[some]] - spread[some]))
+        return mix(use)
 
 
 class Schemes:
@@ -142,7 +158,7 @@ def _plausible(threshold: int):
 def _across(threshold: int, closest: bool):
     """Task that pairs members (sig, lo, hi, tid, comp, n, bits) of one group which are in different components and may be linked.
 
-    With ``closest``, for every member and other component only the nearest member of that. Only sketches are
+    With ``closest``, only the nearest pair of each component of a group. Only sketches are
     compared; a partition holds whole groups of at most 2 * BLOCK members, in order.
     """
 
@@ -159,7 +175,7 @@ def _across(threshold: int, closest: bool):
         ends = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
         change = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (comp[1:] != comp[:-1]))))
         behind = np.repeat(np.append(change[1:], len(group)), np.diff(np.append(change, len(group))))  # first member of a later component
-        first, second = [], []
+        first, second, near_by = [], [], []
         for at in range(0, len(tid), 2 * BLOCK):
             own = np.arange(at, min(at + 2 * BLOCK, len(tid)))
             for lot in np.array_split(own, max(1, int((ends[own] - behind[own]).sum()) // 100_000)):
@@ -167,17 +183,20 @@ def _across(threshold: int, closest: bool):
                 a = np.repeat(lot, count)
                 b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(behind[lot], count)
                 near = _close(n[a], n[b], bits[a], bits[b], threshold)
-                a, b = a[near], b[near]
-                if closest and len(a):
-                    apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
-                    by = np.lexsort((apart, comp[b], a))
-                    a, b = a[by], b[by]
-                    best = np.concatenate(([True], (a[1:] != a[:-1]) | (comp[b][1:] != comp[b][:-1])))
-                    a, b = a[best], b[best]
-                first.append(tid[a])
-                second.append(tid[b])
+                first.append(a[near])
+                second.append(b[near])
+                if closest:
+                    near_by.append(np.bitwise_count(bits[a[near]] ^ bits[b[near]]).sum(axis=1))
         a, b = np.concatenate(first), np.concatenate(second)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if closest and len(a):
+            # The nearest pair of every component of a group, seen from either side.
+            apart, sides = np.concatenate(near_by), np.concatenate((a, b))
+            order = np.lexsort((np.tile(apart, 2), comp[sides], group[sides]))
+            head = sides[order]
+            best = order[np.concatenate(([True], (group[head][1:] != group[head][:-1]) | (comp[head][1:] != comp[head][:-1])))] % len(a)
+            a, b = a[np.unique(best)], b[np.unique(best)]
+        found = np.unique(np.stack((np.minimum(tid[a], tid[b]), np.maximum(tid[a], tid[b])), 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return pairs
 
@@ -199,13 +218,14 @@ def _linked(size: int, threshold: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, comp) of every vertex of the links (a, b): comp is the smallest vertex reachable.
+    """(v, comp) of every vertex of the links (a, b), which are written: comp is the smallest vertex reachable.
 
-    Labels sink along links and then to the label's own label, so paths halve each round; counts and minima
-    are combined before the shuffle, and only a number of changes reaches the driver.
+    Labels sink along links and then to the label's own label, so paths halve each round; minima
+    are combined before the shuffle, and only whether anything changed reaches the driver. Links that form
+    stars around their smallest vertex are done after one round.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
         sunk = labels.join(near, "v").select("v", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
@@ -216,13 +236,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (v, comp) after more links (a, b), which are written: only components that these join are labelled anew."""
+    ends = [labels.select(F.col("v").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    placed = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    placed = placed.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    vertices = labels.unionByName(placed.select(F.col("a").alias("v"), F.col("ca").alias("comp"))).unionByName(placed.select(F.col("b").alias("v"), F.col("cb").alias("comp")))
+    moved = components(placed.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b"))
+    moved = moved.select(F.col("v").alias("comp"), F.col("comp").alias("to"))
+    vertices = vertices.distinct().join(moved, "comp", "left")
+    return written(vertices.select("v", F.coalesce("to", "comp").alias("comp")))
+
+
 def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``, linked at ``threshold`` percent or more.
 
-    Rows with equal texts are one vertex (``tid``). Signatures that two vertices share propose links; at first
-    each vertex is compared with the smallest of each signature only, which joins families of copies without their pairs. Then
-    signatures with members of several components compare these members across components, by sketch in the task
-    and by text where sketches are near: first the nearest, and once that joins nothing more, all. No link between different texts is lost.
+    Rows with equal texts are one vertex (``tid``). Signatures that two vertices share propose links. At first
+    each vertex is compared with one smallest member of its signatures, then with those of all its signatures in
+    other components, which joins families of copies without their pairs. Then signatures with members
+    of several components compare these members across components, by sketch in the task and by text where sketches
+    are near: the nearest pair of each component, and once that joins nothing more, all. No link between different texts is lost.
 
     Null texts and texts without words have no shingles and stay alone. A null id counts as larger than all
     others; component_id is null only if all ids of the component are. Equal rows share their result. An empty table gives no rows.
@@ -236,12 +269,15 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
     known = WordHashes()
 
     def sign(text):
-        return schemes.signatures(shingles(text, size, known))
+        members = shingles(text, size, known)
+        return schemes.signatures(members), len(members)
 
     marks = shared_names(rows, sign, False, 1 << 60)
-    shared = written(marks.where("rid is not null").select("rid", "names").mapInArrow(_expand, "sig long, tid long").distinct())
+    facts = marks.where("rid is not null").select("rid", F.col("fact").alias("n_shingles"))
+    marks = marks.where("rid is not null and names is not null").select("rid", "names")
+    shared = written(marks.mapInArrow(_expand, "sig long, tid long").distinct())
     first = rows.groupBy("rid").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("doc"))
-    some, _ = maybe(rows.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))), key_filter(marks.where("rid is not null").select("rid")))
+    some, _ = maybe(rows.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))), key_filter(marks.select("rid")))
     texts = written(some.join(first, ["rid", "doc"], "left_semi").dropDuplicates(["rid"]).select(F.col("rid").alias("tid"), "text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +303,16 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
     shared = written(shared.join(one, "sig").where("tid <> a"))
     stars = shared.select("a", F.col("tid").alias("b")).distinct()
     side = [sets.select(F.col("tid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"k{x}")) for x in "ab"]
-    near = stars.join(side[1], "b").join(side[0], "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_plausible(threshold), "a long, b long")
-    links = written(verified(near))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side[1], "b").join(side[0], "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_plausible(threshold), "a long, b long")
+
+    stars = written(near(stars))
+    links = written(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
     labels = components(links)
+    ends = [labels.select(F.col("v").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    apart = stars.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    labels = joined(labels, written(verified(apart.select("a", "b"))))
     last = False
     while True:
         placed = shared.join(labels.withColumnRenamed("v", "tid"), "tid", "left").select("sig", "tid", F.coalesce("comp", "tid").alias("comp"))
@@ -281,30 +324,21 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
         members = members.select("group", "tid", "comp", "n", "bits").repartition(partitions(spark), "group")
         pairs = members.mapInArrow(_across(threshold, not last), "a long, b long").distinct()
         new = written(verified(pairs))
-        if new.isEmpty():
-            if last:
-                break
-        else:
-            links = written(links.unionByName(new))
-            labels = components(links)
+        none = new.isEmpty()
+        if not none:
+            labels = joined(labels, new)
         if last:
             break
-        last = new.isEmpty()
+        last = none
     own = labels.select(F.col("v").alias("rid"), "comp")
     named = first.join(own, "rid", "left").select("rid", "doc", F.coalesce("comp", "rid").alias("comp"))
     # Only linked vertices need a smallest id beyond their own.
     least = named.join(own.select(F.col("comp").alias("comp")).distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("doc").alias("least"))
     named = named.join(least, "comp", "left").select("rid", F.coalesce("least", "doc").alias("component_id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words = WordHashes()
-        for batch in batches:
-            sizes = [len(shingles(t, size, own_words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(sizes, pa.int64())], names=["doc_id", "rid", "n_shingles"])
-
-    sized = rows.mapInArrow(count, "doc_id long, rid long, n_shingles long")
     id_ = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component_id") != NULL_ID, F.col("component_id"))
-    return sized.join(named, "rid").select("doc_id", "n_shingles", id_.alias("component_id"))
+    # Narrow rows; those of a hot text are spread by Spark's skew handling.
+    return rows.select("doc_id", "rid").join(named.join(facts, "rid"), "rid").select("doc_id", "n_shingles", id_.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:

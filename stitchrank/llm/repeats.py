@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +100,8 @@ def _grouped(keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
         yield (int(keys[a]), *[v[a:b] for v in values])
 
 
-_NAMES = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("names", pa.binary()), ("known", pa.bool_())])
-_NAMES_SQL = "part int, rids binary, counts binary, names binary, known boolean"
+_NAMES = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("names", pa.binary()), ("facts", pa.binary()), ("known", pa.bool_())])
+_NAMES_SQL = "part int, rids binary, counts binary, names binary, facts binary, known boolean"
 
 
 def _narrow(names: np.ndarray) -> bytes:
@@ -113,18 +114,22 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-def _send_names(n: int, make: Callable[[str | None], np.ndarray], within: bool):
+def _send_names(n: int, make: Callable[[str | None], tuple[np.ndarray, int | None]], within: bool):
     """Task that sends the names of its rows, each once per block, to the parts of the names."""
 
-    def flush(names: list, rids: list, block: int) -> Iterator[dict]:
+    def flush(names: list, rids: list, facts: list, block: int) -> Iterator[dict]:
         # Rows of one rid are one row.
         ids, number = np.unique(np.array(rids, np.int64), return_inverse=True)
         h, r = np.concatenate(names), np.repeat(number.astype(np.int32), [len(x) for x in names])
         order = np.argsort(h)
         h, r = h[order], r[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        if facts and facts[0] is not None:
+            of = np.empty(len(ids), np.int64)
+            of[number] = facts
+            yield {"part": block % n, "rids": ids.tobytes(), "facts": of.tobytes()}
         if not len(h):
             return
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         counts = np.diff(np.append(starts, len(h)))
         shared = counts > 1 if within else np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)
         # Names that the block itself shares: its rows know already.
@@ -150,19 +155,19 @@ def _send_names(n: int, make: Callable[[str | None], np.ndarray], within: bool):
             yield {"part": int(p), "rids": owners.tobytes(), "counts": tail.astype("<u4").tobytes(), "names": _narrow(found), "known": False}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rids, held, block = [], [], 0, hash(id(batches)) % n
+        names, rids, facts, held, block = [], [], [], 0, TaskContext.get().partitionId() % n
         for batch in batches:
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = make(text)
-                if len(found):
-                    names.append(found)
-                    rids.append(rid)
-                    held += len(found)
+                found, fact = make(text)
+                names.append(found)
+                rids.append(rid)
+                facts.append(fact)
+                held += len(found)
                 if held >= BLOCK_NAMES:
-                    yield pa.RecordBatch.from_pylist(list(flush(names, rids, block)), schema=_NAMES)
-                    names, rids, held, block = [], [], 0, block + 1
+                    yield pa.RecordBatch.from_pylist(list(flush(names, rids, facts, block)), schema=_NAMES)
+                    names, rids, facts, held, block = [], [], [], 0, block + 1
         if names:
-            yield pa.RecordBatch.from_pylist(list(flush(names, rids, block)), schema=_NAMES)
+            yield pa.RecordBatch.from_pylist(list(flush(names, rids, facts, block)), schema=_NAMES)
 
     return send
 
@@ -173,8 +178,13 @@ def _meet_names(n: int, hot: int, within: bool):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, owners, held, known = [], [], [], []
         for batch in batches:
-            for _, rids, counts, data, local in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rids, counts, found = np.frombuffer(rids, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), _wide(data)
+            for _, rids, counts, data, facts, local in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rids = np.frombuffer(rids, "<i8")
+                if facts is not None:
+                    for part, own, mine in _grouped(_part(mix(rids.view(np.uint64)), n), rids, np.frombuffer(facts, "<i8")):
+                        yield pa.RecordBatch.from_pylist([{"part": part, "rids": own.tobytes(), "facts": mine.tobytes()}], schema=_FOUND)
+                    continue
+                counts, found = np.frombuffer(counts, "<u4").astype(np.int64), _wide(data)
                 if local:
                     known.append((np.repeat(rids, counts), found))
                     continue
@@ -206,34 +216,46 @@ def _meet_names(n: int, hot: int, within: bool):
     return meet
 
 
-_FOUND = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("names", pa.binary())])
+_FOUND = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("names", pa.binary()), ("facts", pa.binary())])
 
 
 def _gather_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (rid, names) for each text; hot names come under no rid."""
-    rids, names, out = [], [], []
+    """One row (rid, names, fact) for each text that shares names or has a fact; hot names come under no rid."""
+    rids, names, out, facts = [], [], [], {}
     for batch in batches:
         for row in batch.to_pylist():
             if row["rids"] is None:
-                out.append((None, row["names"]))
+                out.append((None, row["names"], None))
+            elif row["facts"] is not None:
+                facts.update(zip(np.frombuffer(row["rids"], "<i8").tolist(), np.frombuffer(row["facts"], "<i8").tolist(), strict=True))
             else:
                 rids.append(np.frombuffer(row["rids"], "<i8"))
                 names.append(_wide(row["names"]))
-    grouped = itertools.chain(out, ((r, _narrow(x)) for r, x in _grouped(np.concatenate(rids), np.concatenate(names)))) if rids else iter(out)
+
+    def lines():
+        yield from out
+        if rids:
+            for rid, found in _grouped(np.concatenate(rids), np.concatenate(names)):
+                yield rid, _narrow(found), facts.pop(rid, None)
+        for rid, fact in facts.items():
+            yield rid, None, fact
+
+    grouped = lines()
     while rows := list(itertools.islice(grouped, 5000)):
-        keys, data = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["rid", "names"])
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["rid", "names", "fact"])
 
 
-def shared_names(rows: DataFrame, make: Callable[[str | None], np.ndarray], within: bool, hot: int) -> DataFrame:
-    """(rid, names): for each row of (rid, text) a blob of those of its names that occur in several rows; hot names have no rid.
+def shared_names(rows: DataFrame, make: Callable[[str | None], tuple[np.ndarray, int | None]], within: bool, hot: int) -> DataFrame:
+    """(rid, names, fact): for each row of (rid, text) a blob of those of its names that occur in several rows; hot names have no rid.
 
-    ``make`` gives the 64-bit names of a text. With ``within``, two places in one row count as several.
+    ``make`` gives the 64-bit names of a text and a number to be kept of it, or None throughout; with
+    numbers every rid has a row, its names null if it shares none. With ``within``, two places in one row count as several.
     """
     n = partitions(rows.sparkSession)
     sent = rows.select("rid", "text").mapInArrow(_send_names(n, make, within), _NAMES_SQL)
-    met = sent.repartitionById(n, F.col("part")).mapInArrow(_meet_names(n, hot, within), "part int, rids binary, names binary")
-    return written(met.repartitionById(n, F.col("part")).mapInArrow(_gather_names, "rid long, names binary"))
+    met = sent.repartitionById(n, F.col("part")).mapInArrow(_meet_names(n, hot, within), "part int, rids binary, names binary, facts binary")
+    return written(met.repartitionById(n, F.col("part")).mapInArrow(_gather_names, "rid long, names binary, fact long"))
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
@@ -296,7 +318,7 @@ def _send_runs(n: int, windows: Windows, hot: np.ndarray):
             )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = WordHashes(), hash(id(batches)) % n
+        known, block = WordHashes(), TaskContext.get().partitionId() % n
         contents, texts, parts, held = [], [], [], 0
 
         def add(raw, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> int:
@@ -441,13 +463,15 @@ def repeated_spans(docs: DataFrame, windows: Windows, resolve: Resolver, most: i
 
     def make(text):
         symbols, _ = windows.symbols(text, known)
-        return windows.occurrences(symbols)
+        return windows.occurrences(symbols), None
 
     marks = shared_names(docs, make, windows.within, hot_from)
     hot = [np.empty(0, np.uint64), *[_wide(r["names"]) for r in marks.where("rid is null").toLocalIterator()]]
-    by_row = marks.where("rid is not null").withColumnRenamed("names", "marks")
+    by_row = marks.where("rid is not null").select("rid", F.col("names").alias("marks"))
     candidates, _ = maybe(docs, key_filter(marks.where("rid is not null").select("rid")))
-    sent = candidates.join(by_row, "rid").select("rid", "doc", "text", "marks").mapInArrow(_send_runs(n, windows, np.concatenate(hot)), _RUNS_SQL)
+    # Blocks depend on the order of the rows, so a task that is run again must see the same (a sorted join has it already).
+    rows = candidates.join(by_row, "rid").select("rid", "doc", "text", "marks").sortWithinPartitions("rid", "doc")
+    sent = rows.mapInArrow(_send_runs(n, windows, np.concatenate(hot)), _RUNS_SQL)
     met = sent.repartitionById(n, F.col("part")).mapInArrow(_meet_runs(n, windows, resolve, most), "part int, rids binary, starts binary, ends binary")
     return written(met.repartitionById(n, F.col("part")).mapInArrow(_gather_spans, "rid long, spans binary"))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -250,10 +251,37 @@ def _to_root(model: Automaton) -> list[float]:
     return out
 
 
-_SENT_SQL = "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rows binary, sizes binary, codes binary"
-_FACTS_SQL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-_FACTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-_SENT = pa.schema([("part", pa.int32()), *_FACTS, ("rows", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
+_FACTS_SQL = "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rows binary, sizes binary, codes binary"
+_FACTS = pa.schema([
+    ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("base", pa.float64()), ("score", pa.float64()), ("rows", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()),
+])
+_DONE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of facts with what the parts of the rare words add to them; a partition holds all of a row."""
+    facts, parts = [], []
+    for batch in batches:
+        own = pc.is_null(batch.column("rows"))
+        facts.append(batch.filter(own))
+        for row in batch.filter(pc.invert(own)).to_pylist():
+            known, base, price = np.frombuffer(row["codes"], "<f8").reshape(3, -1)
+            parts.append((np.frombuffer(row["rows"], "<i8"), known, base, price))
+    if not facts:
+        return
+    table_ = pa.Table.from_batches(facts).combine_chunks()
+    row = table_.column("row").to_numpy()
+    order = np.argsort(row)
+    sums = [np.zeros(len(row)) for _ in range(3)]
+    for rows, *values in parts:
+        at = order[np.searchsorted(row[order], rows)]  # rows are distinct within a part
+        for total, value in zip(sums, values, strict=True):
+            total[at] += value
+    columns = [table_.column(c) for c in ("doc_id", "held_out", "n_tokens")]
+    columns.append(pa.array(table_.column("n_known").to_numpy() + sums[0].astype(np.int64)))
+    columns += [pa.array(table_.column(c).to_numpy() + x) for c, x in (("base", sums[1]), ("score", sums[2]))]
+    yield from pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches(max_chunksize=50_000)
 
 
 def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> DataFrame:
@@ -288,16 +316,15 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> Data
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = shared.value, WordHashes()
         base, row = automaton.base(automaton.counts), TaskContext.get().partitionId() << 36
-        rares, codes, size, spread = [], [], 0, row
+        rares, codes, size = [], [], 0
         for batch in batches:
             out = []
             for doc_id, is_held, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 hashes = tokens(text, known)
                 found = automaton.find(hashes)
                 heavy = found[found >= 0]
-                spread += 1
                 out.append({
-                    "part": spread % n, "row": row, "doc_id": doc_id, "held_out": is_held, "n_tokens": len(hashes), "n_known": len(heavy),
+                    "part": row % n, "row": row, "doc_id": doc_id, "held_out": is_held, "n_tokens": len(hashes), "n_known": len(heavy),
                     "base": float(base[heavy].sum()), "score": automaton.traverse(found.tolist()),
                 })
                 if len(heavy) < len(hashes):
@@ -308,9 +335,9 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> Data
             if size >= BLOCK_TOKENS:
                 out += flush(rares, codes)
                 rares, codes, size = [], [], 0
-            yield pa.RecordBatch.from_pylist(out, schema=_SENT)
+            yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
         if size:
-            yield pa.RecordBatch.from_pylist(list(flush(rares, codes)), schema=_SENT)
+            yield pa.RecordBatch.from_pylist(list(flush(rares, codes)), schema=_FACTS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
@@ -322,7 +349,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> Data
                 if own is not None:
                     rows.append(np.repeat(np.frombuffer(own, "<i8"), np.frombuffer(sizes, "<u4")))
                     codes.append(np.frombuffer(code, "<u8"))
-            yield pa.RecordBatch.from_arrays([batch.column(f.name).filter(pa.array(rest)) for f in _FACTS], schema=_FACTS)
+            yield batch.filter(pa.array(rest, pa.bool_()))
         if rows:
             row, code = np.concatenate(rows), np.concatenate(codes)
             order = np.argsort(code)
@@ -330,25 +357,23 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> Data
             starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
             count = np.repeat(np.add.reduceat(row & 1, starts), np.diff(np.append(starts, len(code))))
             base, price = automaton.base(count), automaton.rare(count)
-            order = np.argsort(row)
-            row = row[order]
+            row >>= 1
+            part = row % n
+            order = np.lexsort((row, part))
+            row, part = row[order], part[order]
             starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            for at in range(0, len(starts), 100_000):
-                cut = starts[at : at + 100_000]
-                stop = starts[at + 100_000] if at + 100_000 < len(starts) else len(row)
-                sums = [np.add.reduceat(v[order][:stop], cut) for v in ((count > 0).astype(np.int64), base, price)]
-                nothing = pa.nulls(len(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[cut] >> 1), nothing.cast(pa.int64()), nothing.cast(pa.bool_()), nothing.cast(pa.int64()), *[pa.array(s) for s in sums]], schema=_FACTS
-                )
-
-    facts = rows.mapInArrow(send, _SENT_SQL).repartitionById(n, F.col("part")).mapInArrow(meet, _FACTS_SQL)
-    # A row's own facts and what each part adds to them.
-    sums = facts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+            sums = np.stack([np.add.reduceat(v[order].astype(np.float64), starts) for v in (count > 0, base, price)])
+            row, part = row[starts], part[starts]
+            edges = np.searchsorted(part, np.arange(n + 1))
+            yield pa.RecordBatch.from_pylist(
+                [{"part": int(p), "rows": row[edges[p] : edges[p + 1]].tobytes(), "codes": sums[:, edges[p] : edges[p + 1]].tobytes()} for p in np.flatnonzero(np.diff(edges))],
+                schema=_FACTS,
+            )
+
+    priced = rows.mapInArrow(send, _FACTS_SQL).repartitionById(n, F.col("part")).mapInArrow(meet, _FACTS_SQL)
+    # What each part knows of a row meets its own facts.
+    done = priced.repartitionById(n, F.col("part")).mapInArrow(_add_up, _DONE_SQL)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_language_model(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import itertools
 import os
 import posixpath
 import re
@@ -26,13 +26,14 @@ MAGIC = b"PKIDS1\0\0"
 BLOCK = 4096
 # Ids after which a task begins another file.
 FILE_IDS = 32_000_000
-# Parts a worker remembers, twice; parts encoded in one call; characters of text cut at a time.
-KNOWN = 400_000
-TOGETHER = 400
+# Parts a worker remembers; parts encoded in one call; characters of text cut at a time.
+KNOWN = 1_400_000
+TOGETHER = 64
 LOT_CHARS = 2_000_000
-# White space that is not one space between two other characters; marks that end a run of letters (no apostrophe).
-_ODD = re.compile(r"  |[^\S ] | [^\S ]")
-MARKS = ".,;:!?&%$*#|()"
+# How the byte-level alphabet writes a space; it writes ASCII letters as they are.
+SPACE = "\u0120"
+# White space other than spaces and line breaks.
+_OTHER = re.compile(r"[^\S \n]")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -118,32 +119,50 @@ class Reader:
 class Encoder:
     """Ids of whole texts from a byte-level tokenizer that never joins a word with the space before the next.
 
-    A text is cut before each single space between two other characters; the tokenizer's pattern
-    always ends a piece there, so the ids of the parts are the ids of the whole. Parts seen lately
-    are remembered. New parts are encoded many at a time: each but a text's first begins with the only
-    space in it, and so do its ids, which shows where one part ends and the next begins.
+    A text is cut before each single space, and around each single line break, between two other
+    characters; the tokenizer's pattern always ends a piece there, so the ids of the parts are the ids of
+    the whole. Frequent parts are remembered. New parts are encoded many in one text: a part begins
+    with the only space in it, and so do its ids, or stands between line breaks, which shows where one ends.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for parts that are one piece of the pattern already, written in the byte-level alphabet.
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        # The byte-level alphabet writes a space as this letter.
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.known: dict[str, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """No part is known. The ids of part ``i`` are ``ids[starts[i] : starts[i] + sizes[i]]``."""
+        self.known.clear()
+        self.ids, self.used_ids = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        """Names of the parts: the first, which no space precedes, after a space, the others without theirs."""
-        cut = text.split(" ")
-        cut[0] = " " + cut[0]
-        if _ODD.search(text) is None and cut[0] != " " and cut[-1]:
+        """Names of the parts: after a space those that no space precedes, without theirs the others."""
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace()
+        if not odd and _OTHER.search(text) is None:
+            # A single line break is a part of its own, too.
+            cut = text.replace("\n", " \n ").split(" ")
+            cut[0] = " " + cut[0]
+            at = -1
+            for _ in range(text.count("\n")):
+                at = cut.index("\n", at + 1)
+                cut[at] = " \n"
+                cut[at + 1] = " " + cut[at + 1]
             return cut
-        out = cut[:1]
+        cut = text.split(" ")
+        out = [" " + cut[0]]
         for p in cut[1:]:
             if p and not p[0].isspace() and not out[-1][-1].isspace():
                 out.append(p)
@@ -151,55 +170,76 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def _learn(self, names: list[str]) -> None:
-        """Encode new parts. Of a part that ends in a letter and marks, both are encoded apart."""
-        known, older = self.known, self.older
-        joined, alone, marked = [], [], []
+    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.known)
+        while at + len(names) > len(self.starts):
+            self.starts, self.sizes, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.uses))
+        while self.used_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used_ids : self.used_ids + len(ids)] = ids
+        self.starts[at : at + len(names)] = self.used_ids + np.cumsum(sizes) - sizes
+        self.sizes[at : at + len(names)] = sizes
+        self.used_ids += len(ids)
+        self.known.update(zip(names, range(at, at + len(names)), strict=True))
+
+    def _learn(self, names: set[str]) -> None:
+        """Encode new parts: those with white space inside alone, all others many in one text."""
+        letters, words, firsts, alone = [], [], [], []
         for name in names:
-            stem = name.rstrip(MARKS)
-            if len(stem) < len(name) and stem.strip() and stem[-1].isalpha():
-                marked.append((name, stem, " " + name[len(stem) :]))
-            elif name[0] == " " or len(name.split()) > 1 or name[-1].isspace():
+            if name.isascii() and name.isalpha():
+                letters.append(name)
+            elif len(name.split()) != 1 or name[-1].isspace() or name[:2].isspace():
                 alone.append(name)
             else:
-                joined.append(name)
-        if marked:
-            apart = {part for _, stem, mark in marked for part in (stem, mark)}.difference(known, names)
-            for part in [p for p in apart if p in older]:
-                known[part] = older[part]
-                apart.discard(part)
-            self._learn(list(apart))
+                (firsts if name[0] == " " else words).append(name)
         for at in range(0, len(alone), TOGETHER):
             some = alone[at : at + TOGETHER]
             texts = [n[1:] if n[0] == " " else " " + n for n in some]
-            for name, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[name] = np.array(e.ids, "<u4").tobytes()
-        for at in range(0, len(joined), TOGETHER):
-            some = joined[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            edges = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
-            data = ids.tobytes()
-            for name, a, b in zip(some, edges[:-1], edges[1:], strict=True):
-                known[name] = data[a:b]
-        for name, stem, mark in marked:
-            known[name] = known[stem] + known[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._store(some, np.concatenate(found), np.array([len(f) for f in found]))
+        for model, parts, glue in ((self.pieces, letters, " " + SPACE), (self.tokenizer, words, " ")):
+            for at in range(0, len(parts), TOGETHER):
+                some = parts[at : at + TOGETHER]
+                ids = np.array(model.encode_batch_fast([glue + glue.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                self._store(some, ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        for at in range(0, len(firsts), TOGETHER):
+            some = firsts[at : at + TOGETHER]
+            lines = "\n".join([n[1:] for n in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+            breaks = np.flatnonzero(ids == self.line_break)
+            self._store(some, np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1)
+
+    def _keep_frequent(self) -> None:
+        """Forget the parts that were used once since the last time."""
+        names = list(self.known)
+        kept = np.flatnonzero(self.uses[: len(names)] > 1)
+        if len(kept) > KNOWN // 2:
+            kept = kept[np.argsort(-self.uses[kept], kind="stable")[: KNOWN // 2]]
+        sizes, starts = self.sizes[kept], self.starts[kept]
+        ids = self.ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        self._empty()
+        self._store([names[i] for i in kept.tolist()], ids, sizes)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.known) > KNOWN:
+            self._keep_frequent()
         cut = [self.parts(t) if t else [] for t in texts]
-        known, older = self.known, self.older
-        new = []
-        for name in set().union(*cut).difference(known):
-            ids = older.get(name)
-            if ids is None:
-                new.append(name)
-            else:
-                known[name] = ids
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, names)) for names in cut]
-        if len(known) > KNOWN:
-            self.older, self.known = known, {}
-        return out
+        names = list(itertools.chain.from_iterable(cut))
+        which = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            late = [names[i] for i in missing.tolist()]
+            self._learn(set(late))
+            which[missing] = np.fromiter(map(self.known.__getitem__, late), np.int64, len(late))
+        if not len(which):
+            return [np.empty(0, np.uint32) for _ in texts]
+        self.uses += np.bincount(which, minlength=len(self.uses))
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        stops = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])]
+        return np.split(ids, stops[:-1])
 
 
 # One encoder per Python worker, which serves many tasks.
@@ -221,8 +261,6 @@ def vocabulary_bits(path: str) -> int:
 
 def encoded(docs: DataFrame, tokenizer: str, bits: int, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n_tokens, packed): the packed ids of each whole text and the end id."""
-    tail = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer)
         for batch in batches:
@@ -232,10 +270,9 @@ def encoded(docs: DataFrame, tokenizer: str, bits: int, end_id: int = END_ID) ->
                 lot.append(text)
                 held += len(text or "")
                 if held >= LOT_CHARS or i == len(texts) - 1:
-                    for e in known.encode(lot):
-                        ids = np.frombuffer(e + tail, "<u4")
-                        sizes.append(len(ids))
-                        packed.append(pack(ids, bits))
+                    for ids in known.encode(lot):
+                        sizes.append(len(ids) + 1)
+                        packed.append(pack(np.append(ids, np.uint32(end_id)), bits))
                     lot, held = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "packed"]

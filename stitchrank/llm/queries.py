@@ -22,4 +22,4 @@ QUERIES: dict[str, Query] = {
     "op9_byte_dedup": bwt.op9_byte_dedup,
     "op10_binary_ids": binary.op10_binary_ids,
 }
-ORACLES: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": dedup.OP3_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": dedup.OP3_SQL, "op8_sharding": sharding.OP8_SQL}

@@ -40,8 +40,8 @@ def byte_shards(docs: DataFrame, shards: int, order: Sequence[Column], size: Col
     offsets = totals.select("_part", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_offset"), F.sum("_bytes").over(Window.partitionBy()).alias("_total"))
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    # Twice the middle of the row, in exact integers.
-    cut = F.floor((2 * F.col("_start") + F.col("size")).cast("decimal(38,0)") * shards / (2 * F.col("_total")))
+    # By twice the middle of the row, in exact integers.
+    cut = F.expr(f"(2 * _start + size) * {int(shards)} div (2 * _total)")
     cutted = (
         lined.join(F.broadcast(offsets), "_part").withColumn("_start", start)
         .withColumn("shard", F.least(cut, F.lit(shards - 1)).cast("int"))
@@ -73,3 +73,28 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def op8_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 over the hexadecimal digits of the text; its table is built by its rule.
+OP8_SQL = r"""
+with crc_table as (
+  select list(v order by n) as t from (
+    select n, list_reduce(list_concat([n::bigint], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
+    from range(256) r(n))),
+digits as (
+  select doc_id, (coalesce(strlen(text), 0) + 16)::bigint as size, hex(encode(coalesce(text, ''))) as h from documents),
+sized as (
+  select doc_id, size,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::bigint, 2))::bigint)),
+                         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::bigint as text_crc32
+  from digits, crc_table),
+placed as (
+  select *, sum(size) over () as total,
+         coalesce(sum(size) over (order by doc_id nulls last, text_crc32 rows between unbounded preceding and 1 preceding), 0) as start
+  from sized),
+cut as (select *, least(39, (2 * start + size) * 40 // (2 * total))::int as shard from placed)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+       row_number() over (partition by shard order by doc_id nulls last, text_crc32) - 1 as slot, null::int as grown_shard
+from cut
+"""

@@ -169,7 +169,6 @@ def late_interaction(ranked: DataFrame, crops2: DataFrame, index2: DataFrame, we
     )
 
     def best_of_block(crops, candidates):
-        import numpy as np
         import pyarrow as pa
 
         def matrix(table):

@@ -60,7 +60,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of a word, remembered for the words seen lately; the memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -38,9 +38,10 @@ class Scheme:
     with deletions neither agreed nor differed by one, it would hold two. With
     exact + 2 * deletion segments > errors that is too many, so linked sets share a signature.
 
-    Segments of one member or none are alike by chance. A band has ``slack`` exact segments more, and a set with
-    no more weak ones than that leaves them out: of a pair's equal segments only those weak in both are
-    lost, and enough others remain. A set with more weak segments signs all.
+    Weak segments, of one member or none, are alike by chance. A band has ``slack`` exact segments more, and a
+    set with no more weak ones than that leaves them out: of a pair's equal segments only those weak in both are
+    lost, and enough others remain. A set with more weak segments signs all. Where segments are so small that
+    the slack would feed on itself, only empty ones count as weak.
     """
 
     def __init__(self, low: int, high: int, threshold: int, sets: int):
@@ -50,16 +51,25 @@ class Scheme:
         self.errors = rest * (most + most * 100 // threshold) // (100 + threshold)
         self.deletions = min(self._choices(), key=lambda d: self._cost(d, sets))
         self.exact = max(0, self.errors + 1 - 2 * self.deletions)
-        self.slack = 0
-        if self.exact:
-            for _ in range(8):
-                mean = low / (self.exact + self.slack + self.deletions)
-                weak = (self.exact + self.slack) * math.exp(-mean) * (1 + mean)
-                self.slack = min(self.exact, math.ceil(weak + 2 * math.sqrt(weak)))
+        self.weak, self.slack = self._slack()
         self.exact += self.slack
         self.segments = self.exact + self.deletions
         self.salt = mix((np.arange(self.segments, dtype=np.uint64) << np.uint64(32)) + np.uint64(low))
 
+    def _slack(self) -> tuple[int, int]:
+        """(members below which a segment is weak, exact segments to add)."""
+        for weak in (2, 1):
+            slack = 0
+            for _ in range(12):
+                mean = self.low / (self.exact + slack + self.deletions)
+                expected = (self.exact + slack) * math.exp(-mean) * (1 + mean * (weak - 1))
+                slack = math.ceil(expected + 2 * math.sqrt(expected))
+                if slack > self.exact / 4 + 1:
+                    break
+            else:
+                return weak, slack
+        return 0, 0
+
     def _choices(self) -> list[int]:
         top = (self.errors + 2) // 2
         return sorted({round(top * i / 16) for i in range(17)})
@@ -82,7 +92,7 @@ class Scheme:
         keys[segment[starts]] += np.add.reduceat(spread, starts)
         held = np.zeros(self.segments, np.int64)
         held[segment[starts]] = np.diff(np.append(starts, len(segment)))
-        weak = held < 2
+        weak = held < self.weak
         weak[: self.deletions] = False
         use = keys[~weak] if weak.sum() <= self.slack else keys
         if self.deletions:

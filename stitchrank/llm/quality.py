@@ -51,7 +51,7 @@ def shape(word: str) -> str:
 class Rows(dict):
     """word -> row of its vector * SHAPES + row of its shape; the memory is bounded."""
 
-    def __init__(self, frequent: np.ndarray, most: int = 300_000):
+    def __init__(self, frequent: np.ndarray, most: int = 150_000):
         super().__init__()
         self.frequent, self.most = {int(h): i for i, h in enumerate(frequent)}, most
 

@@ -191,13 +191,15 @@ def _meet_names(n: int, hot: int, within: bool):
                 several, sizes, more = int(counts[0]), counts[1 : 1 + len(rids)], counts[1 + len(rids) :]
                 names.append(found)
                 owners.append(np.repeat(rids, sizes))
-                mine = np.ones(len(found), np.int64)
+                mine = np.ones(len(found), np.int32)
                 mine[:several] = more
                 held.append(mine)
         if names:
-            h, r, c = np.concatenate(names), np.concatenate(owners), np.concatenate(held)
+            h = np.concatenate(names)
+            names.clear()
             order = np.argsort(h)
-            h, r, c = h[order], r[order], c[order]
+            h, r, c = h[order], np.concatenate(owners)[order], np.concatenate(held)[order]
+            owners.clear()
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             total = np.add.reduceat(c, starts)
             size = np.diff(np.append(starts, len(h)))

@@ -51,20 +51,20 @@ class Scheme:
         self.errors = rest * (most + most * 100 // threshold) // (100 + threshold)
         self.deletions = min(self._choices(), key=lambda d: self._cost(d, sets))
         self.exact = max(0, self.errors + 1 - 2 * self.deletions)
-        self.weak, self.slack = self._slack()
+        self.weak, self.slack = self._slack(self.exact, self.deletions)
         self.exact += self.slack
         self.segments = self.exact + self.deletions
         self.salt = mix((np.arange(self.segments, dtype=np.uint64) << np.uint64(32)) + np.uint64(low))
 
-    def _slack(self) -> tuple[int, int]:
+    def _slack(self, exact: int, deletions: int) -> tuple[int, int]:
         """(members below which a segment is weak, exact segments to add)."""
         for weak in (2, 1):
             slack = 0
             for _ in range(12):
-                mean = self.low / (self.exact + slack + self.deletions)
-                expected = (self.exact + slack) * math.exp(-mean) * (1 + mean * (weak - 1))
+                mean = self.low / (exact + slack + deletions)
+                expected = (exact + slack) * math.exp(-mean) * (1 + mean * (weak - 1))
                 slack = math.ceil(expected + 2 * math.sqrt(expected))
-                if slack > self.exact / 4 + 1:
+                if slack > exact / 4 + 1:
                     break
             else:
                 return weak, slack
@@ -77,9 +77,12 @@ class Scheme:
     def _cost(self, deletions: int, sets: int) -> float:
         """Signatures to send and pairs of unlike sets that meet by chance, where both segments are (nearly) empty."""
         exact = max(0, self.errors + 1 - 2 * deletions)
-        mean = self.low / (exact + deletions)
-        chance = math.exp(-2 * mean)
-        return sets * (exact + deletions * (1 + mean)) + sets * sets / 2 * (exact + deletions * (1 + mean) ** 2) * chance
+        weak, slack = self._slack(exact, deletions)
+        mean = self.low / (exact + slack + deletions)
+        empty = math.exp(-2 * mean)
+        # With slack, empty segments are signed by the few sets with very many of them only.
+        chance = exact * empty * (0.001 if weak else 1) + deletions * (1 + mean) ** 2 * empty
+        return sets * (exact + slack + deletions * (1 + mean)) + sets * sets / 2 * chance
 
     def sign(self, members: np.ndarray) -> np.ndarray:
         spread = mix(members ^ np.uint64(self.low))

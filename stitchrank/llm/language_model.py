@@ -14,15 +14,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchrank.llm.common import WordHashes, mix, partitions, remainder, table, word_hashes, written
+from stitchrank.llm.common import BASE, WordHashes, mix, partitions, remainder, rolling, table, word_hashes, written
 
 # Words with at least this share of the training tokens are states and arcs of the automaton; by
 # definition there are at most 1 / WORD_SHARE of them. The same for n-grams. All others are counted and scored
-# exactly too, but by a shuffle.
+# exactly too, but by a shuffle: the shares decide what is broadcast, not what is scored.
 WORD_SHARE = 1e-6
 GRAM_SHARE = 1e-6
 ORDER = 2
 BLOCK_TOKENS = 4_000_000
+BLOCK_MISSES = 1_000_000
+START = xxhash.xxh64_intdigest(b"\n\n")  # the context of a first word
 END = xxhash.xxh64_intdigest(b"\n")  # no word is a line break
 
 
@@ -46,28 +48,49 @@ def _unique(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
     return codes[starts], np.add.reduceat(weights[order], starts)
 
 
-_COUNTS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
-_TOTALS = pa.schema([("total", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` symbols up to each of the ``hashes``, from the first place that has so many; a text starts with START."""
+    return mix(rolling(np.concatenate(([np.uint64(START)], hashes)), n) + np.uint64(n * BASE & (1 << 64) - 1))
 
 
-def counted(docs: DataFrame, make, share: float) -> dict:
+_COUNTS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_TOTALS = pa.schema([
+    ("total", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()),
+    ("codes", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("states", pa.binary()), ("types", pa.binary()),
+])
+_TOTALS_SQL = "total long, distinct long, once long, twice long, codes binary, counts binary, places binary, states binary, types binary"
+
+
+def _spread_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for states, types in zip(batch.column("states").to_pylist(), batch.column("types").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(states, "<i8")), pa.array(np.frombuffer(types, "<i8"))], names=["state", "types"])
+
+
+def counted(docs: DataFrame, make, share: float, width: int = 0) -> dict:
     """Totals of the codes that ``make(text)`` gives over all rows, and (codes, counts) of those with ``share`` of all.
 
     Blocks of rows count before the shuffle, so a code in every row is sent once per block. A part
     passes on the codes with ``share`` of its own total, at most 1 / share of them, which contain
-    all that have ``share`` of the whole.
+    all that have ``share`` of the whole. With ``width``, ``make`` gives (codes, places), a place being
+    state * width + word + 1, and ``types`` has the number of different codes of each state but 0.
     """
     n = partitions(docs.sparkSession)
 
     def flush(held: list) -> pa.RecordBatch:
-        codes, counts = _unique(np.concatenate(held))
+        if width:
+            codes, first, counts = np.unique(np.concatenate([c for c, _ in held]), return_index=True, return_counts=True)
+            places = np.concatenate([p for _, p in held])[first]
+        else:
+            codes, counts = _unique(np.concatenate(held))
         part = _part(mix(codes), n)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(n + 1))
         rows = []
         for p in np.flatnonzero(np.diff(edges)):
             at = order[edges[p] : edges[p + 1]]
-            rows.append({"part": int(p), "codes": codes[at].tobytes(), "counts": counts[at].astype("<u4").tobytes()})
+            row = {"part": int(p), "codes": codes[at].tobytes(), "counts": counts[at].astype("<u4").tobytes()}
+            rows.append(row | ({"places": places[at].tobytes()} if width else {}))
         return pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +99,7 @@ def counted(docs: DataFrame, make, share: float) -> dict:
             for text in batch.column("text").to_pylist():
                 codes = make(text)
                 held.append(codes)
-                size += len(codes)
+                size += len(codes[0] if width else codes)
                 if size >= BLOCK_TOKENS:
                     yield flush(held)
                     held, size = [], 0
@@ -84,29 +107,62 @@ def counted(docs: DataFrame, make, share: float) -> dict:
             yield flush(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = [], []
+        codes, counts, places = [], [], []
         for batch in batches:
             codes += [np.frombuffer(x, "<u8") for x in batch.column("codes").to_pylist()]
             counts += [np.frombuffer(x, "<u4") for x in batch.column("counts").to_pylist()]
+            places += [np.frombuffer(x or b"", "<i8") for x in batch.column("places").to_pylist()]
         if codes:
-            codes, counts = _unique(np.concatenate(codes), np.concatenate(counts).astype(np.int64))
+            codes, counts, places = np.concatenate(codes), np.concatenate(counts), np.concatenate(places)
+            order = np.argsort(codes)
+            codes = codes[order]
+            starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.empty(0, np.int64)
+            codes, counts = codes[starts], np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
             total = int(counts.sum())
             some = counts >= max(1.0, share * total)
             row = {"total": total, "distinct": len(codes), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum())}
+            if width:
+                places = places[order[starts]]
+                states, types = np.unique(places[places >= width] // width, return_counts=True)
+                row |= {"places": places[some].tobytes(), "states": states.tobytes(), "types": types.astype("<i8").tobytes()}
             yield pa.RecordBatch.from_pylist([row | {"codes": codes[some].tobytes(), "counts": counts[some].tobytes()}], schema=_TOTALS)
 
-    sent = docs.select("text").mapInArrow(send, "part int, codes binary, counts binary").repartitionById(n, F.col("part"))
-    parts = written(sent.mapInArrow(meet, "total long, distinct long, once long, twice long, codes binary, counts binary"))
+    sent = docs.select("text").mapInArrow(send, "part int, codes binary, counts binary, places binary").repartitionById(n, F.col("part"))
+    parts = written(sent.mapInArrow(meet, _TOTALS_SQL))
     out = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "once", "twice")]).first().asDict()
-    codes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for row in parts.select("codes", "counts").toLocalIterator():
+    codes, counts, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for row in parts.select("codes", "counts", "places").toLocalIterator():
         some = np.frombuffer(row["counts"], "<i8")
         heavy = some >= max(1.0, share * out["total"])
         codes.append(np.frombuffer(row["codes"], "<u8")[heavy])
         counts.append(some[heavy])
+        if width:
+            places.append(np.frombuffer(row["places"], "<i8")[heavy])
     codes, counts = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(codes)
-    return out | {"codes": codes[order], "counts": counts[order]}
+    out |= {"codes": codes[order], "counts": counts[order]}
+    if width:
+        types = parts.select("states", "types").mapInArrow(_spread_types, "state long, types long").groupBy("state").agg(F.sum("types").alias("types")).toArrow()
+        out |= {"places": np.concatenate(places)[order], "types": (types.column("state").to_numpy(), types.column("types").to_numpy())}
+    return out
+
+
+MANY = 64  # the word has other lines too
+LINE = np.dtype([("key", "<u8"), ("sub", "<u8"), ("lower", "<f8"), ("state", "<i4"), ("at", "<u4"), ("n", "u1")])
+PRICE = np.dtype([("at", "<u4"), ("n", "u1"), ("a", "<f8"), ("b", "<f8")])
+
+
+def _packed(lines: np.ndarray) -> bytes:
+    """Field by field, which compresses well."""
+    return b"".join(lines[f].tobytes() for f in lines.dtype.names)
+
+
+def _unpacked(packed: bytes, kind: np.dtype) -> np.ndarray:
+    lines, start = np.empty(len(packed) // kind.itemsize, kind), 0
+    for f in kind.names:
+        lines[f] = np.frombuffer(packed, kind[f], len(lines), start)
+        start += len(lines) * kind[f].itemsize
+    return lines
 
 
 @dataclass
@@ -116,7 +172,7 @@ class Automaton:
     An arc reads a word at its discounted, interpolated probability and leads to the longest context
     that is a state. Where a state has no arc for a word, its failure arc leads to the next shorter context at the
     backoff weight. From the empty context every frequent word has an arc; a rare word fails down to it
-    and is priced by its own count.
+    and is priced by its own count. Weights and discounts are those of all n-grams, so what has no arc can be priced elsewhere.
     """
 
     total: int
@@ -128,6 +184,12 @@ class Automaton:
     fail: list[int]
     weight: list[float]  # log10 weight of the failure arc
     to_root: list[float]  # sum of the weights down to the empty context
+    order: int
+    depth: list[int]  # words of the context that a state is
+    held: np.ndarray  # how often each state is a context
+    less: list[float]  # discount of the n-grams of n words, by n
+    codes_of: list[np.ndarray]  # sorted codes of the kept n-grams, by length
+    first_of: list[int]  # the first state of them
 
     @property
     def width(self) -> int:
@@ -150,23 +212,105 @@ class Automaton:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + self.distinct + 1))
 
-    def traverse(self, found: list[int]) -> float:
-        """log10 probability of a text without the rare words' own: one walk from left to right."""
-        arcs, fail, weight, to_root, width = self.arcs, self.fail, self.weight, self.to_root, self.width
-        state, score = self.start, 0.0
-        for word in found:
+    def traverse(self, found: list[int]) -> tuple[float, list[tuple[int, int, float]]]:
+        """log10 probability of the words priced by arcs of the longest contexts, and the others: one walk from left to right.
+
+        Of these (place, n, log10 probability): the longest n-gram of theirs that has an arc, 0 for a rare word.
+        """
+        arcs, fail, depth, width, most = self.arcs, self.fail, self.depth, self.width, self.order - 1
+        state, score, misses = self.start, 0.0, []
+        for i, word in enumerate(found):
             if word < 0:
-                score += to_root[state]
+                misses.append((i, 0, 0.0))
                 state = 0
                 continue
             step = arcs.get(state * width + word)
             while step is None:
-                score += weight[state]
                 state = fail[state]
                 step = arcs.get(state * width + word)
+            have = depth[state]
+            if have == most or have > i:
+                score += step[1]
+            else:
+                misses.append((i, have + 1, step[1]))
             state = step[0]
-            score += step[1]
-        return score
+        return score, misses
+
+    def contexts(self, found: np.ndarray, n: int) -> np.ndarray:
+        """State of the n words before each place, 0 if they are none."""
+        states = np.concatenate(([self.start], found[:-1] + 1))
+        for k in range(n - 1):
+            codes = self.codes_of[k]
+            if not len(codes):
+                return np.zeros(len(found), np.int64)
+            want = states[:-1] * self.width + found[:-1]
+            at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+            states = np.concatenate(([0], np.where((codes[at] == want) & (states[:-1] > 0) & (found[:-1] >= 0), at + self.first_of[k], 0)))
+        return states
+
+    def missing(self, hashes: np.ndarray, found: np.ndarray, misses: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`traverse` has not priced: pairs of frequent words that miss nothing else, and one line for each length of n-gram.
+
+        A line goes to the task of its key: the n-gram itself if its context is a state, which is then less frequent
+        than arcs are; else the context, which is less frequent than states are, so that this task knows all that follows it.
+        """
+        at, known, low = (np.array(x) for x in zip(*misses, strict=True))
+        low = np.where(known > 0, 10.0**low, 0.0)
+        top = np.minimum(self.order, at + 2)
+        states = np.concatenate(([self.start], found[:-1] + 1))[at]
+        bare = (known == 1) & (top == 2) & (states > 0)
+        pairs = states[bare] * self.width + found[at[bare]]
+        at, known, low, top = at[~bare], known[~bare], low[~bare], top[~bare]
+        lines = [np.empty(0, LINE)]
+        for n in range(1, self.order + 1):
+            use = (known < n) & (n <= top)
+            i = at[use]
+            out = np.zeros(len(i), LINE)
+            if n == 1:
+                out["key"], out["state"] = grams(hashes, 1)[i + 1], -2
+            elif len(i):
+                states = self.contexts(found, n - 1)[i]
+                own = states > 0
+                out["key"] = np.where(own, grams(hashes, n)[i + 2 - n], ~grams(hashes, n - 1)[i + 2 - n])
+                out["sub"], out["state"] = np.where(own, np.uint64(0), hashes[i]), np.where(own, states, -1)
+            several = top[use] - known[use] > 1
+            out["lower"] = np.where(known[use] == n - 1, low[use], 0.0)
+            out["n"] = n + MANY * several
+            out["at"] = np.where(several, i, 0)
+            lines.append(out)
+        return pairs, np.concatenate(lines)
+
+    def pairs_priced(self, pairs: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """log10 probability of pairs of frequent words, which are all those of their kind, in order."""
+        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        state, word = pairs[starts] // self.width, pairs[starts] % self.width
+        seen = np.maximum(np.add.reduceat(train, starts) - self.less[1], 0) / self.held[state]
+        price = np.log10(seen + 10.0 ** (np.array(self.weight)[state] + self.rare(self.counts[word])))
+        return np.repeat(price, np.diff(np.append(starts, len(pairs))))
+
+    def priced(self, lines: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the word of lines for single words, a, b): the probability is a + b * that of the next shorter n-gram.
+
+        ``lines`` are all those of their keys, in order of (key, sub).
+        """
+        key, sub, state, n = lines["key"], lines["sub"], lines["state"], lines["n"] & (MANY - 1)
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new = new_key | np.concatenate(([True], sub[1:] != sub[:-1]))
+        starts, starts_key = np.flatnonzero(new), np.flatnonzero(new_key)
+        seen = np.add.reduceat(train, starts)
+        of_key = np.cumsum(new_key) - 1
+        follow = np.bincount(of_key[starts], weights=seen > 0, minlength=len(starts_key))[of_key]
+        seen = seen[np.cumsum(new) - 1]
+        count = np.add.reduceat(train, starts_key)[of_key]
+        less = np.array([0.0, *self.less])[n]
+        own = state >= 0
+        held = np.where(own, self.held[np.maximum(state, 0)], count)
+        a = np.maximum(seen - less, 0) / np.maximum(held, 1)
+        rest = np.where(held > 0, less * follow / np.maximum(held, 1), 1.0)
+        b = np.where(own, 10.0 ** np.array(self.weight)[np.maximum(state, 0)], rest)
+        single = state == -2
+        a[single], b[single] = 10.0 ** self.rare(count[single]), 0.0
+        return count, a + b * lines["lower"], np.where(lines["lower"] > 0, 0.0, b)
 
     @property
     def start(self) -> int:
@@ -179,47 +323,37 @@ def build(train: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE,
     one = counted(train, lambda text: tokens(text, known), word_share)
     discount = one["once"] / (one["once"] + 2 * one["twice"]) if one["once"] and one["twice"] else 0.5
     size = len(one["codes"])
-    model = Automaton(one["total"], one["distinct"], discount, one["codes"], one["counts"], {}, [0] * (size + 2), [0.0] * (size + 2), [0.0] * (size + 2))
+    model = Automaton(
+        one["total"], one["distinct"], discount, one["codes"], one["counts"], {}, [0] * (size + 2), [0.0] * (size + 2), [0.0] * (size + 2),
+        order, [0] + [1] * (size + 1), np.empty(0), [discount], [], [],
+    )
     price = model.rare(one["counts"]) if size else np.empty(0)
-    prob = 10.0**price
     model.arcs.update({i: (i + 1, float(p)) for i, p in enumerate(price)})
     ends = int(model.find(np.array([END], np.uint64))[0])
     held = np.append(np.append([0], one["counts"]), one["counts"][ends] if ends >= 0 else 0)  # how often each state is a context
-    lower = {0: prob}
-    codes_of: list[np.ndarray] = []  # sorted codes of the kept n-grams, by length
-    first_of: list[int] = []
-
-    def contexts(found: np.ndarray, n: int) -> np.ndarray:
-        """State of the n words before each place, 0 if they are none."""
-        states = np.concatenate(([model.start], np.where(found[:-1] == ends, 0, found[:-1] + 1)))
-        for k in range(n - 1):
-            codes = codes_of[k]
-            if not len(codes):
-                return np.zeros(len(found), np.int64)
-            want = states[:-1] * model.width + found[:-1]
-            at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-            states = np.concatenate(([0], np.where((codes[at] == want) & (states[:-1] > 0) & (found[:-1] >= 0), at + first_of[k], 0)))
-        return states
+    if ends < 0:  # a rare end; one in each row
+        held[-1] = train.count()
 
     for n in range(2, order + 1):
         def make(text, n=n):
-            found = model.find(tokens(text, known))
-            states = contexts(found, n - 1)
-            use = (states > 0) & (found >= 0)
-            return (states[use] * model.width + found[use]).astype(np.uint64)
-
-        grams = counted(train, make, gram_share)
-        kept = grams["counts"] >= max(2, gram_share * one["total"])
-        codes, counts = grams["codes"][kept].astype(np.int64), grams["counts"][kept]
-        twos = grams["once"] + 2 * grams["twice"]
-        less = grams["once"] / twos if grams["once"] and grams["twice"] else 0.5
+            hashes = tokens(text, known)
+            found = model.find(hashes)
+            return grams(hashes, n), (model.contexts(found, n - 1) * model.width + found + 1)[n - 2 :]
+
+        some = counted(train, make, gram_share, model.width)
+        places = some["places"]
+        kept = (some["counts"] >= max(1, gram_share * one["total"])) & (places >= model.width) & (places % model.width > 0)
+        codes, counts = places[kept] - 1, some["counts"][kept]
+        by_place = np.argsort(codes)
+        codes, counts = codes[by_place], counts[by_place]
+        less = some["once"] / (some["once"] + 2 * some["twice"]) if some["once"] and some["twice"] else 0.5
         states, words = codes // model.width, codes % model.width
         seen = (counts - less) / held[states]
         rest = np.ones(len(held))
-        np.subtract.at(rest, states, seen)
-        rest = np.clip(rest, 1e-12, 1.0)
+        follow = some["types"]
+        rest[follow[0]] = np.clip(less * follow[1] / held[follow[0]], 1e-12, 1.0)
         first = len(held)
-        for state in np.unique(states).tolist():
+        for state in follow[0].tolist():
             model.weight[state] = math.log10(rest[state])
         for i, (code, state, word, p) in enumerate(zip(codes.tolist(), states.tolist(), words.tolist(), seen.tolist(), strict=True)):
             target, shorter = _step(model, model.fail[state], word)
@@ -227,10 +361,13 @@ def build(train: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE,
             if n < order:
                 model.fail.append(target)
                 model.weight.append(0.0)
-        codes_of.append(codes)
-        first_of.append(first)
+                model.depth.append(n)
+        model.less.append(less)
+        model.codes_of.append(codes)
+        model.first_of.append(first)
         if n < order:
             held = np.append(held, counts)
+    model.held = held
     model.to_root = _to_root(model)
     return model
 
@@ -251,33 +388,47 @@ def _to_root(model: Automaton) -> list[float]:
     return out
 
 
-_FACTS_SQL = "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rows binary, sizes binary, codes binary"
+_FACTS_SQL = "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rows binary, sizes binary, codes binary, pairs binary"
 _FACTS = pa.schema([
     ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("base", pa.float64()), ("score", pa.float64()), ("rows", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()),
+    ("base", pa.float64()), ("score", pa.float64()), ("rows", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("pairs", pa.binary()),
 ])
 _DONE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of facts with what the parts of the rare words add to them; a partition holds all of a row."""
-    facts, parts = [], []
+    facts, parts, singles = [], [], []
     for batch in batches:
         own = pc.is_null(batch.column("rows"))
         facts.append(batch.filter(own))
         for row in batch.filter(pc.invert(own)).to_pylist():
-            known, base, price = np.frombuffer(row["codes"], "<f8").reshape(3, -1)
-            parts.append((np.frombuffer(row["rows"], "<i8"), known, base, price))
+            rows = np.frombuffer(row["rows"], "<i8")
+            if row["sizes"] is None:
+                known, base, price = np.frombuffer(row["codes"], "<f8").reshape(3, -1)
+                parts.append((rows, known, base, price))
+            else:
+                singles.append((np.repeat(rows, np.frombuffer(row["sizes"], "<u4")), _unpacked(row["codes"], PRICE)))
     if not facts:
         return
     table_ = pa.Table.from_batches(facts).combine_chunks()
-    row = table_.column("row").to_numpy()
-    order = np.argsort(row)
-    sums = [np.zeros(len(row)) for _ in range(3)]
+    row_numbers = table_.column("row").to_numpy()
+    order = np.argsort(row_numbers)
+    sums = [np.zeros(len(row_numbers)) for _ in range(3)]
     for rows, *values in parts:
-        at = order[np.searchsorted(row[order], rows)]  # rows are distinct within a part
+        at = order[np.searchsorted(row_numbers[order], rows)]  # rows are distinct within a part
         for total, value in zip(sums, values, strict=True):
             total[at] += value
+    if singles:
+        rows, lines = (np.concatenate(x) for x in zip(*singles, strict=True))
+        by_word = np.lexsort((lines["n"], lines["at"], rows))
+        rows, lines = rows[by_word], lines[by_word]
+        new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (lines["at"][1:] != lines["at"][:-1])))
+        word, price = np.cumsum(new) - 1, np.zeros(int(new.sum()))
+        for n in np.unique(lines["n"]):
+            use = lines["n"] == n
+            price[word[use]] = lines["a"][use] + lines["b"][use] * price[word[use]]
+        np.add.at(sums[2], order[np.searchsorted(row_numbers[order], rows[new])], np.log10(price))
     columns = [table_.column(c) for c in ("doc_id", "held_out", "n_tokens")]
     columns.append(pa.array(table_.column("n_known").to_numpy() + sums[0].astype(np.int64)))
     columns += [pa.array(table_.column(c).to_numpy() + x) for c, x in (("base", sums[1]), ("score", sums[2]))]
@@ -288,9 +439,10 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> Data
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Rows whose crc32(doc_id as text) mod ``modulus`` is ``held`` are held out; the model counts all others, a
-    null id among them. Null and empty texts have one token, their end. Words without a place in the
+    null id among them. Null and empty texts have one token, their end. Words and n-grams without a place in the
     automaton are sent to the task of their hash, which counts them over all training rows and prices each
-    occurrence by that count; a word never seen in training takes the mass that the discount frees.
+    occurrence by that count; a word never seen in training takes the mass that the discount frees. The shares of the
+    automaton change what is sent, not the scores.
     Equal rows score alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -299,79 +451,113 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, **settings) -> Data
     model = build(rows.where("not held_out"), **settings)
     shared = spark.sparkContext.broadcast(model)  # at most 1 / WORD_SHARE words and as many n-grams
 
-    def flush(held_rows: list, codes: list) -> Iterator[dict]:
-        row = np.repeat(np.array([r for r, _ in held_rows], np.int64), [len(c) for c in codes])
-        train = np.repeat(np.array([t for _, t in held_rows], bool), [len(c) for c in codes])
-        code = np.concatenate(codes)
+    def flush(held_rows: list, lines: list, field: str) -> Iterator[dict]:
         # The lowest bit of a sent row tells whether it trains.
-        row = row * 2 + train
-        part = _part(mix(code), n)
-        order = np.lexsort((row, part))
+        row = np.repeat(np.array(held_rows, np.int64), [len(x) for x in lines])
+        line = np.concatenate(lines)
+        if not len(line):
+            return
+        key = line["key"] if field == "codes" else line.astype(np.uint64)
+        part = _part(mix(key), n)
+        order = np.argsort(part.astype(np.int32), kind="stable")  # rows ascend within a part
         edges = np.searchsorted(part[order], np.arange(n + 1))
+        row, line = row[order], line[order]
         for p in np.flatnonzero(np.diff(edges)):
-            at = order[edges[p] : edges[p + 1]]
-            own, sizes = np.unique(row[at], return_counts=True)
-            yield {"part": int(p), "rows": own.tobytes(), "sizes": sizes.astype("<u4").tobytes(), "codes": code[at].tobytes()}
+            own, sizes = np.unique(row[edges[p] : edges[p + 1]], return_counts=True)
+            some = line[edges[p] : edges[p + 1]]
+            yield {"part": int(p), "rows": own.tobytes(), "sizes": sizes.astype("<u4").tobytes(), field: _packed(some) if field == "codes" else some.tobytes()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = shared.value, WordHashes()
         base, row = automaton.base(automaton.counts), TaskContext.get().partitionId() << 36
-        rares, codes, size = [], [], 0
+        rares, pairs, lines, size = [], [], [], 0
         for batch in batches:
             out = []
             for doc_id, is_held, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 hashes = tokens(text, known)
                 found = automaton.find(hashes)
                 heavy = found[found >= 0]
+                score, misses = automaton.traverse(found.tolist())
                 out.append({
                     "part": row % n, "row": row, "doc_id": doc_id, "held_out": is_held, "n_tokens": len(hashes), "n_known": len(heavy),
-                    "base": float(base[heavy].sum()), "score": automaton.traverse(found.tolist()),
+                    "base": float(base[heavy].sum()), "score": score,
                 })
-                if len(heavy) < len(hashes):
-                    codes.append(hashes[found < 0])
-                    rares.append((row, not is_held))
-                    size += len(codes[-1])
+                if misses:
+                    for held_, missed in zip((pairs, lines), automaton.missing(hashes, found, misses), strict=True):
+                        held_.append(missed)
+                        size += len(missed)
+                    rares.append(row * 2 + (not is_held))
                 row += 1
-            if size >= BLOCK_TOKENS:
-                out += flush(rares, codes)
-                rares, codes, size = [], [], 0
+                if size >= BLOCK_MISSES:
+                    out += [*flush(rares, pairs, "pairs"), *flush(rares, lines, "codes")]
+                    rares, pairs, lines, size = [], [], [], 0
             yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
         if size:
-            yield pa.RecordBatch.from_pylist(list(flush(rares, codes)), schema=_FACTS)
+            yield pa.RecordBatch.from_pylist([*flush(rares, pairs, "pairs"), *flush(rares, lines, "codes")], schema=_FACTS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        rows, codes = [], []
+        rows, lines, pair_rows, pairs = [], [], [], []
         for batch in batches:
             rest = []
-            for own, sizes, code in zip(*[batch.column(c).to_pylist() for c in ("rows", "sizes", "codes")], strict=True):
+            for own, sizes, code, pair in zip(*[batch.column(c).to_pylist() for c in ("rows", "sizes", "codes", "pairs")], strict=True):
                 rest.append(own is None)
-                if own is not None:
+                if pair is not None:
+                    pair_rows.append(np.repeat(np.frombuffer(own, "<i8"), np.frombuffer(sizes, "<u4")))
+                    pairs.append(np.frombuffer(pair, "<i8"))
+                elif own is not None:
                     rows.append(np.repeat(np.frombuffer(own, "<i8"), np.frombuffer(sizes, "<u4")))
-                    codes.append(np.frombuffer(code, "<u8"))
+                    lines.append(_unpacked(code, LINE))
             yield batch.filter(pa.array(rest, pa.bool_()))
+        if pairs:
+            row, pair = np.concatenate(pair_rows), np.concatenate(pairs)
+            del pair_rows, pairs
+            order = np.argsort(pair)
+            row = row[order]
+            price = automaton.pairs_priced(pair[order], row & 1)
+            row >>= 1
+            order = np.argsort(row)
+            row, price = row[order], price[order]
+            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            row, price = row[starts], np.add.reduceat(price, starts)
+            order = np.argsort(row % n, kind="stable")
+            row, price = row[order], price[order]
+            edges, none = np.searchsorted(row % n, np.arange(n + 1)), np.zeros(len(row))
+            sums = np.stack((none, none, price))
+            yield pa.RecordBatch.from_pylist(
+                [{"part": int(p), "rows": row[edges[p] : edges[p + 1]].tobytes(), "codes": sums[:, edges[p] : edges[p + 1]].tobytes()} for p in np.flatnonzero(np.diff(edges))],
+                schema=_FACTS,
+            )
         if rows:
-            row, code = np.concatenate(rows), np.concatenate(codes)
-            order = np.argsort(code)
-            row, code = row[order], code[order]
-            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-            count = np.repeat(np.add.reduceat(row & 1, starts), np.diff(np.append(starts, len(code))))
-            base, price = automaton.base(count), automaton.rare(count)
+            row, line = np.concatenate(rows), np.concatenate(lines)
+            del rows, lines
+            order = np.lexsort((line["sub"], line["key"]))
+            row, line = row[order], line[order]
+            count, a, b = automaton.priced(line, row & 1)
             row >>= 1
             part = row % n
+            single, several = line["state"] == -2, line["n"] >= MANY
+            values = [single & (count > 0), np.where(single, automaton.base(count), 0.0), np.log10(np.where(several, 1.0, a))]
             order = np.lexsort((row, part))
             row, part = row[order], part[order]
             starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            sums = np.stack([np.add.reduceat(v[order].astype(np.float64), starts) for v in (count > 0, base, price)])
+            sums = np.stack([np.add.reduceat(v[order].astype(np.float64), starts) for v in values])
+            some = several[order]
+            price = np.zeros(int(some.sum()), PRICE)
+            for f, v in (("at", line["at"]), ("n", line["n"] & (MANY - 1)), ("a", a), ("b", b)):
+                price[f] = v[order][some]
+            some_row, some_part = row[some], part[some]
             row, part = row[starts], part[starts]
-            edges = np.searchsorted(part, np.arange(n + 1))
-            yield pa.RecordBatch.from_pylist(
-                [{"part": int(p), "rows": row[edges[p] : edges[p + 1]].tobytes(), "codes": sums[:, edges[p] : edges[p + 1]].tobytes()} for p in np.flatnonzero(np.diff(edges))],
-                schema=_FACTS,
-            )
+            edges, some_edges = np.searchsorted(part, np.arange(n + 1)), np.searchsorted(some_part, np.arange(n + 1))
+            out = [{"part": int(p), "rows": row[edges[p] : edges[p + 1]].tobytes(), "codes": sums[:, edges[p] : edges[p + 1]].tobytes()} for p in np.flatnonzero(np.diff(edges))]
+            for p in np.flatnonzero(np.diff(some_edges)):
+                at = slice(some_edges[p], some_edges[p + 1])
+                own, sizes = np.unique(some_row[at], return_counts=True)
+                out.append({"part": int(p), "rows": own.tobytes(), "sizes": sizes.astype("<u4").tobytes(), "codes": _packed(price[at])})
+            yield pa.RecordBatch.from_pylist(out, schema=_FACTS)
 
     priced = rows.mapInArrow(send, _FACTS_SQL).repartitionById(n, F.col("part")).mapInArrow(meet, _FACTS_SQL)
-    # What each part knows of a row meets its own facts.
+    # What each part knows of a row and of its words meets its own facts.
     done = priced.repartitionById(n, F.col("part")).mapInArrow(_add_up, _DONE_SQL)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -240,6 +240,45 @@ def test_language_model(docs, settings):
     assert all(r.score <= 0 for r in found)
 
 
+@pytest.mark.parametrize("settings", [{}, {"order": 3}, {"word_share": 0.002, "gram_share": 0.001}, {"order": 3, "word_share": 0.002, "gram_share": 0.001}, {"word_share": 0.9, "gram_share": 0.9}])
+def test_language_model_prices_all_ngrams(docs, settings):
+    order = settings.get("order", 2)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    grams = [Counter() for _ in range(order + 1)]
+    for i, t, _ in BASE_ROWS:
+        if not out(i):
+            w = [b"^", *tokens(t)]
+            for n in range(1, order + 1):
+                grams[n].update(tuple(w[j : j + n]) for j in range(n == 1, len(w) - n + 1))
+    once, twice = ([sum(c == k for c in g.values()) for g in grams] for k in (1, 2))
+    less = [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(once, twice, strict=True)]
+    held, types = Counter(), Counter()
+    for g in grams[2:]:
+        for gram, c in g.items():
+            held[gram[:-1]] += c
+            types[gram[:-1]] += 1
+    total = sum(grams[1].values())
+
+    def prob(gram):
+        n = len(gram)
+        if n == 1:
+            return (grams[1][gram] - less[1]) / total if grams[1][gram] else less[1] * len(grams[1]) / total
+        shorter = prob(gram[1:])
+        if not held[gram[:-1]]:
+            return shorter
+        return (max(grams[n][gram] - less[n], 0) + less[n] * types[gram[:-1]] * shorter) / held[gram[:-1]]
+
+    want = []
+    for i, t, _ in BASE_ROWS:
+        w = [b"^", *tokens(t)]
+        want.append((i, sum(math.log10(prob(tuple(w[max(0, j + 1 - order) : j + 1]))) for j in range(1, len(w)))))
+    got = [(r.doc_id, r.score) for r in language_model.scored(docs, **settings).collect()]
+    by = lambda x: (key(x[0]), x[1])
+    for (i, p), (j, q) in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
+        assert i == j
+        assert p == pytest.approx(q, rel=1e-7)
+
+
 def test_automaton_is_a_distribution(docs):
     model = language_model.build(docs.where("text is not null"), order=3)
     words = range(len(model.words))

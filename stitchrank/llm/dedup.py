@@ -103,8 +103,8 @@ GROUP = "digest binary, n_chars long, keep_id long, group_size long, added long"
 _GROUP = pa.schema([("digest", pa.binary()), ("n_chars", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("added", pa.int64())])
 
 
-def _absorb(rows: Iterator[tuple], index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-    """Fold (digest, n_chars, doc_id, change) into the index, passing its groups on when it is full.
+def _absorb(rows: Iterator[tuple], index: CuckooIndex, most: int) -> Iterator[pa.RecordBatch]:
+    """Fold (digest, n_chars, doc_id, change) into the index, passing its groups on when a further digest meets ``most`` of them.
 
     ``change`` above 0 inserts that many rows, below 0 deletes; a digest with no rows left is deleted.
     The row that stays has the most characters, then the smallest id.
@@ -112,9 +112,9 @@ def _absorb(rows: Iterator[tuple], index: CuckooIndex) -> Iterator[pa.RecordBatc
     for digest, n_chars, doc_id, size, added in rows:
         held = index.get(digest)
         if held is None:
-            index.insert(digest, [n_chars, doc_id, size, added])
-            if len(index.content) >= MOST_LIVE:
+            if len(index.content) >= most:
                 yield _groups(index)
+            index.insert(digest, [n_chars, doc_id, size, added])
         else:
             held[2] += size
             held[3] += added
@@ -152,22 +152,26 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_digests, "doc_id long, digest binary, n_chars long")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
-    for batch in batches:
-        yield from _absorb(zip(*[c.to_pylist() for c in batch.columns], strict=True), index)
-    yield _groups(index)
+def _fold(most: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            yield from _absorb(zip(*[c.to_pylist() for c in batch.columns], strict=True), index, most)
+        yield _groups(index)
+
+    return fold
 
 
 def groups(changes: DataFrame) -> DataFrame:
     """One row per live digest from (digest, n_chars, keep_id, group_size, added).
 
     Every partition first folds its own rows, so that of a digest held by a third of all rows each
-    task passes on one row; then digests meet by hash and the folds are folded.
+    task passes on one row; then digests meet by hash and the folds are folded, in order, so that a full index passes
+    on digests that are complete.
     """
     spark = changes.sparkSession
-    local = changes.select("digest", "n_chars", "keep_id", "group_size", "added").mapInArrow(_fold, GROUP)
-    return local.repartition(partitions(spark), "digest").mapInArrow(_fold, GROUP)
+    local = changes.select("digest", "n_chars", "keep_id", "group_size", "added").mapInArrow(_fold(MOST_LIVE), GROUP)
+    return local.repartition(partitions(spark), "digest").sortWithinPartitions("digest").mapInArrow(_fold(MOST_LIVE), GROUP)
 
 
 def insert(index: DataFrame, rows: DataFrame) -> DataFrame:

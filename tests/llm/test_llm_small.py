@@ -188,6 +188,30 @@ def test_digest_index_insert_and_delete(docs, rows):
     assert less.count() == whole.count() - 1
 
 
+def test_exact_groups_beyond_a_full_index(docs, rows, monkeypatch):
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    want = collected(dedup.exact_groups(docs), *columns)
+    all_rows = dedup.digests(docs).cache()
+    whole = rows(dedup.groups(dedup._changes(all_rows, 1)), "digest", "keep_id", "group_size")
+    monkeypatch.setattr(dedup, "MOST_LIVE", 2)
+    assert collected(dedup.exact_groups(docs), *columns) == want
+    index = dedup.insert(dedup.groups(dedup._changes(all_rows.where("doc_id < 40"), 1)), all_rows.where("doc_id >= 40 or doc_id is null"))
+    assert rows(index, "digest", "keep_id", "group_size") == whole
+    assert dedup.delete(index, all_rows.where("doc_id in (3, 7)")).count() == len(whole) - 1
+
+
+def test_more_digests_than_an_index_holds(spark):
+    n = dedup.MOST_LIVE + 5000
+    changes = spark.range(0, 2 * n, 1, 2).selectExpr(f"sha2(cast(id % {n} as string), 256) as digest", "1L as n_chars", "id as keep_id", "1L as group_size", "1L as added")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = dedup.groups(changes.selectExpr("cast(digest as binary) as digest", "n_chars", "keep_id", "group_size", "added"))
+        assert found.selectExpr("count(*)", "min(group_size)", "max(keep_id)").first() == (n, 2, n - 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # 4
 
 

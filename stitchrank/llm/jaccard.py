@@ -261,6 +261,14 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(vertices.select("v", F.coalesce("to", "comp").alias("comp")))
 
 
+def one_of_alike(shared: DataFrame) -> DataFrame:
+    """(sig, smallest member) of one of the signatures with the same members, which propose the same pairs; none of a single member."""
+    code = F.xxhash64("tid", F.lit(7))
+    # A sum of 32-bit values cannot leave the range of 64 bits before 2^32 members.
+    held = shared.groupBy("sig").agg(F.min("tid").alias("a"), F.count("*").alias("held"), F.sum(F.shiftright(code, 32)).alias("h1"), F.bit_xor(code).alias("h2"))
+    return held.where("held > 1").groupBy("a", "held", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "a")
+
+
 def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``, linked at ``threshold`` percent or more.
 
@@ -308,10 +316,7 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
         b = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, threshold), "a long, b long")
 
-    # Signatures with the same members propose the same pairs; one of them is enough.
-    code = F.xxhash64("tid", F.lit(7))
-    held = shared.groupBy("sig").agg(F.min("tid").alias("a"), F.count("*").alias("held"), F.sum(F.shiftright(code, 8)).alias("h1"), F.bit_xor(code).alias("h2"))
-    one = held.where("held > 1").groupBy("a", "held", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "a")
+    one = one_of_alike(shared)
     # The smallest member is compared with all others of a signature at once, so later it is none of them.
     shared = written(shared.join(one, "sig").where("tid <> a"))
     stars = shared.select("a", F.col("tid").alias("b")).distinct()

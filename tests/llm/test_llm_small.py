@@ -366,6 +366,13 @@ def test_schemes_share_a_signature():
                         assert len(np.intersect1d(schemes.signatures(a), schemes.signatures(b)))
 
 
+def test_hot_signatures_do_not_overflow(spark):
+    # Hashes of one sign add up as those of very many members do.
+    members = spark.range(8000).where("xxhash64(id, 7) > (1L << 61)")
+    shared = members.selectExpr("explode(array(1L, 2L)) as sig", "id as tid").union(members.limit(1).selectExpr("3L as sig", "id as tid"))
+    assert collected(jaccard.one_of_alike(shared), "sig", "a") == [(1, members.agg({"id": "min"}).first()[0])]
+
+
 def test_one_of_each(docs, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stitchrank.llm import binary, bwt, decontaminate, dedup, jaccard, language_model, merkle, mixing, quality, sharding, substrings
+from stitchrank.llm import binary, bwt, conversations, decontaminate, dedup, jaccard, language_model, merkle, mixing, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,9 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_byte_dedup": bwt.op9_byte_dedup,
     "op10_binary_ids": binary.op10_binary_ids,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
-    "op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": dedup.OP3_SQL, "op8_sharding": sharding.OP8_SQL, "op13_merkle": merkle.OP13_SQL,
+    "op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": dedup.OP3_SQL, "op8_sharding": sharding.OP8_SQL, "op11_conversation_repair": conversations.OP11_SQL, "op13_merkle": merkle.OP13_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stitchrank.llm import binary, bwt, conversations, decontaminate, dedup, jaccard, language_model, merkle, mixing, quality, sharding, substrings
+from stitchrank.llm import binary, bwt, conversations, decontaminate, dedup, jaccard, language_model, merkle, mixing, quality, sharding, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_dedup": bwt.op9_byte_dedup,
     "op10_binary_ids": binary.op10_binary_ids,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_url_filter": urls.op12_url_filter,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {

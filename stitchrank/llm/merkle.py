@@ -28,14 +28,14 @@ def joined(digests: list[Column]) -> Column:
 
 
 def numbered(leaves: DataFrame) -> DataFrame:
-    """``leaves`` (source, doc_id, digest, ...) with ``tree`` (place of the source among the sources), ``place`` in the
+    """``leaves`` (source, doc_id, digest, claimed) with ``tree`` (place of the source among the sources), ``place`` in the
     source and ``leaves_in`` (rows of the source).
 
-    Rows are range-sorted by source, id and digest (nulls first), with the place in the scan as the last key, so that
+    Rows are range-sorted by source, id and digests (nulls first), with the place in the scan as the last key, so that
     a hot source or id is cut like any other. Rows of one partition and source are consecutive, so one narrow aggregate
     per (partition, source) gives every shift; no window sees a row of the data.
     """
-    keys = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest").asc(), F.col("_tie").asc()]
+    keys = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest").asc(), F.col("claimed").asc(), F.col("_tie").asc()]
     tied = leaves.withColumn("_tie", F.monotonically_increasing_id())
     lined = tied.repartitionByRange(partitions(leaves.sparkSession), *keys).sortWithinPartitions(*keys).drop("_tie")
     lined = written(lined.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))

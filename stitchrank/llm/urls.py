@@ -141,7 +141,8 @@ def weights(tokens: DataFrame, seeds: Sequence[str] = tuple(UNWANTED), share: fl
 
     ``tokens`` (token, n, seeded) counts the tokens of all pages, apart for pages that hold a seed (class block) and others (class
     allow); a seed counts once more for block. A token of a page to block comes from the block counts with
-    probability ``share`` and else from the allow counts, so ordinary words weigh next to nothing on either side.
+    probability ``share`` and else from the allow counts, so ordinary words weigh next to nothing on either side. A page counts a
+    token once, so that no endless URL decides what all others are compared with.
     """
     spark = tokens.sparkSession
     examples = spark.createDataFrame([(w, 1, True) for w in sorted(set(seeds))], "token string, n long, seeded boolean")
@@ -178,7 +179,7 @@ def judge(pages: DataFrame, corpus: DataFrame | None = None, column: str = "html
     wanted = F.array(*[F.lit(w) for w in seeds])
     marked = lambda words, mark: F.transform(words, lambda w: F.when(F.array_contains(wanted, w), w).otherwise(F.concat(F.lit(mark), w)))
     tokens = written(tokens.select(
-        "host", "shape", "n", "words", F.concat(marked(F.col("words"), "host:"), marked(F.col("steps"), "path:")).alias("tokens"),
+        "host", "shape", "n", "words", F.array_distinct(F.concat(marked(F.col("words"), "host:"), marked(F.col("steps"), "path:"))).alias("tokens"),
         F.arrays_overlap(F.concat("words", "steps"), wanted).alias("seeded"),
     ))
     model = bounded(written(weights(tokens.select(F.explode("tokens").alias("token"), "n", F.coalesce("seeded", F.lit(False)).alias("seeded")), seeds)), MOST_WEIGHTS)

@@ -22,7 +22,7 @@ from checks.queries_retrieve import (
 from checks.queries_text import ARTICLE
 from checks.queries_vectors import features, mean_of
 from checks.registry import grid, r6, register
-from stitchrank.operators import catalog, ensemble, evaluate, listwise, rank, retrieve, splits
+from stitchrank.operators import catalog, ensemble, evaluate, listwise, mlp, rank, retrieve, splits
 from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import prepare, recommend
 
@@ -432,6 +432,61 @@ def _(x):
     return x.spark.createDataFrame(history)
 
 
+# a fixed network with three hidden units
+HIDDEN = [[((i * (7 + 2 * j)) % 13 - 6) / 32 for i in range(2 * DIM + 1)] for j in range(3)]
+SHIFT, OUT = [0.125, -0.25, 0.5], [1.5, -0.75, 0.5]
+UNITS = ", ".join("[" + ", ".join(f"{w}::double" for w in unit) + "]" for unit in HIDDEN)
+
+
+def network():
+    return [([list(row) for row in zip(*HIDDEN)], SHIFT), ([[w] for w in OUT], [0.0625])]
+
+
+@register(
+    "N7_mlp_epoch0",
+    """select metric, round(value, 6) + 0.0::double as value from (
+          select 'train_loss' as metric, avg(-ln(share)) as value from lists union all select 'train_pos_prob', avg(share) from lists
+          union all select 'queries', count(*)::double from per union all select 'recall@5', avg(h5 / n::double) from per
+          union all select 'hit@5', avg((h5 > 0)::int::double) from per union all select 'recall@15', avg(h15 / n::double) from per
+          union all select 'hit@15', avg((h15 > 0)::int::double) from per union all select 'mrr', avg(coalesce(1.0::double / first, 0)) from per
+          union all select 'base_recall', avg(base / n::double) from per)""",
+    *POOL,
+    f"""scored as (
+          select n.*, bundle_id::int % 4 = 0 as val, {' + '.join(f"{o}::double * greatest(0.0::double, list_inner_product(u[{j}], f) + {b}::double)" for j, (o, b) in enumerate(zip(OUT, SHIFT), 1))} + 0.0625::double as logit
+          from (select m.*, {features('q', 'p', str(DIM))} as f, [{UNITS}] as u
+                from marked m join (select bundle_id, v as q from means) using (bundle_id) join (select product_id, v::double[] as p from f_index) using (product_id)
+                where bundle_id in (select bundle_id from f_truth)) n),
+        lists as (select bundle_id, sum(exp(logit)) filter (positive) / sum(exp(logit)) as share from scored
+                  where not val and bundle_id in (select bundle_id from records) group by 1),
+        placed as (select *, row_number() over (partition by bundle_id order by round(logit + 0.2::double * score, 9) desc, product_id) as place from scored where val),
+        per as (select bundle_id, (select count(*) from f_truth t where t.bundle_id = p.bundle_id) as n, count(*) filter (positive and place <= 5) as h5,
+                       count(*) filter (positive and place <= 15) as h15, min(place) filter (positive and place <= 15) as first, count(*) filter (positive and rank <= 15) as base
+                from placed p group by 1)""",
+)
+def _(x):
+    # the state before the first step, over all lists: loss and probability of training lists, metrics of the others
+    queries, truth = bundle_queries(x), catalog.truth(x.f_truth)
+    found = checkpointed(retrieve.topk(queries, x.f_index.select("product_id", "v"), 40))
+    side = F.when(F.col("bundle_id").cast("int") % 4 == 0, "val").otherwise("train")
+    train = splits.listwise_records(found.where(side == "train"), truth)[0].withColumn("split", F.lit("train"))
+    val = catalog.mark_hits(found.where(side == "val"), truth).withColumnRenamed("hit", "positive").withColumn("split", F.lit("val"))
+    rows = train.unionByName(val, allowMissingColumns=True)
+    _, history = mlp.fit_mlp(rows, queries, x.f_index, truth, DIM, epochs=0, ks=(5,), layers=mlp_layers(network()))
+    return x.spark.createDataFrame([(m, v) for m, v in history[0].items() if m != "epoch"], "metric string, value double")
+
+
+def mlp_layers(layers):
+    return listwise.make_model(layers, DIM)["layers"]
+
+
+@register("N7_fit_mlp")
+def _(x):
+    queries = bundle_queries(x)
+    dim = len(queries.first()["v"])
+    _, history, _ = prepare.train_reranker(queries, x.f_index, x.f_truth, dim, pool=40, ratio=0.2, hidden=(16,), epochs=2, lr=0.01, batch_size=16)
+    return x.spark.createDataFrame(history)
+
+
 @register(
     "N8_score_pairs",
     f"""select n.bundle_id, n.product_id, round(list_inner_product({WEIGHT_LIST}, {features('q', 'p', str(DIM))}) + 0.25::double, 6) + 0.0::double as model_score

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchrank.operators import catalog, evaluate, listwise, retrieve, splits
+from stitchrank.operators import catalog, evaluate, listwise, mlp, retrieve, splits
 from stitchrank.operators.embeddings import standardize
 from stitchrank.operators.scale import checkpointed
 from stitchrank.sources.sinks import manifest_rows, write_manifest, write_metrics
@@ -64,10 +64,14 @@ def train_reranker(
     queries: DataFrame, index: DataFrame, links: DataFrame, dim: int, pool: int = 500, ratio: float = 0.1,
     seed: int = 42, **fit: object,
 ) -> tuple[dict, list[dict], DataFrame]:
-    """Candidates, split, coverage and the fitted linear scorer; no query is on both sides."""
+    """Candidates, split, coverage and the fitted scorer; no query is on both sides.
+
+    The scorer is linear, or has the layers that ``hidden`` names.
+    """
     rows, truth, found = candidates(queries, index, links, pool, ratio, seed)
     ceiling = evaluate.coverage(found, truth, [pool], pool, bundles=found)
-    model, history = listwise.fit_linear(rows, queries, index, truth, dim, **fit)
+    fitted = mlp.fit_mlp if fit.get("hidden") else listwise.fit_linear
+    model, history = fitted(rows, queries, index, truth, dim, **fit)
     return model, history, ceiling
 
 

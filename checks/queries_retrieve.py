@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.queries_vectors import mean_of
 from checks.registry import grid, r6, register
-from stitchrank.operators import embeddings, evaluate, retrieve
+from stitchrank.operators import cells, embeddings, evaluate, retrieve
+from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import recommend
 from stitchrank.sources import tables
 from stitchrank.streaming.lookup import lookup_stream
@@ -92,6 +93,45 @@ def _(x):
     )
 
 
+@register("R1_topk_cells", f"select crop_id, product_id, {r6('score', 'score')}, rank from hits", hits(15))
+def _(x):
+    # the plan that leaves out cells beyond reach; the index is built once and searched from its files
+    index = cells.build_cells(x.f_index.select("product_id", "v"), cell_rows=20)
+    return retrieve.topk(x.f_crops.select("crop_id", "v"), index, 15)
+
+
+@register(
+    "R1_topk_cells_sections",
+    f"select crop_id, product_id, {r6('score', 'score')}, rank from hits",
+    hits(15, queries="(select crop_id, v, section from f_crops)", index="(select product_id, v, gender from f_index)", on="q.section = i.gender"),
+)
+def _(x):
+    index = cells.build_cells(x.f_index.select("product_id", "v", F.col("gender").alias("section")), by="section", cell_rows=20)
+    return retrieve.topk(x.f_crops.select("crop_id", "v", "section"), index, 15, by="section").drop("section")
+
+
+# vectors in clusters: pulled towards one vector of their label
+CLUSTERED = """clustered as (select vec_id, list_transform(range(1, len(e) + 1), lambda i: c[i] + 0.25::double * e[i]) as v
+    from (select vec_id, label, embedding::double[] as e from embeddings) join (select label, arg_min(embedding, vec_id)::double[] as c from embeddings group by 1) using (label))"""
+
+
+def clustered(x):
+    centers = x.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
+    return x.embeddings.join(centers, "label").select("vec_id", F.zip_with("c", "embedding", lambda c, e: c.cast("double") + 0.25 * e.cast("double")).alias("v"))
+
+
+@register(
+    "R1_topk_cells_clustered",
+    f"select crop_id, product_id, {r6('score', 'score')}, rank from hits",
+    CLUSTERED,
+    hits(15, queries="(select vec_id as crop_id, v from clustered)", index="(select vec_id as product_id, v from clustered)"),
+)
+def _(x):
+    rows = checkpointed(clustered(x))
+    index = cells.build_cells(rows.withColumnRenamed("vec_id", "product_id"), cell_rows=20)
+    return retrieve.topk(rows.withColumnRenamed("vec_id", "crop_id"), index, 15)
+
+
 @register(
     "R2_retrieve_max",
     f"""{best('capped', 15)} union all select bundle_id, product_id, null, position from f_images cross join (

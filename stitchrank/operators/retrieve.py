@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from stitchrank.functions.text import score_text
+from stitchrank.operators.cells import CellIndex, pruned_topk
 from stitchrank.operators.rank import (
     category_cap,
     category_cap_backfill,
@@ -154,7 +155,7 @@ def measured(index: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Measur
 
 def topk(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | CellIndex,
     k: int,
     by: str | None = None,
     keep_vector: bool = False,
@@ -174,7 +175,13 @@ def topk(
     index block) pair is one bounded task that returns its own top ``k``, and a ranking window
     (pre-limited before its shuffle) merges them per row. A streaming frame needs the first plan;
     larger indexes are served by :func:`stitchrank.streaming.lookup.start_lookup`.
+
+    A :class:`~stitchrank.operators.cells.CellIndex`, built once, is searched by visiting the blocks that can hold hits.
     """
+    if isinstance(index, CellIndex):
+        if by != index.by:
+            raise ValueError(f"the index has cells by {index.by}, not by {by}")
+        return pruned_topk(queries, index, k, keep_vector)[0]
     if k <= 0:
         raise ValueError("k must be > 0")
     queries = queries.filter(F.col("v").isNotNull())

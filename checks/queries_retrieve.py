@@ -10,6 +10,7 @@ from stitchrank.operators import cells, embeddings, evaluate, retrieve
 from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import recommend
 from stitchrank.sources import tables
+from stitchrank.streaming.feed import start_feed
 from stitchrank.streaming.lookup import lookup_stream
 
 SCORE = "round(list_inner_product(q.v::double[], i.v::double[]), 9)"
@@ -374,3 +375,34 @@ def _(x):
     return recommend.sectioned(
         x.f_crops, x.f_index, x.f_sections, x.f_categories, x.f_taxonomy, bundles, most_popular(x.f_links, 30), hub={}
     )
+
+
+# a feed from the events: every tenth asks, one kind of event deletes, all others replace a product's vector
+KIND = "case when event_id % 10 = 0 then 'query' when event_type = 'click' then 'delete' else 'upsert' end"
+NAME = "cast(case when event_id % 10 = 0 then event_id else user_id end as string)"
+
+
+@register(
+    "R10_feed",
+    f"""select * from (with asked as (select * from feed where kind = 'query' and epoch_ms(ts) <= (select epoch_ms(max(ts)) - 600000 from feed)),
+        seen as (select a.id as query_id, a.v as q, c.id as product_id, c.kind, c.v,
+                        row_number() over (partition by a.id, c.id order by c.ts desc, c.version desc) as age
+                 from asked a join feed c on c.kind <> 'query' and c.ts <= a.ts),
+        scored as (select query_id, product_id, round(list_inner_product(q, v), 9) as score from seen where age = 1 and kind = 'upsert')
+        select query_id, product_id, {r6('score', 'score')}, row_number() over (partition by query_id order by score desc, product_id) as rank
+        from scored qualify rank <= 8)""",
+    f"""feed as (select ts, kind, id, version, e.embedding::double[] as v from (
+          select ts, {KIND} as kind, {NAME} as id, event_id as version, (event_id * 7 + user_id) % (select count(*) from embeddings) as vec_id from events) join embeddings e using (vec_id))""",
+)
+def _(x):
+    vectors = x.embeddings.select("vec_id", F.col("embedding").alias("v"))
+    n = vectors.count()
+    # the whole table as a stream of files
+    stream = x.spark.readStream.schema(x.events.schema).parquet(f"{x.sf_dir}/events.parquet*")
+    rows = stream.select(
+        "ts", F.expr(KIND).alias("kind"), F.expr(NAME).alias("id"), F.col("event_id").alias("version"),
+        ((F.col("event_id") * 7 + F.col("user_id")) % n).alias("vec_id"),
+    ).join(vectors, "vec_id")
+    out, checkpoint = x.scratch(), x.scratch()
+    start_feed(rows, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, buckets=8).awaitTermination()
+    return x.spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("query_id", "product_id", "score", "rank")

@@ -10,6 +10,7 @@ from stitchrank.operators import cells, embeddings, evaluate, retrieve
 from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import recommend
 from stitchrank.sources import tables
+from stitchrank.sources.maintained import MaintainedLists
 from stitchrank.streaming.feed import start_feed
 from stitchrank.streaming.lookup import lookup_stream
 
@@ -406,3 +407,23 @@ def _(x):
     out, checkpoint = x.scratch(), x.scratch()
     start_feed(rows, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, buckets=8).awaitTermination()
     return x.spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("query_id", "product_id", "score", "rank")
+
+
+# a version later: products gone, replaced by their reverse, and new
+CHANGED = """changed as (select product_id, case when product_id::int % 7 = 0 then null when product_id::int % 11 = 0 then list_reverse(v) else v end as v from f_index
+    union all select 'n' || product_id, list_reverse(v) from f_index where product_id::int % 13 = 0)"""
+
+
+@register(
+    "S9_maintained_lists",
+    f"select crop_id, product_id, {r6('score', 'score')}, rank from hits",
+    CHANGED,
+    hits(15, queries="(select crop_id, v from f_crops)", index="(select * from changed where v is not null)"),
+)
+def _(x):
+    index, number = x.f_index.select("product_id", "v"), F.col("product_id").cast("int")
+    lists = MaintainedLists.create(x.spark, x.scratch(), x.f_crops.select(F.col("crop_id").alias("query_id"), "v"), index, 15)
+    lists.apply(index.where(number % 7 == 0).select("product_id", F.lit(None).cast("array<double>").alias("v")))
+    moved = index.where((number % 11 == 0) & (number % 7 != 0)).select("product_id", F.reverse("v").alias("v"))
+    lists.apply(moved.unionByName(index.where(number % 13 == 0).select(F.concat(F.lit("n"), "product_id").alias("product_id"), F.reverse("v").alias("v"))))
+    return lists.lists().select(F.col("query_id").cast("long").alias("crop_id"), "product_id", "score", "rank")

@@ -21,6 +21,8 @@ from stitchrank.llm.repeats import FILTER_BITS, key_filter
 WINDOW = 8
 # Share of an item's words that consistent windows must cover.
 COVER = 0.5
+# Share of the covered words that must agree as they are, not as a placeholder of another value; less says too little.
+LITERAL = 0.25
 # Bytes of text that are cut into words at a time.
 BLOCK_BYTES = 4 << 20
 
@@ -108,7 +110,7 @@ class Blocks:
 
     def _power(self, n: int) -> np.ndarray:
         if len(self.powers) < n:
-            self.powers = np.cumprod(np.concatenate(([1], np.full(2 * n, BASE))).astype(np.uint64), dtype=np.uint64)
+            self.powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, BASE, np.uint64))), dtype=np.uint64)
         return self.powers
 
     def words(self, texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,11 +158,11 @@ def cut_blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
-Found = list[tuple[int, int, int, int, str, int]]
+Found = list[tuple[int, int, int, int, str, list[int], int]]
 
 
 def found_windows(texts: pa.Array, sizes: Iterable[int] | None, blocks: Blocks, bitmap: np.ndarray | None, size: int) -> Found:
-    """(text, place, words of the window, hash, slot values, words of the text) of the windows of a block, in every reading.
+    """(text, place, words of the window, hash, slot values, places of the slots, words of the text) of the windows of a block, in every reading.
 
     Of a document the windows of all ``sizes`` that pass the filter ``bitmap``. Of an item (no ``sizes``) all windows of
     ``size`` words, or the item as one window if it is shorter; its first word, which begins no sentence where the item is
@@ -200,9 +202,10 @@ def found_windows(texts: pa.Array, sizes: Iterable[int] | None, blocks: Blocks,
                 places = places[((bitmap[bit >> 6] >> (bit & 63)) & 1).astype(bool)]
             for at in places.tolist():
                 words = [raw[a:b] for a, b in zip(start[at : at + wide].tolist(), end[at : at + wide].tolist())]
-                out.append((int(text[at]), at, wide, int(hashes[at]), _slot_values(words, slots[at : at + wide]), int(length[text[at]])))
+                held = slots[at : at + wide]
+                out.append((int(text[at]), at, wide, int(hashes[at]), _slot_values(words, held), np.flatnonzero(held).tolist(), int(length[text[at]])))
     first = np.searchsorted(text, np.arange(len(texts)))
-    return [(t, at - int(first[t]), wide, h, v, words) for t, at, wide, h, v, words in out]
+    return [(t, at - int(first[t]), *rest) for t, at, *rest in out]
 
 
 def _window_rows(ids: list[str], names: list[str], sizes: list[int] | None, held, size: int):
@@ -213,9 +216,9 @@ def _window_rows(ids: list[str], names: list[str], sizes: list[int] | None, held
         for batch in batches:
             for first, texts in cut_blocks(batch.column("text")) if batch.num_rows else ():
                 rows = found_windows(texts, sizes, blocks, bitmap, size)
-                columns = list(zip(*rows, strict=True)) or [()] * 6
+                columns = list(zip(*rows, strict=True)) or [()] * 7
                 which = pa.array([first + t for t in columns[0]], pa.int64())
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).take(which) for c in ids] + [pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)], names=ids + names
                 )
@@ -224,10 +227,10 @@ def _window_rows(ids: list[str], names: list[str], sizes: list[int] | None, held
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, place, size, hash, values, length): the windows of each item; a short item is one window of its own."""
+    """(item_id, place, size, hash, values, slots, length): the windows of each item; a short item is one window of its own."""
     rows = items.select("item_id", "text")
-    names = ["place", "size", "hash", "values", "length"]
-    kinds = [IntegerType(), IntegerType(), LongType(), StringType(), IntegerType()]
+    names = ["place", "size", "hash", "values", "slots", "length"]
+    kinds = [IntegerType(), IntegerType(), LongType(), StringType(), ArrayType(IntegerType()), IntegerType()]
     schema = StructType([rows.schema["item_id"], *[StructField(n, k) for n, k in zip(names, kinds)]])
     return rows.mapInArrow(_window_rows(["item_id"], names, None, None, size), schema)
 
@@ -235,7 +238,9 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def _sound(lines: list[dict], length: int) -> tuple[int, int]:
     """(words covered by windows whose slots are consistent, words covered by all) of one instance of an item.
 
-    A slot value of the item must stand for one value of the instance throughout: the one it meets most.
+    A slot value of the item must stand for one value of the instance throughout: the one it meets most. Windows of
+    nothing but placeholders count where those beside them agree: of all words so covered, ``LITERAL`` must be plain words or
+    the same values, else none counts, and a table of numbers is no copy of another.
     """
     votes: dict[str, Counter] = defaultdict(Counter)
     pairs = [list(zip(x["values"].split("\x1f"), x["doc_values"].split("\x1f"), strict=False)) if x["values"] else [] for x in lines]
@@ -243,13 +248,17 @@ def _sound(lines: list[dict], length: int) -> tuple[int, int]:
         for own, other in set(pair):
             votes[own][other] += 1
     best = {own: min(c, key=lambda v: (-c[v], v)) for own, c in votes.items()}
-    every, sound = np.zeros(length, bool), np.zeros(length, bool)
+    every, sound, other_value = (np.zeros(length, bool) for _ in range(3))
     for x, pair in zip(lines, pairs, strict=True):
         span = slice(x["place"], x["place"] + x["size"])
         every[span] = True
         if all(best[own] == other for own, other in pair):
             sound[span] = True
-    return int(sound.sum()), int(every.sum())
+            for at, (own, other) in zip(x["slots"], pair, strict=True):
+                other_value[x["place"] + at] |= own != other
+    covered = int(sound.sum())
+    agreeing = covered - int((sound & other_value).sum())
+    return (covered if agreeing >= LITERAL * covered else 0), int(every.sum())
 
 
 def best_instance(lines: list[dict]) -> tuple[int, int]:
@@ -285,16 +294,16 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, cover: f
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())
     held = spark.sparkContext.broadcast(key_filter(wanted.select(F.col("hash").alias("rid"))))
     rows = docs.select("doc_id", row_digest().alias("rid"), "text")
-    names = ["at", "wide", "hash", "doc_values", "words"]
-    kinds = [IntegerType(), IntegerType(), LongType(), StringType(), IntegerType()]
+    names = ["at", "wide", "hash", "doc_values", "doc_slots", "words"]
+    kinds = [IntegerType(), IntegerType(), LongType(), StringType(), ArrayType(IntegerType()), IntegerType()]
     schema = StructType([rows.schema["doc_id"], rows.schema["rid"], *[StructField(n, k) for n, k in zip(names, kinds)]])
-    hits = rows.mapInArrow(_window_rows(["doc_id", "rid"], names, sizes, held, size), schema).drop("words")
+    hits = rows.mapInArrow(_window_rows(["doc_id", "rid"], names, sizes, held, size), schema).drop("words", "doc_slots")
     width = F.greatest(F.lit(1), F.floor(F.col("length") / 4))
     # Two sets of bands, half a width apart: near diagonals share a band of one of them.
     bands = F.array(*[F.struct(F.lit(i).alias("set"), F.floor((F.col("diagonal") + F.floor(width * i / 2)) / width).alias("band")) for i in (0, 1)])
     met = hits.join(wanted, "hash").where("size = wide").withColumn("diagonal", F.col("at") - F.col("place"))
     lines = met.withColumn("in", F.explode(bands)).groupBy("rid", "item_id", "in").agg(
-        F.any_value("doc_id").alias("doc_id"), F.collect_set(F.struct("length", "size", "place", "diagonal", "values", "doc_values")).alias("lines")
+        F.any_value("doc_id").alias("doc_id"), F.collect_set(F.struct("length", "size", "place", "diagonal", "values", "slots", "doc_values")).alias("lines")
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

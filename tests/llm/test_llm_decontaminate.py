@@ -48,7 +48,7 @@ def plain_score(doc, item, size=8):
                 for j in range(len(theirs) - wide + 1):
                     b = theirs[j : j + wide]
                     if [x[0] for x in a] == [x[0] for x in b]:
-                        lines.add((j - i, i, tuple((x[1], y[1]) for x, y in zip(a, b) if x[1] is not None)))
+                        lines.add((j - i, i, tuple((x[1], y[1], k) for k, (x, y) in enumerate(zip(a, b)) if x[1] is not None)))
     width, groups = max(1, n // 4), defaultdict(list)
     for diagonal, i, pairs in lines:
         groups["one", diagonal].append((i, pairs))
@@ -58,27 +58,33 @@ def plain_score(doc, item, size=8):
     for group in groups.values():
         votes = defaultdict(Counter)
         for _, pairs in group:
-            for own, other in set(pairs):
+            for own, other in {p[:2] for p in pairs}:
                 votes[own][other] += 1
         pick = {own: min(c, key=lambda v: (-c[v], v)) for own, c in votes.items()}
-        covered = {i + k for i, pairs in group if all(pick[o] == v for o, v in pairs) for k in range(wide)}
-        best = max(best, len(covered))
+        good = [(i, pairs) for i, pairs in group if all(pick[o] == v for o, v, _ in pairs)]
+        covered = {i + k for i, _ in good for k in range(wide)}
+        unlike = {i + k for i, pairs in good for o, v, k in pairs if o != v}
+        if 4 * len(covered - unlike) >= len(covered):
+            best = max(best, len(covered))
     return best / n
 
 
 ITEMS = [
     "in town Alice sold 12 eggs and Eve bought 7 more eggs",
     "What is the capital of France?",
-    "12 7 9 Alice 40 kg Bob 3 9 17 22 5 apples",
+    "of 12 7 9 Alice 40 kg Bob has 3 9 17 and 22 apples",
     "Yesterday the farmer Alice sold 12 kg of apples to her neighbour and then Alice bought 3 cows from the market",
     "short one", "word", "", None, "Is é “Paris” in 3 km or 4 miles from Rome",
+    "31 41 59 26 53 58 97 93 23 84 62 64", "extraordinarily extraordinary extraordinariness misunderstanding misunderstandings internationally internationalised counterproductive",
 ]
 VARIANT = "in town Bob sold 10 eggs and Zoe bought 9 more eggs"
 TEXTS = [
     ITEMS[0], f"{ITEMS[0]} {VARIANT}", f"{VARIANT} {ITEMS[0]} {VARIANT}", VARIANT, ITEMS[3].replace("farmer Alice", "farmer Bob").replace("then Alice", "then Eve"),
     "Question 4\nWhat is the capital of France?", "what is the capital of france", "Heading\nWHAT IS THE CAPITAL OF FRANCE", "What is the capital of Spain?",
-    "x. " + ITEMS[2], "1 2 3 Carol 4 kg Dave 5 3 6 7 8 apples", "1 2 3 4 5 6 7 8 9 10 11 12 13", ITEMS[3].lower(), ITEMS[3].replace("Alice", "Carol").replace("12", "90"),
+    "x. " + ITEMS[2], "of 1 2 3 Carol 4 kg Dave has 5 3 6 and 8 apples", "1 2 3 4 5 6 7 8 9 10 11 12 13", ITEMS[3].lower(), ITEMS[3].replace("Alice", "Carol").replace("12", "90"),
     ITEMS[3].replace("sold", "gladly sold"), "a word here", "short  one\t", "", None, " \n", "so is é “Paris” in 3 km or 4 miles from Rome", "is é paris in 9 feet or 2 m from Berlin",
+    "see 31 41 59 26 53 58 97 93 23 84 62 64", "extraordinarily extraordinary extraordinariness misunderstanding misunderstandings internationally internationalised counterproductive too",
+    "extraordinary extraordinarily extraordinariness misunderstandings misunderstanding internationalised internationally counterproductively",
 ]
 
 
@@ -108,7 +114,8 @@ def test_named_cases(spark):
     # A short item behind a heading, and in lower and upper case.
     assert [got.get((n, 1)) for n in (5, 6, 7)] == [1.0] * 3
     # Dense with placeholders: word for word and asked again, but no table of numbers.
-    assert got.get((9, 2)) == 1.0 and got.get((10, 2)) == 1.0 and (11, 2) not in got
+    assert got.get((9, 2)) == 1.0 and got.get((10, 2)) == 1.0 and not {(11, 2), (11, 9)} & set(got) and got.get((22, 9)) == 1.0
+    assert got.get((23, 10)) == 1.0 and (24, 10) not in got
     assert got.get((12, 3)) == 1.0 and got.get((13, 3)) == 1.0 and got.get((14, 3), 0) >= 0.8
     kept = {r.doc_id for r in d.clean(docs, items).collect()}
     assert kept == set(range(len(TEXTS))) - {n for n, _ in got}

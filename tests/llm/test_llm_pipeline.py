@@ -87,4 +87,4 @@ def test_run_and_registration(spark, stages):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == stages[4].columns
     assert ids(found) == ids(stages[4])
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))

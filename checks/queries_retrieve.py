@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.queries_vectors import mean_of
 from checks.registry import grid, r6, register
-from stitchrank.operators import cells, embeddings, evaluate, retrieve
+from stitchrank.operators import cells, contrastive, embeddings, evaluate, retrieve
 from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import recommend
 from stitchrank.sources import tables
@@ -378,6 +378,29 @@ def _(x):
     )
 
 
+@register(
+    "R11_batch_losses",
+    """select batch, n::int as pairs, round(avg(row_loss), 6) + 0.0::double as loss, round(avg(col_loss), 6) + 0.0::double as loss_products,
+              round(coalesce(sum(gap) / nullif(sum(gaps), 0), 0), 6) + 0.0::double as hard_loss, count(*) filter (gaps > 0)::int as hard_rows
+       from (select r.batch, n, r.row_loss, c.col_loss, h.gap, h.gaps from by_row r join by_col c on r.batch = c.batch and r.r = c.c
+             join hard h on r.batch = h.batch and r.r = h.r) group by batch, n""",
+    *UNIT_MEANS,
+    "numbered as (select *, row_number() over (order by sha256('42||' || bundle_id || '||' || product_id)) - 1 as place from f_truth)",
+    "dealt as (select n.*, place // 64 as batch, place % 64 as r, m.v as q, i.v::double[] as p from numbered n join means m using (bundle_id) join f_index i using (product_id))",
+    """cells as (select a.batch, a.r, b.r as c, count(*) over (partition by a.batch, a.r) as n, list_inner_product(a.q, b.p) as sim, t.bundle_id is not null as hit
+         from dealt a join dealt b using (batch) left join f_truth t on t.bundle_id = a.bundle_id and t.product_id = b.product_id)""",
+    """by_row as (select batch, r, any_value(n) as n, ln(sum(exp(sim / 0.07::double))) - avg(sim / 0.07::double) filter (hit) as row_loss,
+                      avg(sim) filter (hit) as own from cells group by 1, 2)""",
+    "by_col as (select batch, c, ln(sum(exp(sim / 0.07::double))) - avg(sim / 0.07::double) filter (hit) as col_loss from cells group by 1, 2)",
+    """hard as (select r.batch, r.r, sum(greatest(0, x.sim - r.own + 0.2::double)) as gap, count(x.sim) as gaps from by_row r left join (
+         select *, row_number() over (partition by batch, r order by sim desc) as place from cells where not hit) x
+         on r.batch = x.batch and r.r = x.r and x.place <= 16 group by 1, 2)""",
+)
+def _(x):
+    # every true pair with the mean vector of its bundle, in batches of 64
+    return contrastive.batch_losses(x.f_truth, bundle_queries(x), x.f_index, x.f_truth, batch_size=64)
+
+
 # a feed from the events: every tenth asks, one kind of event deletes, all others replace a product's vector
 KIND = "case when event_id % 10 = 0 then 'query' when event_type = 'click' then 'delete' else 'upsert' end"
 NAME = "cast(case when event_id % 10 = 0 then event_id else user_id end as string)"

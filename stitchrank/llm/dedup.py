@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchrank.llm.common import NULL_ID, SPACES, partitions, table
+from stitchrank.llm.common import NULL_ID, SPACES, partitions, table, written
 
 SLOTS = 4
 KICKS = 200
@@ -215,8 +215,19 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group; its columns unchanged. Needs unique ids."""
-    return docs.join(exact_groups(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """``docs`` with one row of each group of equal texts; its columns unchanged.
+
+    The row that :func:`exact_groups` keeps stays; of several with its id and length that with the smallest hash of the whole row,
+    and of rows equal in everything one. Ids may be null, repeat, or have several texts. An empty table stays empty.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", "").cast("binary"), 256)
+    place = F.struct((-F.length(text)).alias("size"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.to_json(whole)).alias("of_row"))
+    keyed = docs.select(whole.alias("row"), digest.alias("_digest"), place.alias("_place"))
+    held = written(keyed.groupBy("_digest").agg(F.min("_place").alias("_best"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    judged = keyed.join(held, "_digest", "left")
+    return judged.where("_best is null").select("row.*").unionByName(judged.where("_place = _best").dropDuplicates(["_digest", "_place"]).select("row.*"))
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchrank.llm.common import BASE, NULL_ID, WordHashes, mix, partitions, rolling, table, word_hashes, written
+from stitchrank.llm.common import BASE, NULL_ID, WORD, WordHashes, mix, partitions, rolling, table, word_hashes, written
 from stitchrank.llm.repeats import _wide, key_filter, maybe, shared_names
 
 # Bits of a set's sketch: bit i is the parity of its members of hash i.
@@ -269,17 +269,14 @@ def one_of_alike(shared: DataFrame) -> DataFrame:
     return held.where("held > 1").groupBy("a", "held", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "a")
 
 
-def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``, linked at ``threshold`` percent or more.
+def text_components(docs: DataFrame, size: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, rid, text), (rid, smallest doc), (rid, n_shingles) and the labels (v, comp) of linked texts, at ``threshold`` percent or more.
 
     Rows with equal texts are one vertex (``tid``). Signatures that two vertices share propose links. At first
     each vertex is compared with one smallest member of its signatures, then with those of all its signatures in
     other components, which joins families of copies without their pairs. Then signatures with members
     of several components compare these members across components, by sketch in the task and by text where sketches
     are near: the nearest pair of each component, and once that joins nothing more, all. No link between different texts is lost.
-
-    Null texts and texts without words have no shingles and stay alone. A null id counts as larger than all
-    others; component_id is null only if all ids of the component are. Equal rows share their result. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
@@ -348,6 +345,16 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
         if last:
             break
         last = none
+    return rows, first, facts, labels
+
+
+def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``, linked at ``threshold`` percent or more.
+
+    Null texts and texts without words have no shingles and stay alone. A null id counts as larger than all
+    others; component_id is null only if all ids of the component are. Equal rows share their result. An empty table gives no rows.
+    """
+    rows, first, facts, labels = text_components(docs, size, threshold)
     own = labels.select(F.col("v").alias("rid"), "comp")
     named = first.join(own, "rid", "left").select("rid", "doc", F.coalesce("comp", "rid").alias("comp"))
     # Only linked vertices need a smallest id beyond their own.
@@ -360,9 +367,26 @@ def linked_groups(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows without words all stay. Needs unique ids."""
-    gone = linked_groups(docs, size, threshold).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each component of linked texts; the columns are unchanged.
+
+    Of a component the row with the smallest id stays (null counts as the largest), of rows with one id that with the smallest hash of
+    the text and then of the whole row, and of rows equal in everything one. So rows without id, rows that repeat an
+    id and an id with two texts are judged by their texts. Rows without words (null, empty, white space) all stay. An empty table stays empty.
+    """
+    _, _, _, labels = text_components(docs, size, threshold)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("rid"), F.xxhash64(F.to_json(whole)).alias("of_row"))
+    keyed = docs.select(whole.alias("row"), F.when(F.col("text").rlike(WORD), F.xxhash64("text")).alias("_rid"), place.alias("_place"))
+    # Counted per text before anything is shuffled; only texts of several rows, or linked ones, need a decision.
+    held = keyed.where("_rid is not null").groupBy("_rid").agg(F.min("_place").alias("best"), F.count("*").alias("n"))
+    held = held.join(labels.select(F.col("v").alias("_rid"), "comp"), "_rid", "left").withColumn("comp", F.coalesce("comp", "_rid"))
+    several = held.groupBy("comp").agg(F.min("best").alias("_best"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    decided = written(held.select("_rid", "comp").join(several, "comp").select("_rid", "_best"))
+    judged = keyed.join(decided, "_rid", "left")
+    alone = judged.where("_best is null").select("row.*")
+    # Equal rows of one place are one: the first of each task, then of all.
+    best = judged.where("_place = _best").dropDuplicates(["_place"]).select("row.*")
+    return alone.unionByName(best)
 
 
 def op6_jaccard(spark, sf_dir):

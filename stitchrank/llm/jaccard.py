@@ -376,17 +376,19 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFram
     _, _, _, labels = text_components(docs, size, threshold)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("rid"), F.xxhash64(F.to_json(whole)).alias("of_row"))
-    keyed = docs.select(whole.alias("row"), F.when(F.col("text").rlike(WORD), F.xxhash64("text")).alias("_rid"), place.alias("_place"))
+    rid = F.coalesce(F.xxhash64("text"), F.lit(0))
+    keyed = docs.select(whole.alias("row"), rid.alias("rid"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_told"), place.alias("_place"))
     # Counted per text before anything is shuffled; only texts of several rows, or linked ones, need a decision.
-    held = keyed.where("_rid is not null").groupBy("_rid").agg(F.min("_place").alias("best"), F.count("*").alias("n"))
-    held = held.join(labels.select(F.col("v").alias("_rid"), "comp"), "_rid", "left").withColumn("comp", F.coalesce("comp", "_rid"))
+    held = keyed.where("_told").groupBy("rid").agg(F.min("_place").alias("best"), F.count("*").alias("n"))
+    held = held.join(labels.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     several = held.groupBy("comp").agg(F.min("best").alias("_best"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    decided = written(held.select("_rid", "comp").join(several, "comp").select("_rid", "_best"))
-    judged = keyed.join(decided, "_rid", "left")
-    alone = judged.where("_best is null").select("row.*")
-    # Equal rows of one place are one: the first of each task, then of all.
-    best = judged.where("_place = _best").dropDuplicates(["_place"]).select("row.*")
-    return alone.unionByName(best)
+    decided = written(held.select("rid", "comp").join(several, "comp").select("rid", "_best"))
+    # Whole rows are shuffled only where their text may need one.
+    some, others = maybe(keyed, key_filter(decided.select("rid")))
+    judged = some.join(decided, "rid", "left").where("_best is null or _place = _best")
+    # Equal rows of one place are one: the first of each task, then of all. Rows without a decision are apart.
+    judged = judged.withColumn("_own", F.when(F.col("_best").isNull(), F.monotonically_increasing_id())).dropDuplicates(["_place", "_own"])
+    return others.select("row.*").unionByName(judged.select("row.*"))
 
 
 def op6_jaccard(spark, sf_dir):

@@ -441,6 +441,21 @@ def _(x):
     return _assigned(x).select("product_id", "gender", "method")
 
 
+@register(
+    "A9_majority_sections",
+    """select product_id, coalesce(d.section, case when baby then 3 end, e.section, 0)::int as gender,
+              case when d.section is not null then 'direct_link' when baby then 'baby_prefix' when e.section is not null then 'desc_heuristic' else 'fallback_unknown' end as method
+       from (select *, starts_with(upper(trim(coalesce(description, ''))), 'BABY ') as baby from f_products) p
+       left join (select * from direct where n_links > 14 and n_sections < 4) d using (product_id) left join exclusive e on e.category = upper(trim(p.description))""",
+    *SECTIONS,
+)
+def _(x):
+    # the direct sections of A7, by majority of links
+    direct = catalog.direct_sections(x.f_links, x.f_bundles).where("n_links > 14 and n_sections < 4")
+    exclusive = catalog.exclusive_sections(x.f_links, x.f_bundles, x.f_products, min_share=0.4)
+    return catalog.assign_sections(x.f_products, direct, exclusive).select("product_id", "gender", "method")
+
+
 @register(
     "A9_distribution",
     """select kind, value, count(*) as n, round(round(100.0::double * count(*) / (select count(*) from assigned), 1), 6) + 0.0::double as pct from (

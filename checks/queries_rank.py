@@ -25,6 +25,7 @@ from checks.registry import grid, r6, register
 from stitchrank.operators import catalog, ensemble, evaluate, listwise, mlp, rank, retrieve, splits
 from stitchrank.operators.scale import checkpointed
 from stitchrank.plans import prepare, recommend
+from stitchrank.sources import sinks, tables
 
 # ------------------------------------------------------------------- filters and reranks
 
@@ -238,6 +239,31 @@ def _(x):
     return ensemble.rrf(x.f_submissions).select("bundle_id", "product_id", "score", "rank")
 
 
+def ranked_files(x):
+    """The three submissions written as files whose row order is the rank, and read again."""
+    out = []
+    for number in (1, 2, 3):
+        path = x.scratch() + ".csv"
+        sinks.write_submission(x.f_submissions.where(F.col("submission") == number), path)
+        out.append(tables.read_ranked_csv(x.spark, path, number))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("F12_ranked_csv", "select submission, bundle_id, product_id, rank from f_submissions")
+def _(x):
+    return ranked_files(x)
+
+
+@register(
+    "plan_rrf_files",
+    f"""{SCORED}, row_number() over (partition by bundle_id order by s desc, seen) as rank from (
+          select bundle_id, product_id, score as s, score, seen from (select bundle_id, product_id, {grid('sum(1.0::double / (60 + rank))')} as score,
+            min(submission * 1000000 + rank) as seen from f_submissions group by 1, 2)) qualify rank <= 15""",
+)
+def _(x):
+    return ensemble.rrf(checkpointed(ranked_files(x))).select("bundle_id", "product_id", "score", "rank")
+
+
 @register(
     "H2_incomplete",
     "select bundle_id, least(count(distinct product_id), 15) as n from f_submissions group by 1 having n <> 4",

@@ -18,21 +18,32 @@ MOST_LIVE = 200_000
 
 
 class CuckooIndex:
-    """Set of live digests: a cuckoo filter before the content it stands for.
+    """Set of live digests: a cuckoo filter whose buckets hold the content beside the fingerprints.
 
-    The filter holds a 16-bit fingerprint of each live digest in one of two buckets of ``SLOTS``
-    slots. A lookup that misses both buckets is a certain miss; a hit is verified against the stored
-    keys of the bucket's content. When an insertion finds no free slot after ``KICKS`` moves, the
-    table doubles and is filled anew from the stored keys. Deletion clears one fingerprint.
+    A digest lies in one of two buckets of ``SLOTS`` slots; a slot has a 16-bit fingerprint, and beside it the
+    stored key and value. A lookup that finds the fingerprint in neither bucket is a certain miss; a hit is
+    verified against the keys stored in those slots, and nowhere else. When an insertion finds no
+    free slot after ``KICKS`` moves, the table doubles and is filled anew from the stored keys. Deletion clears one slot.
     """
 
     def __init__(self, buckets: int = 1024):
-        self.content: dict[bytes, object] = {}
         self._reset(buckets)
 
     def _reset(self, buckets: int) -> None:
         self.buckets = buckets
+        self.live = 0
         self.slots = [0] * (buckets * SLOTS)
+        self.entries: list[tuple[bytes, object] | None] = [None] * (buckets * SLOTS)
+
+    def __len__(self) -> int:
+        return self.live
+
+    def items(self) -> Iterator[tuple[bytes, object]]:
+        """The live digests and what is stored for them."""
+        return (entry for entry in self.entries if entry is not None)
+
+    def clear(self) -> None:
+        self._reset(1024)
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(digest[:2], "little") or 1
@@ -43,60 +54,74 @@ class CuckooIndex:
         # An involution, so that either bucket leads to the other without the key.
         return bucket ^ (mark * 0x5BD1E995 & (self.buckets - 1))
 
-    def _slot(self, bucket: int, mark: int) -> int:
+    def _free(self, bucket: int) -> int:
         at = bucket * SLOTS
         for i in range(at, at + SLOTS):
-            if self.slots[i] == mark:
+            if not self.slots[i]:
                 return i
         return -1
 
+    def _find(self, digest: bytes) -> int:
+        """The slot of a live digest, else -1."""
+        mark, first, second = self._places(digest)
+        slots = self.slots
+        for bucket in (first, second):
+            at = bucket * SLOTS
+            for i in range(at, at + SLOTS):
+                if slots[i] == mark and self.entries[i][0] == digest:
+                    return i
+        return -1
+
     def get(self, digest: bytes):
         """What is stored for a live digest, else None."""
-        mark, first, second = self._places(digest)
-        if self._slot(first, mark) < 0 and self._slot(second, mark) < 0:
-            return None
-        return self.content.get(digest)
+        at = self._find(digest)
+        return None if at < 0 else self.entries[at][1]
 
     def insert(self, digest: bytes, value) -> None:
         """Store ``value`` for a digest, live or not."""
-        live = digest in self.content
-        self.content[digest] = value
-        if not live and not self._place(digest):
-            self.resize()
+        at = self._find(digest)
+        if at >= 0:
+            self.entries[at] = digest, value
+            return
+        homeless = self._place((digest, value))
+        if homeless is not None:
+            self.resize(homeless)
 
     def delete(self, digest: bytes) -> bool:
         """Take a digest out; False if it was not live."""
-        if self.content.pop(digest, None) is None:
+        at = self._find(digest)
+        if at < 0:
             return False
-        mark, first, second = self._places(digest)
-        at = self._slot(first, mark)
-        self.slots[at if at >= 0 else self._slot(second, mark)] = 0
+        self.slots[at], self.entries[at] = 0, None
+        self.live -= 1
         return True
 
-    def resize(self) -> None:
-        """Double the table until every stored key has a slot."""
+    def resize(self, homeless: tuple[bytes, object]) -> None:
+        """Double the table until every stored entry, and the one that found no slot, has one."""
+        stored = [*self.items(), homeless]
         while True:
             self._reset(self.buckets * 2)
-            if all(self._place(digest) for digest in self.content):
+            if all(self._place(entry) is None for entry in stored):
                 return
 
-    def _place(self, digest: bytes) -> bool:
-        mark, first, second = self._places(digest)
-        for bucket in (first, second):
-            at = self._slot(bucket, 0)
-            if at >= 0:
-                self.slots[at] = mark
-                return True
-        bucket = second
-        for kick in range(KICKS):
-            at = bucket * SLOTS + kick % SLOTS
-            mark, self.slots[at] = self.slots[at], mark
-            bucket = self._other(bucket, mark)
-            free = self._slot(bucket, 0)
-            if free >= 0:
-                self.slots[free] = mark
-                return True
-        return False  # the mark in hand is lost; the caller fills a larger table from the keys
+    def _place(self, entry: tuple[bytes, object]) -> tuple[bytes, object] | None:
+        """Give an entry a slot, moving others; returns the entry left without one, if any."""
+        mark, first, second = self._places(entry[0])
+        at = self._free(first)
+        if at < 0:
+            at = self._free(second)
+        bucket, kick = second, 0
+        while at < 0 and kick < KICKS:
+            moved = bucket * SLOTS + kick % SLOTS
+            mark, self.slots[moved] = self.slots[moved], mark
+            entry, self.entries[moved] = self.entries[moved], entry
+            bucket, kick = self._other(bucket, mark), kick + 1
+            at = self._free(bucket)
+        if at < 0:
+            return entry
+        self.slots[at], self.entries[at] = mark, entry
+        self.live += 1
+        return None
 
 
 GROUP = "digest binary, n_chars long, keep_id long, group_size long, added long"
@@ -112,7 +137,7 @@ def _absorb(rows: Iterator[tuple], index: CuckooIndex, most: int) -> Iterator[pa
     for digest, n_chars, doc_id, size, added in rows:
         held = index.get(digest)
         if held is None:
-            if len(index.content) >= most:
+            if len(index) >= most:
                 yield _groups(index)
             index.insert(digest, [n_chars, doc_id, size, added])
         else:
@@ -125,13 +150,12 @@ def _absorb(rows: Iterator[tuple], index: CuckooIndex, most: int) -> Iterator[pa
 
 
 def _groups(index: CuckooIndex) -> pa.RecordBatch:
-    held = index.content
-    columns = list(zip(*held.values(), strict=True)) or [()] * 4
+    held = list(index.items())
+    columns = list(zip(*[value for _, value in held], strict=True)) or [()] * 4
     batch = pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], schema=_GROUP
+        [pa.array([digest for digest, _ in held], pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], schema=_GROUP
     )
-    index.content = {}
-    index._reset(1024)
+    index.clear()
     return batch
 
 

@@ -164,6 +164,22 @@ def test_cuckoo_index():
     assert sum(1 for s in index.slots if s) == len(live)
 
 
+def test_cuckoo_index_verifies_equal_fingerprints():
+    """Keys of one fingerprint and one bucket are told apart by the key in the slot; an overflow keeps all of them."""
+    index = dedup.CuckooIndex(1)
+    alike = [b"\x07\x00" + bytes([i]) + b"\x00" * 5 + bytes([i]) * 24 for i in range(64)]
+    for i, digest in enumerate(alike):
+        assert index.get(digest) is None and not index.delete(digest)
+        index.insert(digest, i)
+    assert len(index) == 64 and [index.get(d) for d in alike] == list(range(64))
+    assert sorted(index.items()) == sorted(zip(alike, range(64), strict=True))
+    index.insert(alike[5], "again")
+    assert index.get(alike[5]) == "again" and len(index) == 64
+    assert all(index.delete(d) for d in alike[::2]) and [index.get(d) is None for d in alike] == [True, False] * 32
+    index.clear()
+    assert len(index) == 0 and not list(index.items())
+
+
 def test_exact_groups(docs, empty):
     strip = str.maketrans("", "", " \t\n\x0b\f\r")
     held = defaultdict(list)

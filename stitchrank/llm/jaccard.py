@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchrank.llm.common import BASE, NULL_ID, WORD, WordHashes, mix, partitions, rolling, table, word_hashes, written
@@ -169,10 +169,10 @@ def _plausible(threshold: int):
 
 
 def _across(threshold: int, closest: bool):
-    """Task that pairs members (sig, lo, hi, tid, comp, n, bits) of one group which are in different components and may be linked.
+    """Task that pairs members (group, half, tid, comp, n, bits) of one group which are in different components and may be linked.
 
-    With ``closest``, only the nearest pair of each component of a group. Only sketches are
-    compared; a partition holds whole groups of at most 2 * BLOCK members, in order.
+    In a group of two halves (0 and 1) members of one half meet those of the other; with -1 all members meet. With ``closest``, only the
+    nearest pair of each component of a group. Only sketches are compared; a partition holds whole groups of about 2 * BLOCK members.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +180,17 @@ def _across(threshold: int, closest: bool):
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        group, tid, comp, n = (rows.column(c).to_numpy() for c in ("group", "tid", "comp", "n"))
+        group, half, tid, comp, n = (rows.column(c).to_numpy() for c in ("group", "half", "tid", "comp", "n"))
         bits = _bits(rows.column("bits"))
-        order = np.lexsort((tid, comp, group))
-        group, tid, comp, n, bits = group[order], tid[order], comp[order], n[order], bits[order]
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        order = np.lexsort((tid, comp, half, group))
+        group, half, tid, comp, n, bits = group[order], half[order], tid[order], comp[order], n[order], bits[order]
+        halved = half >= 0
+        kind = np.where(halved, half, comp)
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (halved[1:] != halved[:-1])))
+        starts = np.flatnonzero(new)
         ends = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
-        change = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (comp[1:] != comp[:-1]))))
-        behind = np.repeat(np.append(change[1:], len(group)), np.diff(np.append(change, len(group))))  # first member of a later component
+        change = np.flatnonzero(new | np.concatenate(([True], kind[1:] != kind[:-1])))
+        behind = np.repeat(np.append(change[1:], len(group)), np.diff(np.append(change, len(group))))  # first member of a later component, or half
         first, second, near_by = [], [], []
         for at in range(0, len(tid), 2 * BLOCK):
             own = np.arange(at, min(at + 2 * BLOCK, len(tid)))
@@ -195,7 +198,7 @@ def _across(threshold: int, closest: bool):
                 count = ends[lot] - behind[lot]
                 a = np.repeat(lot, count)
                 b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(behind[lot], count)
-                near = _close(n[a], n[b], bits[a], bits[b], threshold)
+                near = _close(n[a], n[b], bits[a], bits[b], threshold) & (comp[a] != comp[b])
                 first.append(a[near])
                 second.append(b[near])
                 if closest:
@@ -214,6 +217,34 @@ def _across(threshold: int, closest: bool):
     return pairs
 
 
+def meetings(members: DataFrame, block: int) -> DataFrame:
+    """(group, half, tid, comp): the groups in which the members (sig, tid, comp, held) of signatures of several components meet.
+
+    A signature of up to ``block`` members is one group. In a larger one only members outside its largest component need meet others:
+    they are cut into blocks, and each block meets every block of the largest component and every other such block. With few
+    of them, the rows sent are about the members of the signature, however many those are.
+    """
+    most = (
+        members.where(F.col("held") > block).groupBy("sig", "comp").agg(F.count("*").alias("n"))
+        .groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("_most"))
+    )
+    rows = members.join(most, "sig", "left").withColumn("_major", F.col("comp") == F.col("_most.comp"))
+    blocks = {name: F.ceil(n / F.lit(block)).cast("int") for name, n in (("_few", F.col("held") - F.col("_most.n")), ("_many", F.col("_most.n")))}
+    rows = rows.withColumns(blocks).withColumn("_own", F.pmod(F.xxhash64("tid"), F.when(F.col("_major"), F.col("_many")).otherwise(F.col("_few"))).cast("int"))
+
+    def place(half: Column, *of: Column) -> Column:
+        return F.struct(F.xxhash64("sig", *of).alias("group"), half.cast("long").alias("half"))
+
+    own, few, many = F.col("_own"), F.sequence(F.lit(0), F.col("_few") - 1), F.sequence(F.lit(0), F.col("_many") - 1)
+    major = F.transform(few, lambda i: place(F.lit(0), F.lit(0), i, own))
+    minor = F.concat(
+        F.transform(many, lambda j: place(F.lit(1), F.lit(0), own, j)),
+        F.transform(few, lambda i: place(F.when(i == own, -1).when(own < i, 0).otherwise(1), F.lit(1), F.least(i, own), F.greatest(i, own))),
+    )
+    places = F.when(F.col("_most").isNull(), F.array(place(F.lit(-1)))).when(F.col("_major"), major).otherwise(minor)
+    return rows.select(F.explode(places).alias("_place"), "tid", "comp").select("_place.*", "tid", "comp")
+
+
 def _linked(size: int, threshold: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -332,11 +363,8 @@ def text_components(docs: DataFrame, size: int, threshold: int) -> tuple[DataFra
     while True:
         placed = shared.join(labels.withColumnRenamed("v", "tid"), "tid", "left").select("sig", "tid", F.coalesce("comp", "tid").alias("comp"))
         mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
-        blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
-        members = placed.join(mixed.select("sig", blocks.alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = members.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "tid", "comp").join(sets, "tid")
-        members = members.select("group", "tid", "comp", "n", "bits").repartition(partitions(spark), "group")
+        members = meetings(placed.join(mixed.select("sig", "held"), "sig"), BLOCK).join(sets, "tid")
+        members = members.select("group", "half", "tid", "comp", "n", "bits").repartition(partitions(spark), "group")
         pairs = members.mapInArrow(_across(threshold, not last), "a long, b long").distinct()
         new = written(verified(pairs))
         none = new.isEmpty()

@@ -341,8 +341,9 @@ def shingles(text, size):
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("size", "threshold"), [(4, 85), (5, 80), (2, 50)])
-def test_jaccard(spark, docs, size, threshold):
+@pytest.mark.parametrize(("size", "threshold", "block"), [(4, 85, 2048), (5, 80, 2048), (2, 50, 2048), (2, 50, 3)])
+def test_jaccard(spark, docs, monkeypatch, size, threshold, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     more = [(100 + i, changed(prose(90, 8), 7 + i % 60), "n") for i in range(80)] + [(300 + i, f"k{i % 7} " * 5 + prose(i % 12, 6), "n") for i in range(60)]
     rows = BASE_ROWS + more
     sets = [shingles(t, size) for _, t, _ in rows]
@@ -389,6 +390,24 @@ def test_hot_signatures_do_not_overflow(spark):
     assert collected(jaccard.one_of_alike(shared), "sig", "a") == [(1, members.agg({"id": "min"}).first()[0])]
 
 
+@pytest.mark.parametrize("sizes", [(400, 1), (90, 60, 30), (1,) * 40, (5, 5), (3, 1)])
+def test_members_of_hot_signatures_meet(spark, sizes):
+    """All members of different components meet, in groups of bounded size, and a large component is not sent to itself."""
+    block, comp_of = 10, [c for c, n in enumerate(sizes) for _ in range(n)]
+    held = len(comp_of)
+    members = spark.createDataFrame([(7, i, c, held) for i, c in enumerate(comp_of)], "sig long, tid long, comp long, held long")
+    met, sent, groups = set(), 0, defaultdict(list)
+    for r in jaccard.meetings(members, block).collect():
+        groups[r.group].append((r.half, r.tid))
+        sent += 1
+    for rows in groups.values():
+        assert len(rows) <= 6 * block  # blocks are cut by hash
+        met |= {(a, b) for s, a in rows for t, b in rows if a < b and (s < 0 or s != t)}
+    assert {(a, b) for a in range(held) for b in range(a + 1, held) if comp_of[a] != comp_of[b]} <= met
+    few, many = held - max(sizes), max(sizes)
+    assert sent <= (held if held <= block else many * -(-few // block) + few * (-(-many // block) + -(-few // block)))
+
+
 def test_one_of_each(docs, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -340,8 +340,10 @@ def text_components(docs: DataFrame, size: int, threshold: int) -> tuple[DataFra
     sets = written(texts.mapInArrow(measure, "tid long, n long, bits binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
+        # Pairs are written first: each side then sends only the texts that a pair names, and few pairs are no shuffle of texts at all.
+        pairs = written(pairs)
+        a, b = (maybe(texts.withColumnRenamed("tid", "rid"), key_filter(pairs.select(F.col(x).alias("rid"))))[0] for x in "ab")
+        a, b = a.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), b.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, threshold), "a long, b long")
 
     one = one_of_alike(shared)

@@ -34,9 +34,37 @@ def _(x):
     return tables.read_manifest(x.spark, path, schema="bundle_id string, section int, image_url string")
 
 
-@register("S3_list_assets")
+def _write_files(folder):
+    """Task that writes a small file of each name into a folder that all executors see; a task that runs again writes the same."""
+
+    def write(batches):
+        import posixpath
+
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with fs.open_output_stream(posixpath.join(root, name)) as out:
+                    out.write(name.encode())
+            yield batch
+
+    return write
+
+
+@register(
+    "S3_list_assets",
+    """select concat(s_suppkey, '.front') as asset_id, concat(s_suppkey, '.front', case when s_suppkey % 3 = 0 then '.jpg' else '.png' end) as file
+       from supplier""",
+)
 def _(x):
-    return tables.list_assets(x.spark, x.sf_dir)
+    # every supplier has a .png file, every third a .jpg file beside it, which comes first
+    folder = x.scratch()
+    names = x.supplier.selectExpr("explode(if(s_suppkey % 3 = 0, array('.png', '.jpg'), array('.png'))) as suffix", "s_suppkey")
+    names = names.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".front"), "suffix").alias("name"))
+    names.mapInArrow(_write_files(folder), "name string").write.format("noop").mode("overwrite").save()
+    return tables.list_assets(x.spark, folder).select("asset_id", F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
 @register(

@@ -116,7 +116,7 @@ def read_manifest(
 
 
 def list_assets(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ``asset_id`` (file name without its last suffix) and ``path``. Contents are not read."""
+    """S3: ``asset_id`` (file name without its last suffix) and ``path``. Contents are not read; files without content are no assets."""
     files = spark.read.format("binaryFile").load(path).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

@@ -34,6 +34,26 @@ def _(x):
     return tables.read_manifest(x.spark, path, schema="bundle_id string, section int, image_url string")
 
 
+@register(
+    "S2_products_manifest",
+    """select cast(p_partkey as varchar) as product_id, case when p_partkey % 5 = 0 then concat('/img/', p_partkey, '.png') else concat('/all/', p_partkey, '.jpg') end as image_path,
+         case when p_partkey % 7 = 0 then '' else p_name end as description
+       from part""",
+)
+def _(x):
+    # ids, paths and descriptions under other names from row to row, blank values, and rows without an id
+    key, path = F.col("p_partkey"), x.scratch() + "/products.jsonl"
+    id_, odd = key.cast("string"), key % 2 == 1
+    lines = x.part.select(
+        F.when(odd, id_).alias("product_asset_id"), F.when(~odd, F.lit(" ")).alias("product_id"), F.when(~odd, id_).alias("id"),
+        F.when(key % 5 == 0, F.concat(F.lit("/img/"), id_, F.lit(".png"))).alias("path"),
+        F.when((key % 7 != 0) & odd, F.col("p_name")).alias("description"), F.when((key % 7 != 0) & ~odd, F.col("p_name")).alias("text"),
+    )
+    lines = lines.unionByName(lines.select(*[F.when(F.col(c).isNull(), F.col(c)).alias(c) for c in lines.columns]))
+    lines.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return tables.product_manifest(tables.read_manifest(x.spark, path), "/all")
+
+
 def _write_files(folder):
     """Task that writes a small file of each name into a folder that all executors see; a task that runs again writes the same."""
 

@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,33 @@ def read_manifest(
     return lines.select(parsed.alias("r")).filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
 
 
+# Column names that manifests of products use, the first that holds a value counts.
+MANIFEST_ID = ("product_asset_id", "product_id", "asset_id", "id")
+MANIFEST_IMAGE = ("image_path", "product_image_path", "path", "local_image_path")
+MANIFEST_TEXT = ("product_description", "description", "text")
+
+
+def _first_filled(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The first of the columns ``keys`` with a value in the row, stripped; an empty string if none has one."""
+    filled = [F.nullif(strip(F.col(k).cast("string")), F.lit("")) for k in keys if k in df.columns]
+    return F.coalesce(*filled, F.lit(""))
+
+
+def product_manifest(rows: DataFrame, folder: str) -> DataFrame:
+    """(product_id, image_path, description) of the rows of a manifest, whose columns may have other names, row by row.
+
+    Rows without an id are left out; a missing path is ``<folder>/<product_id>.jpg``, a missing description an empty string.
+    Of rows with one id the last read stays.
+    """
+    named = rows.select(
+        _first_filled(rows, MANIFEST_ID).alias("product_id"), _first_filled(rows, MANIFEST_IMAGE).alias("_path"),
+        _first_filled(rows, MANIFEST_TEXT).alias("description"), F.monotonically_increasing_id().alias("_at"),
+    ).filter(F.col("product_id") != "")
+    path = F.when(F.col("_path") == "", F.concat(F.lit(folder.rstrip("/") + "/"), "product_id", F.lit(".jpg"))).otherwise(F.col("_path"))
+    last = named.groupBy("product_id").agg(F.max_by(F.struct(path.alias("image_path"), "description"), "_at").alias("_last"))
+    return last.select("product_id", "_last.*")
+
+
 def list_assets(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``asset_id`` (file name without its last suffix) and ``path``. Contents are not read; files without content are no assets."""
     files = spark.read.format("binaryFile").load(path).select("path")

@@ -151,3 +151,13 @@ def test_every_operator_is_registered():
     ids = {name.split("_")[0] for name in registry.QUERIES}
     want = {f"{letter}{i}" for letter, n in dict(S=10, P=22, J=10, A=18, E=7, B=8, R=11, F=13, U=4, H=6, M=5, N=8).items() for i in range(1, n + 1)}
     assert want <= ids
+
+
+def test_product_manifest(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text(
+        '{"product_asset_id": " ", "id": " a "}\n{"asset_id": "b", "path": "/x/b.png", "text": "late", "description": ""}\n'
+        '{"text": "nobody"}\n{"id": "c", "description": "one"}\n{"id": "c", "product_description": "two"}\n'
+    )
+    found = tables.product_manifest(tables.read_manifest(spark, str(tmp_path / "m.jsonl")), "/all/")
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "/all/a.jpg", ""), ("b", "/x/b.png", "late"), ("c", "/all/c.jpg", "two")]
+    assert tables.product_manifest(found.limit(0), "/all").count() == 0
